@@ -1,7 +1,8 @@
 """Most similar vectors for every vector: balanced posting lists.
 
-Centroids are fitted on a bounded sample and balanced by splitting large cells; a graph
-over the centroids, entered through pivots, finds the cells near a vector. A vector goes
+Centroids are fitted on a bounded sample and balanced by splitting large cells. The cells
+near a vector are found by a matrix product with all centroids or, on request, over a
+graph of the centroids that is entered through pivots. A vector goes
 to its nearest list and, being a boundary vector, also to every list whose centroid is
 nearly as near (distance-ratio pruning), so that two similar vectors share a list. Each
 list is compared within itself, the results are merged per vector.
@@ -78,7 +79,7 @@ def usable(vectors: DataFrame, dim: int, vector_id: str = "id", embedding: str =
 
 
 class Centroids:
-    """Balanced centroids with a neighbour graph; searched from pivots by a beam."""
+    """Balanced centroids, searched by a matrix product or from pivots by a beam over their neighbour graph."""
 
     def __init__(self, points: np.ndarray, seed: int = 5, degree: int = 16):
         self.points = points.astype(np.float32)
@@ -86,7 +87,7 @@ class Centroids:
         rng = np.random.default_rng(seed)
         self.pivots = np.sort(rng.choice(n, min(n, max(1, int(2 * np.sqrt(n)))), replace=False))
         self.degree = min(degree, max(1, n - 1))
-        self.graph = self._neighbours() if n > 1 else np.zeros((n, 1), np.int64)
+        self.graph: np.ndarray | None = None  # built when first used
 
     def _neighbours(self) -> np.ndarray:
         out = np.empty((len(self.points), self.degree), np.int64)
@@ -96,21 +97,33 @@ class Centroids:
             out[a : a + 512] = np.argpartition(-s, self.degree - 1, axis=1)[:, : self.degree]
         return out
 
-    def search(self, x: np.ndarray, most: int, beam: int = 12, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        """The ``most`` nearest centroids of each row found, best first, and their similarities."""
+    def search(self, x: np.ndarray, most: int, graph: bool = False, beam: int = 12, hops: int = 4) -> tuple[np.ndarray, np.ndarray]:
+        """The ``most`` nearest centroids of each row, best first, and their similarities.
+
+        By default by one matrix product with all centroids; by the graph on request
+        (which misses some, see the README).
+        """
         ids, sims = [], []
         for a in range(0, len(x), 1024):
-            i, s = self._search(x[a : a + 1024], most, max(beam, most), hops)
+            i, s = self._search(x[a : a + 1024], most, max(beam, most), hops) if graph else self._product(x[a : a + 1024], most)
             ids.append(i)
             sims.append(s)
         return np.concatenate(ids), np.concatenate(sims)
 
+    def _product(self, x: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        s = x @ self.points.T
+        k = min(most, s.shape[1])
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        value = np.take_along_axis(s, top, 1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        return np.take_along_axis(top, order, 1), np.take_along_axis(value, order, 1)
+
     def _search(self, x: np.ndarray, most: int, beam: int, hops: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(self.points)
         if beam * 4 >= n:  # the beam would see nearly all of them
-            s = x @ self.points.T
-            order = np.argsort(-s, axis=1, kind="stable")[:, :most]
-            return order, np.take_along_axis(s, order, 1)
+            return self._product(x, most)
+        if self.graph is None:
+            self.graph = self._neighbours()
         entry = x @ self.points[self.pivots].T
         k = min(beam, len(self.pivots))
         at = np.argpartition(-entry, k - 1, axis=1)[:, :k]
@@ -178,7 +191,7 @@ def near_lists(ids: np.ndarray, sims: np.ndarray, ratio: float) -> np.ndarray:
     return distance <= ratio * distance[:, :1] + 1e-6
 
 
-def place(coded: DataFrame, centroids, dim: int, most: int, ratio: float, role: int = 0) -> DataFrame:
+def place(coded: DataFrame, centroids, dim: int, most: int, ratio: float, role: int = 0, graph: bool = False) -> DataFrame:
     """``list, id, code, role`` with a row for each list of a vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +199,7 @@ def place(coded: DataFrame, centroids, dim: int, most: int, ratio: float, role:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            found, sims = index.search(decode(batch.column("code").to_pylist(), dim), most)
+            found, sims = index.search(decode(batch.column("code").to_pylist(), dim), most, graph)
             row, at = np.nonzero(near_lists(found, sims, ratio))
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(found[row, at].astype(np.int32)), batch.column("id").take(take), batch.column("code").take(take), pa.array(np.full(len(row), role, np.int8))], schema=_PLACED)
@@ -225,26 +238,32 @@ def compare_list(table: pa.Table, dim: int, k: int, least: float) -> pa.Table:
     return pa.table([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], schema=_PAIRS)
 
 
-def _classes(coded: DataFrame, keep: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries (one a distinct vector: smallest id and code), first members of the classes with several ids, and all their members.
+def _classes(coded: DataFrame, keep: int, max_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """Entries (one a distinct vector: smallest id and code), first members of the classes with several ids, all members of those, and the number of entries.
 
-    Codes are shuffled once, combined before; of a class with a third of all rows one
-    code a partition remains, and its members are ranked with a limit before the shuffle.
+    Only hashes and ids are shuffled to find the classes, combined before. Rows without a
+    copy are not moved at all; of a class with a third of all rows one code a partition
+    remains, and its members are ranked with a limit before the shuffle. The classes are
+    broadcast up to ``max_broadcast``, beyond that joined by a shuffle.
     """
-    entries = coded.groupBy("code").agg(F.min("id").alias("id"), F.max("id").alias("_max"))
-    entries = cut_lineage(entries.select("id", "code", (F.col("id") != F.col("_max")).alias("several")))
-    narrow = coded.select("id", F.md5("code").alias("_h")).distinct()
-    several = entries.filter("several").select(F.col("id").alias("entry"), F.md5("code").alias("_h"))
-    salted = several.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    members = narrow.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(salted, ["_h", "_s"]).select("entry", "id")
+    hashed = coded.withColumn("_h", F.md5("code"))
+    classes = cut_lineage(hashed.groupBy("_h").agg(F.min("id").alias("entry"), (F.min("id") != F.max("id")).alias("several"), F.count("*").alias("n")))
+    counts = classes.agg(F.count("*").alias("n"), F.count(F.when(F.col("n") > 1, 1)).alias("copied"), F.count(F.when(F.col("several"), 1)).alias("several")).first()
+    small = lambda df, n: F.broadcast(df) if n <= max_broadcast else df
+    copied = small(classes.filter("n > 1").select("_h"), counts["copied"])
+    single = hashed.join(copied, "_h", "left_anti").select("id", "code")
+    again = hashed.join(copied, "_h", "left_semi").groupBy("_h").agg(F.min("id").alias("id"), F.first("code").alias("code")).select("id", "code")
+    salted = classes.filter("several").select("_h", "entry", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s"))
+    salt = F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")
+    members = hashed.select("id", "_h", salt.alias("_s")).join(small(salted, counts["several"] * 16), ["_h", "_s"]).select("entry", "id").distinct()
     rank = F.row_number().over(Window.partitionBy("entry").orderBy("id"))
     first = members.withColumn("_r", rank).filter(F.col("_r") <= keep).select("entry", "id")
-    return entries.select("id", "code"), first, members
+    return single.unionByName(again), first, members, counts["n"]
 
 
 def most_similar(
-    vectors: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -1.0, list_size: int = 200, most: int = 4, ratio: float = 1.12,
-    max_sample: int = 40_000, max_lists: int = 8192, vector_id: str = "id", embedding: str = "embedding",
+    vectors: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -1.0, list_size: int = 200, most: int = 4, ratio: float = 1.3,
+    max_sample: int = 40_000, max_lists: int = 16_384, graph: bool = False, vector_id: str = "id", embedding: str = "embedding",
 ) -> DataFrame:
     """``id, other, similarity``: for every usable vector the ``k`` most similar other ids.
 
@@ -253,29 +272,31 @@ def most_similar(
     ids are neighbours with similarity 1. Unusable embeddings (see ``usable``) take no
     part. Other columns aren't carried.
 
-    Centroids are fitted on at most ``max_sample`` vectors (the smallest by a hash of the
-    vector), about one for ``list_size`` vectors; every vector is indexed. A vector is
+    Centroids are fitted on about ``max_sample`` vectors (chosen by a hash of the vector),
+    about one for ``list_size`` vectors; every vector is indexed. A vector is
     put into at most ``most`` lists. Pairs that share no list are missed: recall against
-    brute force is in the README, about 1 for pairs of 0.9 and more.
+    brute force is in the README, about 1 for pairs of 0.9 and more. ``graph`` searches
+    the centroids over their graph.
     """
     spark = vectors.sparkSession
     coded = usable(vectors, dim, vector_id, embedding)
-    entries, first, members = _classes(coded, k + 1)
-    index = _index(spark, entries, dim, list_size, max_sample, max_lists)
+    entries, first, members, n = _classes(coded, k + 1)
+    index = _index(spark, entries, n, dim, list_size, max_sample, max_lists)
     if index is None:
         return spark.createDataFrame([], PAIRS)
-    placed = place(entries, index, dim, most, ratio)
-    pairs = _compare(placed, dim, k + 1, min_similarity)
+    placed = place(entries, index, dim, most, ratio, graph=graph)
+    pairs = cut_lineage(_compare(placed, dim, k + 1, min_similarity))
     own = first.select(F.col("entry").alias("id"), F.col("entry").alias("other"), F.lit(1.0).alias("similarity")).distinct()
     return _expand(pairs.unionByName(own), first, members, k, min_similarity)
 
 
-def _index(spark, entries: DataFrame, dim: int, list_size: int, max_sample: int, max_lists: int):
-    n = entries.count()
+def _index(spark, entries: DataFrame, n: int, dim: int, list_size: int, max_sample: int, max_lists: int):
+    """Centroids from a sample: all entries up to ``max_sample``, else about that many by a hash of the vector."""
     if not n:
         return None
-    rows = entries.select("code").orderBy(F.xxhash64("code")).limit(max_sample).collect()
-    sample = decode([bytes(r.code) for r in rows], dim)
+    share = (1 << 30) if n <= max_sample else int((1 << 30) * max_sample / n)
+    rows = entries.filter(F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < share).select("code").collect()
+    sample = decode(sorted(bytes(r.code) for r in rows), dim)
     return spark.sparkContext.broadcast(fit_centroids(sample, min(max_lists, max(1, n // list_size))))
 
 
@@ -310,8 +331,8 @@ def similar_pairs(neighbours: DataFrame) -> DataFrame:
 
 
 def search(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = 128, list_size: int = 200, probes: int = 400, ratio: float = 1.25,
-    max_sample: int = 40_000, max_lists: int = 8192, vector_id: str = "id", embedding: str = "embedding",
+    queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = 128, list_size: int = 200, probes: int = 400, ratio: float = 2.0,
+    max_sample: int = 40_000, max_lists: int = 16_384, graph: bool = False, vector_id: str = "id", embedding: str = "embedding",
 ) -> DataFrame:
     """The ``k`` most similar other ids for a stated set of queries, against all rows.
 
@@ -320,12 +341,12 @@ def search(
     """
     spark = vectors.sparkSession
     coded = usable(vectors, dim, vector_id, embedding)
-    entries, first, members = _classes(coded, k + 1)
-    index = _index(spark, entries, dim, list_size, max_sample, max_lists)
+    entries, first, members, n = _classes(coded, k + 1)
+    index = _index(spark, entries, n, dim, list_size, max_sample, max_lists)
     if index is None:
         return spark.createDataFrame([], PAIRS)
     asked = usable(queries, dim, vector_id, embedding).distinct()
-    placed = place(entries, index, dim, 2, 1.02, role=2).unionByName(place(asked, index, dim, probes, ratio, role=1))
+    placed = place(entries, index, dim, 2, 1.02, role=2, graph=graph).unionByName(place(asked, index, dim, probes, ratio, role=1, graph=graph))
     pairs = _compare(placed, dim, k + 1, -1.0)
     named = pairs.join(first.select(F.col("entry").alias("other"), F.col("id").alias("_id")), "other", "left")
     named = named.select("id", F.coalesce("_id", "other").alias("other"), "similarity").filter(F.col("id") != F.col("other"))
