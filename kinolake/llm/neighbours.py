@@ -262,7 +262,7 @@ def _classes(coded: DataFrame, keep: int, max_broadcast: int = 200_000) -> tuple
 
 
 def most_similar(
-    vectors: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -1.0, list_size: int = 200, most: int = 4, ratio: float = 1.3,
+    vectors: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -1.0, list_size: int = 200, most: int = 3, ratio: float = 1.3,
     max_sample: int = 40_000, max_lists: int = 16_384, graph: bool = False, vector_id: str = "id", embedding: str = "embedding",
 ) -> DataFrame:
     """``id, other, similarity``: for every usable vector the ``k`` most similar other ids.
@@ -301,11 +301,13 @@ def _index(spark, entries: DataFrame, n: int, dim: int, list_size: int, max_samp
 
 
 def _compare(placed: DataFrame, dim: int, k: int, least: float) -> DataFrame:
-    """Best pairs over all lists; a vector has at most ``k`` from each of its few lists."""
+    """Best pairs over all lists; a vector has at most ``k`` from each of its few lists, so what is gathered by id is bounded."""
     found = placed.groupBy("list").applyInArrow(lambda table: compare_list(table, dim, k, least), PAIRS)
-    one = found.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
-    by = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 6)), "other")
-    return one.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
+    order = F.struct((-F.round("similarity", 6)).alias("s"), F.col("other"), F.col("similarity"))
+    best = found.groupBy("id").agg(F.array_sort(F.collect_set(order)).alias("near"))
+    # the same pair may come from several lists, with the same rounded similarity
+    near = F.filter("near", lambda x, i: (i == 0) | (F.get("near", i - 1)["other"] != x["other"]))
+    return best.select("id", F.explode(F.slice(near, 1, k)).alias("n")).select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity"))
 
 
 def _expand(pairs: DataFrame, first: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
