@@ -5,30 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kinolake.sources import rejects
+from kinolake.plans import content_queries, eval_queries, graph_queries, record_queries
 
-
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
-def p1_found(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.rejected(rejects.load_records(table(spark, folder, "raw_results"))).select("line_id", "reason").distinct()
-
-
-def p1_typed(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.accepted(rejects.load_records(table(spark, folder, "raw_results")))
-
-
-def p1_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return rejects.reject_counts(rejects.load_records(table(spark, folder, "raw_results")))
+MODULES = (record_queries, content_queries, graph_queries, eval_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_typed, p1_counts)}
+    return {f.__name__: f for module in MODULES for f in module.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}
