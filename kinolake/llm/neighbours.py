@@ -26,8 +26,8 @@ from kinolake.session import cut_lineage
 _SCALE = float((1 << 23) - 1)
 CODED = "id string, code binary"
 _CODED = pa.schema([("id", pa.string()), ("code", pa.binary())])
-_PLACED = pa.schema([("list", pa.int32()), ("id", pa.string()), ("code", pa.binary()), ("role", pa.int8())])
-PLACED = "list int, id string, code binary, role tinyint"
+_PLACED = pa.schema([("list", pa.int32()), ("id", pa.string()), ("code", pa.binary())])
+PLACED = "list int, id string, code binary"
 PAIRS = "id string, other string, similarity double"
 _PAIRS = pa.schema([("id", pa.string()), ("other", pa.string()), ("similarity", pa.float64())])
 
@@ -191,8 +191,8 @@ def near_lists(ids: np.ndarray, sims: np.ndarray, ratio: float) -> np.ndarray:
     return distance <= ratio * distance[:, :1] + 1e-6
 
 
-def place(coded: DataFrame, centroids, dim: int, most: int, ratio: float, role: int = 0, graph: bool = False) -> DataFrame:
-    """``list, id, code, role`` with a row for each list of a vector."""
+def place(coded: DataFrame, centroids, dim: int, most: int, ratio: float, graph: bool = False) -> DataFrame:
+    """``list, id, code`` with a row for each list of a vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = centroids.value
@@ -202,37 +202,30 @@ def place(coded: DataFrame, centroids, dim: int, most: int, ratio: float, role:
             found, sims = index.search(decode(batch.column("code").to_pylist(), dim), most, graph)
             row, at = np.nonzero(near_lists(found, sims, ratio))
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(found[row, at].astype(np.int32)), batch.column("id").take(take), batch.column("code").take(take), pa.array(np.full(len(row), role, np.int8))], schema=_PLACED)
+            yield pa.RecordBatch.from_arrays([pa.array(found[row, at].astype(np.int32)), batch.column("id").take(take), batch.column("code").take(take)], schema=_PLACED)
 
     return coded.mapInArrow(run, PLACED)
 
 
 def compare_list(table: pa.Table, dim: int, k: int, least: float) -> pa.Table:
-    """The ``k`` most similar entries of every query (role 0 or 1) among the members (role 0 or 2) of a list."""
+    """The ``k`` most similar entries of every entry within a list."""
     ids = np.array(table.column("id").to_pylist(), object)
     order = np.argsort(ids, kind="stable")
     ids = ids[order]
     x = decode([c.as_py() for c in table.column("code").take(pa.array(order))], dim)
-    role = table.column("role").to_numpy()[order]
-    query, member = np.flatnonzero(role <= 1), np.flatnonzero(role != 1)
-    if len(query) == 0 or len(member) == 0:
-        return _PAIRS.empty_table()
     out = []
-    place_of = np.arange(len(member))
-    base = np.int64(len(member) + 1)
-    for a in range(0, len(query), 1024):
-        q = query[a : a + 1024]
-        s = (x[q] @ x[member].T).astype(np.float64)
-        s[ids[q][:, None] == ids[member][None, :] if (role == 1).any() else q[:, None] == member[None, :]] = -9
+    base, back = np.int64(len(ids) + 1), np.arange(len(ids), 0, -1)
+    n = min(k, len(ids))
+    for a in range(0, len(ids), 1024):
+        s = (x[a : a + 1024] @ x.T).astype(np.float64)
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
         s[s < least - 1e-6] = -9
-        key = np.rint(s * 1e6).astype(np.int64) * base + (len(member) - place_of)  # equal to six decimals: smaller id first
-        n = min(k, len(member))
+        key = np.rint(s * 1e6).astype(np.int64) * base + back  # equal to six decimals: smaller id first
         top = np.argpartition(-key, n - 1, axis=1)[:, :n]
-        value = np.take_along_axis(s, top, 1)
-        r, c = np.nonzero(value > -8)
+        r, c = np.nonzero(np.take_along_axis(s, top, 1) > -8)
         if len(r):
-            exact = np.einsum("ij,ij->i", x[q[r]].astype(np.float64), x[member[top[r, c]]].astype(np.float64))
-            out.append((ids[q[r]], ids[member[top[r, c]]], exact))
+            exact = np.einsum("ij,ij->i", x[a + r].astype(np.float64), x[top[r, c]].astype(np.float64))
+            out.append((ids[a + r], ids[top[r, c]], exact))
     if not out:
         return _PAIRS.empty_table()
     return pa.table([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], schema=_PAIRS)
@@ -332,28 +325,93 @@ def similar_pairs(neighbours: DataFrame) -> DataFrame:
     return pair.groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))
 
 
+class _Best:
+    """The ``k`` best rows of every query so far, each id once; equal to six decimals: smaller id first."""
+
+    def __init__(self, names: np.ndarray, points: np.ndarray, least: np.ndarray, k: int):
+        self.names, self.points, self.least, self.k = names, points, least, k
+        self.rows: list[dict[str, float]] = [{} for _ in names]
+        self.worst = np.full(len(names), -2.0)
+
+    def add(self, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, centroids: np.ndarray) -> None:
+        ids, first = np.unique(ids, return_index=True)
+        x, lists = x[first], lists[first]
+        for cell in np.unique(lists):
+            member = np.flatnonzero(lists == cell)
+            query = np.flatnonzero(self.points @ centroids[cell] >= self.least)
+            if not len(query):
+                continue
+            s = self.points[query] @ x[member].T
+            r, c = np.nonzero(s >= (self.worst[query] - 2e-6)[:, None])
+            if not len(r):
+                continue
+            exact = np.einsum("ij,ij->i", self.points[query[r]].astype(np.float64), x[member[c]].astype(np.float64))
+            for q in np.unique(r):
+                at = np.flatnonzero(r == q)
+                self._merge(int(query[q]), ids[member[c[at]]], exact[at])
+
+    def _merge(self, query: int, ids: np.ndarray, sims: np.ndarray) -> None:
+        if len(ids) > 4 * self.k:  # ids are in order, so a stable sort keeps ties right
+            keep = np.argsort(-np.round(sims, 6), kind="stable")[: self.k + 1]
+            ids, sims = ids[keep], sims[keep]
+        row = self.rows[query]
+        row.update((i, float(v)) for i, v in zip(ids, sims) if i != self.names[query])
+        if len(row) > self.k:
+            best = sorted(row.items(), key=lambda x: (-round(x[1], 6), x[0]))[: self.k]
+            self.rows[query] = dict(best)
+            self.worst[query] = best[-1][1]
+
+
 def search(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = 128, list_size: int = 200, probes: int = 400, ratio: float = 2.0,
-    max_sample: int = 40_000, max_lists: int = 16_384, graph: bool = False, vector_id: str = "id", embedding: str = "embedding",
+    queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = 128, list_size: int = 200, share: float = 0.6, block: int = 50_000,
+    max_sample: int = 40_000, max_lists: int = 16_384, vector_id: str = "id", embedding: str = "embedding",
 ) -> DataFrame:
-    """The ``k`` most similar other ids for a stated set of queries, against all rows.
+    """``id, other, similarity``: the ``k`` most similar other ids for a stated set of queries, against all rows.
 
-    As ``most_similar``, but a query looks into up to ``probes`` lists while every row
-    lies in one or two, so that neighbours far away are found as well.
+    Each query looks into the nearest ``share`` of all lists, so that neighbours far away
+    are found as well. Rows are never moved: the queries go to the tasks in blocks of
+    at most ``block``, each task keeps its own best rows of each query, and only those
+    are shuffled. Copies and unusable embeddings as in ``most_similar``.
     """
     spark = vectors.sparkSession
     coded = usable(vectors, dim, vector_id, embedding)
-    entries, first, members, n = _classes(coded, k + 1)
-    index = _index(spark, entries, n, dim, list_size, max_sample, max_lists)
+    n = coded.count()
+    index = _index(spark, coded, n, dim, list_size, max_sample, max_lists)
     if index is None:
         return spark.createDataFrame([], PAIRS)
     asked = usable(queries, dim, vector_id, embedding).distinct()
-    placed = place(entries, index, dim, 2, 1.02, role=2, graph=graph).unionByName(place(asked, index, dim, probes, ratio, role=1, graph=graph))
-    pairs = _compare(placed, dim, k + 1, -1.0)
-    named = pairs.join(first.select(F.col("entry").alias("other"), F.col("id").alias("_id")), "other", "left")
-    named = named.select("id", F.coalesce("_id", "other").alias("other"), "similarity").filter(F.col("id") != F.col("other"))
+    blocks = max(1, -(-asked.count() // block))
+    out = None
+    for number in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).orderBy("id").collect()
+        if not part:
+            continue
+        points = decode([bytes(r.code) for r in part], dim)
+        centroids = index.value.points
+        probes = max(1, int(np.ceil(share * len(centroids))))
+        least = np.concatenate([np.partition(points[a : a + 1024] @ centroids.T, len(centroids) - probes, axis=1)[:, len(centroids) - probes] for a in range(0, len(points), 1024)]) - 1e-6
+        sent = spark.sparkContext.broadcast((np.array([r.id for r in part], object), points, least))
+        found = coded.mapInArrow(_searcher(index, sent, dim, k), PAIRS)
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return spark.createDataFrame([], PAIRS)
     by = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 6)), "other")
-    return named.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
+    one = out.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+    return one.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
+
+
+def _searcher(index, sent, dim: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = _Best(*sent.value, k)
+        for batch in batches:
+            if batch.num_rows:
+                x = decode(batch.column("code").to_pylist(), dim)
+                lists, _ = index.value.search(x, 1)
+                best.add(np.array(batch.column("id").to_pylist(), object), x, lists[:, 0], index.value.points)
+        rows = [(name, other, s) for name, row in zip(best.names, best.rows) for other, s in row.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PAIRS)], schema=_PAIRS)
+
+    return run
 
 
 def exact_most_similar(rows: pd.DataFrame, k: int, dim: int = 128) -> dict[str, list[tuple[str, float]]]:
