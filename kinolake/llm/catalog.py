@@ -12,8 +12,10 @@ from kinolake.llm import leakage, mixing, moderation, neighbours, packing, ranki
 from kinolake.session import cut_lineage
 
 CHUNK_LIMIT, CHUNK_OVERLAP, CONTAINER = 1024, 128, 1200
-MAX_LABELS = 12_000
-TOXIC_FROM = 0.5
+#: At most so many labelled documents train the classifier.
+MAX_LABELS = 20_000
+#: Documents are flagged from this score on.
+TOXIC_FROM = 0.8
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:

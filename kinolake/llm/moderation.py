@@ -37,7 +37,7 @@ LEET = str.maketrans({"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s"
 _STAR = "ʘ"
 #: Marks letters that were written apart; where a word begins among them is not known.
 _APART = _STAR + _STAR
-_STARS = re.compile(r"(?<=[^\W\d_])\*(?!\*)|(?<!\*)\*(?=[^\W\d_])")
+_STARS = re.compile(r"(?<=[^\W\d_])\*{1,3}(?=[^\W\d_])|(?<=[^\W\d_])\*(?!\*)|(?<!\*)\*(?=[^\W\d_])")
 _SIGNS = re.compile(r"(?<=\w)[@$](?=\w)|(?<!\w)[@$](?=[^\W\d_]{2})|(?<=[^\W\d_]{2})[@$](?!\w)")
 _STRETCH = re.compile(r"(.)\1{2,}")
 _REPEAT = re.compile(r"(.)\1+")
@@ -56,7 +56,7 @@ def tokens(text: str | None) -> list[str]:
     if not text:
         return []
     if "*" in text:
-        text = _STARS.sub(_STAR, text)
+        text = _STARS.sub(lambda m: _STAR * len(m[0]), text)
     if "@" in text or "$" in text:
         text = _SIGNS.sub(lambda m: "a" if m[0] == "@" else "s", text)
     found = plain(text).split()

@@ -60,7 +60,7 @@ def test_swapping_groups_hardly_changes_scores(model):
     assert max(gaps) < 0.4
 
 
-@pytest.mark.parametrize("word", ["gr0bble", "g r o b b l e", "g.r.o.b.b.l.e", "gr*bble", "GRRROOOBBBLE", "g​robble", "grоbble", "Gröbble"])
+@pytest.mark.parametrize("word", ["gr0bble", "g r o b b l e", "g.r.o.b.b.l.e", "gr*bble", "gr*bbl*", "gr**ble", "GRRROOOBBBLE", "g​robble", "grоbble", "Gröbble"])
 def test_spellings(model, word):
     assert model.vocab["grobble"] in Speller(model.vocab).ids(tokens(f"x {word} y")).tolist()
     assert next(iter(model.score([f"You are a pathetic {word}, nobody likes you."])))[0] > 0.5
