@@ -42,16 +42,24 @@ def packed_chunks(segments: DataFrame, limit: int = 1200, video: str = "video_na
 
     A segment over the limit is cut to its first tokens; null content is empty. Copied
     rows count once; segments of one index are ordered by id. A video without any token
-    gives no chunk. Only sizes take part in the packing (see ``greedy_bins``); texts are
-    gathered per chunk, which the limit bounds.
+    gives no chunk. Only sizes and hashes take part in the packing (see ``greedy_bins``);
+    texts are moved twice, to their place and to their chunk, which the limit bounds.
     """
-    rows = segments.select(F.col(video).alias("video_name"), F.col(index).cast("int").alias("segment_index"), F.col(segment).alias("segment_id"), F.col(content).alias("content")).distinct()
-    rows = rows.withColumn("n", F.least(token_count("content"), F.lit(limit)))
-    placed = greedy_bins(rows.select("video_name", "segment_index", "segment_id", "content", "n"), ["video_name"], ["segment_index", "segment_id", "content"], "n", limit, out="chunk_order_index")
-    cut = placed.withColumn("_text", first_tokens("content", token_count("content"), limit))
-    parts = F.array_sort(F.collect_list(F.struct("segment_index", "segment_id", "_text")))
-    out = cut.groupBy("video_name", "chunk_order_index").agg(F.sum("n").cast("int").alias("tokens"), parts.alias("_p"))
-    made = out.select("video_name", "chunk_order_index", "tokens", strip(F.array_join(F.transform("_p", lambda p: p["_text"]), "")).alias("content"), F.transform("_p", lambda p: p["segment_id"]).alias("video_segment_id"))
+    rows = segments.select(F.col(video).alias("video_name"), F.col(index).cast("int").alias("segment_index"), F.col(segment).alias("segment_id"), F.col(content).alias("content"))
+    key = ["video_name", "segment_index", "segment_id", "_h"]
+    rows = rows.withColumn("_h", F.coalesce(F.md5("content"), F.lit("")))
+    sizes = rows.select(*key, F.least(token_count("content"), F.lit(limit)).alias("n")).distinct()
+    placed = greedy_bins(sizes, ["video_name"], ["segment_index", "segment_id", "_h"], "n", limit, out="chunk_order_index")
+    placed = placed.select(*[F.col(c).alias("_k" + c) for c in key], "n", "chunk_order_index")
+    same = F.lit(True)
+    for c in key:
+        same = same & F.col(c).eqNullSafe(F.col("_k" + c))
+    cut = rows.join(placed, same).withColumn("_text", first_tokens("content", token_count("content"), limit))
+    # copies of a segment fall together in the set
+    parts = F.array_sort(F.collect_set(F.struct("segment_index", "segment_id", "_h", "n", "_text")))
+    out = cut.groupBy("video_name", "chunk_order_index").agg(parts.alias("_p"))
+    total = F.aggregate("_p", F.lit(0), lambda t, p: t + p["n"])
+    made = out.select("video_name", "chunk_order_index", total.alias("tokens"), strip(F.array_join(F.transform("_p", lambda p: p["_text"]), "")).alias("content"), F.transform("_p", lambda p: p["segment_id"]).alias("video_segment_id"))
     return made.filter(F.col("tokens") > 0)
 
 

@@ -266,18 +266,29 @@ def hash_of(name: str) -> int:
 # ---------------------------------------------------------------- expansion
 
 
-def related_chunks(seeds: DataFrame, nodes: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
+def node_sources(mentions: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """``entity_name, source_id``: the sources of every name, each once.
+
+    The relational form of ``source_ids``: for names that occur in a large part of all
+    chunks use this table and leave the array to display.
+    """
+    rows = mentions.filter(F.col("entity_name").isNotNull()).select("entity_name", "source_id")
+    if existing is not None:
+        rows = rows.unionByName(existing.select("entity_name", F.explode("source_ids").alias("source_id")))
+    return rows.distinct()
+
+
+def related_chunks(seeds: DataFrame, sources: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
     """``chunk_id, seed_rank, relation_count``: the seeds' chunks that share most one-hop relations.
 
-    ``seeds`` has entity_name and rank (few rows, one question). For each chunk of a seed
-    the edges are counted whose other end also has that chunk; a chunk belongs to the
-    first seed that has it. Order: count descending, seed rank, chunk id.
+    ``seeds`` has entity_name and rank (few rows, one question); ``sources`` is
+    ``node_sources``. For each chunk of a seed the edges are counted whose other end also
+    has that chunk; a chunk belongs to the first seed that has it. Order: count
+    descending, seed rank, chunk id.
     """
-    seeded = seeds.join(nodes.select("entity_name", "source_ids"), "entity_name")
-    chunks = seeded.select("entity_name", "rank", F.explode("source_ids").alias("chunk_id"))
+    chunks = seeds.join(sources, "entity_name").select("entity_name", "rank", F.col("source_id").alias("chunk_id"))
     first = chunks.groupBy("chunk_id").agg(F.min(F.struct("rank", "entity_name")).alias("_f")).select("chunk_id", F.col("_f.rank").alias("seed_rank"), F.col("_f.entity_name").alias("entity_name"))
-    hops = node_edges(seeds, edges).join(nodes.select(F.col("entity_name").alias("other"), F.col("source_ids").alias("_o")), "other")
-    shared = hops.select("entity_name", "other", F.explode("_o").alias("chunk_id")).distinct()
+    shared = node_edges(seeds, edges).join(sources.select(F.col("entity_name").alias("other"), F.col("source_id").alias("chunk_id")), "other")
     counts = first.join(shared, ["entity_name", "chunk_id"], "left").groupBy("chunk_id", "seed_rank").agg(F.count("other").alias("relation_count"))
     return counts.orderBy(F.desc("relation_count"), "seed_rank", "chunk_id").limit(k)
 

@@ -117,7 +117,8 @@ class Engine:
     def _related(self, seeds: DataFrame, k: int) -> DataFrame:
         if self._read("nodes") is None:
             return self.spark.createDataFrame([], "segment_id string")
-        chunks = graph.related_chunks(seeds, self._read("nodes"), self._read("edges"), k)
+        sources = self._read("nodes").select("entity_name", F.explode("source_ids").alias("source_id"))
+        chunks = graph.related_chunks(seeds, sources, self._read("edges"), k)
         return graph.chunk_segments(chunks, self._read("chunks"))
 
     def retrieve(self, question: str, mode: str = "context") -> DataFrame:

@@ -116,10 +116,9 @@ def sub_communities(spark, folder):
 def related_segments(spark, folder):
     """Five seed suppliers; orders stand for chunks."""
     rel = relations(spark, folder)
-    ends = rel.select(F.col("src_id").alias("entity_name"), "source_id").union(rel.select("tgt_id", "source_id"))
-    nodes = ends.groupBy("entity_name").agg(F.array_sort(F.collect_set("source_id")).alias("source_ids"))
+    sources = graph.node_sources(rel.select(F.col("src_id").alias("entity_name"), "source_id").union(rel.select("tgt_id", "source_id")))
     seeds = table(spark, folder, "supplier").filter("s_suppkey BETWEEN 1 AND 5").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_name"), F.col("s_suppkey").cast("int").alias("rank"))
-    return graph.related_chunks(seeds, nodes, edges(spark, folder), 8)
+    return graph.related_chunks(seeds, sources, edges(spark, folder), 8)
 
 
 def entity_mentions(spark, folder):
