@@ -328,27 +328,31 @@ def similar_pairs(neighbours: DataFrame) -> DataFrame:
 class _Best:
     """The ``k`` best rows of every query so far, each id once; equal to six decimals: smaller id first."""
 
-    def __init__(self, names: np.ndarray, points: np.ndarray, least: np.ndarray, k: int):
-        self.names, self.points, self.least, self.k = names, points, least, k
+    def __init__(self, names: np.ndarray, points: np.ndarray, k: int):
+        self.names, self.points, self.k = names, points, k
         self.rows: list[dict[str, float]] = [{} for _ in names]
         self.worst = np.full(len(names), -2.0)
 
-    def add(self, ids: np.ndarray, x: np.ndarray, lists: np.ndarray, centroids: np.ndarray) -> None:
+    def add(self, ids: np.ndarray, x: np.ndarray) -> None:
         ids, first = np.unique(ids, return_index=True)
-        x, lists = x[first], lists[first]
-        for cell in np.unique(lists):
-            member = np.flatnonzero(lists == cell)
-            query = np.flatnonzero(self.points @ centroids[cell] >= self.least)
-            if not len(query):
-                continue
-            s = self.points[query] @ x[member].T
-            r, c = np.nonzero(s >= (self.worst[query] - 2e-6)[:, None])
-            if not len(r):
-                continue
-            exact = np.einsum("ij,ij->i", self.points[query[r]].astype(np.float64), x[member[c]].astype(np.float64))
-            for q in np.unique(r):
-                at = np.flatnonzero(r == q)
-                self._merge(int(query[q]), ids[member[c[at]]], exact[at])
+        x = x[first]
+        for a in range(0, len(self.points), 2048):
+            for b in range(0, len(ids), 4096):
+                self._block(a, ids[b : b + 4096], x[b : b + 4096])
+
+    def _block(self, a: int, ids: np.ndarray, x: np.ndarray) -> None:
+        s = self.points[a : a + 2048] @ x.T
+        least = self.worst[a : a + 2048] - 2e-6
+        new = np.flatnonzero(least < -1.5)
+        if len(new) and len(ids) > self.k + 1:  # a query without rows yet: only its best ones
+            least[new] = np.partition(s[new], -(self.k + 1), axis=1)[:, -(self.k + 1)] - 2e-6
+        r, c = np.nonzero(s >= least[:, None])
+        if not len(r):
+            return
+        exact = np.einsum("ij,ij->i", self.points[a + r].astype(np.float64), x[c].astype(np.float64))
+        starts = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        for i, j in zip(starts, np.append(starts[1:], len(r))):
+            self._merge(a + int(r[i]), ids[c[i:j]], exact[i:j])
 
     def _merge(self, query: int, ids: np.ndarray, sims: np.ndarray) -> None:
         if len(ids) > 4 * self.k:  # ids are in order, so a stable sort keeps ties right
@@ -359,55 +363,38 @@ class _Best:
         if len(row) > self.k:
             best = sorted(row.items(), key=lambda x: (-round(x[1], 6), x[0]))[: self.k]
             self.rows[query] = dict(best)
-            self.worst[query] = best[-1][1]
+        if len(self.rows[query]) == self.k:
+            self.worst[query] = min(self.rows[query].values())
 
 
-def search(
-    queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = 128, list_size: int = 200, share: float = 0.6, block: int = 50_000,
-    max_sample: int = 40_000, max_lists: int = 16_384, vector_id: str = "id", embedding: str = "embedding",
-) -> DataFrame:
-    """``id, other, similarity``: the ``k`` most similar other ids for a stated set of queries, against all rows.
+def search(queries: DataFrame, vectors: DataFrame, k: int = 5, dim: int = 128, block: int = 20_000, vector_id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """``id, other, similarity``: exactly the ``k`` most similar other ids for a stated set of queries, against all rows.
 
-    Each query looks into the nearest ``share`` of all lists, so that neighbours far away
-    are found as well. Rows are never moved: the queries go to the tasks in blocks of
-    at most ``block``, each task keeps its own best rows of each query, and only those
-    are shuffled. Copies and unusable embeddings as in ``most_similar``.
+    Rows are never moved: the queries go to the tasks in blocks of at most ``block``,
+    each task keeps its own best rows of each query, and only those are shuffled. Copies
+    and unusable embeddings as in ``most_similar``.
     """
     spark = vectors.sparkSession
     coded = usable(vectors, dim, vector_id, embedding)
-    n = coded.count()
-    index = _index(spark, coded, n, dim, list_size, max_sample, max_lists)
-    if index is None:
-        return spark.createDataFrame([], PAIRS)
     asked = usable(queries, dim, vector_id, embedding).distinct()
     blocks = max(1, -(-asked.count() // block))
-    out = None
+    out = spark.createDataFrame([], PAIRS)
     for number in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == number).orderBy("id").collect()
-        if not part:
-            continue
-        points = decode([bytes(r.code) for r in part], dim)
-        centroids = index.value.points
-        probes = max(1, int(np.ceil(share * len(centroids))))
-        least = np.concatenate([np.partition(points[a : a + 1024] @ centroids.T, len(centroids) - probes, axis=1)[:, len(centroids) - probes] for a in range(0, len(points), 1024)]) - 1e-6
-        sent = spark.sparkContext.broadcast((np.array([r.id for r in part], object), points, least))
-        found = coded.mapInArrow(_searcher(index, sent, dim, k), PAIRS)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], PAIRS)
+        if part:
+            sent = spark.sparkContext.broadcast((np.array([r.id for r in part], object), decode([bytes(r.code) for r in part], dim)))
+            out = out.unionByName(coded.mapInArrow(_searcher(sent, dim, k), PAIRS))
     by = Window.partitionBy("id").orderBy(F.desc(F.round("similarity", 6)), "other")
     one = out.groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
     return one.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k).drop("_r")
 
 
-def _searcher(index, sent, dim: int, k: int):
+def _searcher(sent, dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(*sent.value, k)
         for batch in batches:
             if batch.num_rows:
-                x = decode(batch.column("code").to_pylist(), dim)
-                lists, _ = index.value.search(x, 1)
-                best.add(np.array(batch.column("id").to_pylist(), object), x, lists[:, 0], index.value.points)
+                best.add(np.array(batch.column("id").to_pylist(), object), decode(batch.column("code").to_pylist(), dim))
         rows = [(name, other, s) for name, row in zip(best.names, best.rows) for other, s in row.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PAIRS)], schema=_PAIRS)
 

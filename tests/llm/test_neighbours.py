@@ -63,10 +63,11 @@ def test_search_for_stated_queries(spark, rows):
     pdf = pd.DataFrame([(r[0], None if r[1] is None else np.array(r[1], np.float32)) for r in rows], columns=["id", "embedding"])
     want = exact_most_similar(pdf, 5, DIM)
     got = {}
-    for r in search(asked, df, 5, DIM, list_size=60).collect():
+    for r in search(asked, df, 5, DIM).collect():
         got.setdefault(r.id, set()).add(r.other)
     assert set(got) == {i for i in want if i.endswith("7")}
-    assert sum(len(got[i] & {o for o, _ in want[i]}) for i in got) / (5 * len(got)) > 0.95
+    assert all(got[i] == {o for o, _ in want[i]} for i in got)
+    assert search(asked, df, 5, DIM, block=20).count() == 5 * len(got)
 
 
 def test_empty(spark):
