@@ -85,7 +85,7 @@ class Store:
         fs, pointer = self._fs(f"{self.folder}/{name}/current.json")
         if not fs.exists(pointer):
             return None
-        return json.loads(self.spark.read.option("wholetext", True).text(pointer.toString()).first()[0])["version"]
+        return json.loads(self.spark.read.text(pointer.toString(), wholetext=True).first()[0])["version"]
 
     def read(self, name: str, schema=None) -> DataFrame | None:
         """The current version; an empty table of the schema, or None, where there is none."""
