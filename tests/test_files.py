@@ -27,7 +27,7 @@ def test_jsonl(spark, tmp_path):
     (tmp_path / "j" / "more.json").write_text('{broken\n\n{"n": 3}\n')
     good, bad = files.read_jsonl(spark, str(tmp_path / "j"), "custom_id string, n int")
     assert sorted((r.custom_id, r.n) for r in good.collect()) == [("a", 1), ("b", None)]
-    assert sorted(r.value for r in bad.collect()) == ["{broken", '{"n": 3}']
+    assert sorted(r.value for r in bad.collect()) == ['{"n": 3}', '{broken']
 
 
 def test_answers_and_dead_letters(spark, tmp_path):
