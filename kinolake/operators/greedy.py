@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolake.session import cut_lineage
+
 
 def next_start(sizes: np.ndarray, limit: int) -> np.ndarray:
     """For a bin starting at each row, the row that doesn't fit any more (the length if all fit). A row always fits into an empty bin."""
@@ -65,14 +67,15 @@ def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str,
 
     Rows are numbered in ranges of the order, never a whole group in one task: a range
     sort numbers the rows, blocks of ``block`` rows are summarised in parallel, one row
-    of summary a block is composed per group.
+    of summary a block is composed per group. The numbered rows are written once to the
+    checkpoint folder, so pass narrow rows and join the rest back.
     """
     taken = [out, "_g", "_block", "_at", "_size", "_range"]
     if any(c in items.columns for c in taken):
         raise ValueError("the items have a column named like one that is added")
     numbered = _number(items, group, order).withColumn("_size", F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)))
     numbered = numbered.withColumn("_block", F.floor(F.col("_at") / block).cast("bigint"))
-    numbered = numbered.withColumn("_g", F.to_json(F.struct(*group)))  # never null, also for null groups
+    numbered = cut_lineage(numbered.withColumn("_g", F.to_json(F.struct(*group))))  # the key is never null, also for null groups
     narrow = numbered.select("_g", "_block", "_at", "_size")
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
