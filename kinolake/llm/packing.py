@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolake.session import cut_lineage
+
 _RANGES = "grp string, len int, start bigint, n bigint, container bigint, per int"
 
 
@@ -227,7 +229,7 @@ def pack_items(
     joins on the same salted key.
     """
     parts = pieces_of(items.select(group, item, length).distinct(), item, group, length, capacity)
-    parts = parts.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(salts)).cast("int"))
+    parts = cut_lineage(parts.withColumn("salt", F.pmod(F.xxhash64("item", "piece"), F.lit(salts)).cast("int")))  # narrow; texts are read once
     by_salt = parts.groupBy("grp", "len", "salt").agg(F.count("*").alias("n"))
     histogram = by_salt.groupBy("grp", "len").agg(F.sum("n").alias("n"))
 

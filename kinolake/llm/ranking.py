@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinolake.session import cut_lineage
+
 RANKED = "metric string, item string, strength double, std_error double, position int, n_comparisons bigint, order_effect double, draw_width double"
 
 
@@ -115,6 +117,7 @@ def rank_items(counts: DataFrame, items: DataFrame | None = None, item: str = "i
     One task fits one metric from at most items squared rows, whatever the number of
     votes; the votes themselves never leave their partitions unaggregated.
     """
+    counts = cut_lineage(counts)  # small; the votes are read once
     sides = counts.select("metric", F.col("first").alias("item")).union(counts.select("metric", F.col("second").alias("item"))).distinct()
     if items is not None:
         listed = items.select(F.col(item).cast("string").alias("item")).filter(F.col("item").isNotNull()).distinct()
