@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinolake.session import spread
+
 MEMORY, BATCH, MERGE, NEW = 50, 10, 0.85, 0.5
 RESOLVED = "run string, batch int, raw_name string, resolved_name string, how string"
 _LEAD, _TAIL = re.compile(r"^(the|a|an|mr\.|dr\.)\s+"), re.compile(r"\s+(inc\.|llc\.|corp\.?)$")
@@ -95,7 +97,7 @@ def resolve(mentions: DataFrame, run: str, embed: Callable, decide=None, memory_
         return out.astype({"batch": "int32"})
 
     rows = mentions.filter(F.col("entity_name").isNotNull()).select(F.col(run).cast("string").alias("run"), "chunk_order", "seq", "entity_name", "description")
-    return rows.groupBy("run").applyInPandas(one, RESOLVED)
+    return spread(rows, "run").groupBy("run").applyInPandas(one, RESOLVED)
 
 
 def apply_to_edges(edges: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -51,3 +51,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the shared folder; survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Partitioned by keys into a fixed number of parts.
+
+    For few small rows with much work each: adaptive execution would merge such
+    partitions by their bytes into one task, but leaves an explicit number alone.
+    """
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return df.repartition(parts, *keys)
