@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolake.session import cut_lineage
+from kinolake.session import cut_lineage, spread
 
 _RANGES = "grp string, len int, start bigint, n bigint, container bigint, per int"
 
@@ -239,7 +239,7 @@ def pack_items(
         out.insert(0, "grp", pdf["grp"].iloc[0])
         return out.astype({"len": "int32", "per": "int32"})
 
-    ranges = histogram.groupBy("grp").applyInPandas(pack, _RANGES)
+    ranges = spread(histogram, "grp").groupBy("grp").applyInPandas(pack, _RANGES)
     ranges = ranges.groupBy("grp", "len").agg(F.array_sort(F.collect_list(F.struct("start", "n", "container", "per"))).alias("ranges"))
     before = Window.partitionBy("grp", "len").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = by_salt.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0)))

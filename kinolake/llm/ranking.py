@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinolake.session import cut_lineage
+from kinolake.session import cut_lineage, spread
 
 RANKED = "metric string, item string, strength double, std_error double, position int, n_comparisons bigint, order_effect double, draw_width double"
 
@@ -138,7 +138,7 @@ def rank_items(counts: DataFrame, items: DataFrame | None = None, item: str = "i
         rank[sorted(range(len(names)), key=lambda i: (-strengths[i], names[i]))] = np.arange(1, len(names) + 1)
         return pd.DataFrame({"metric": pdf["metric"].iloc[0], "item": names, "strength": strengths, "std_error": errors, "position": rank.astype("int32"), "n_comparisons": total.astype("int64"), "order_effect": order, "draw_width": width})
 
-    return counts.unionByName(alone).groupBy("metric").applyInPandas(one_metric, RANKED)
+    return spread(counts.unionByName(alone), "metric").groupBy("metric").applyInPandas(one_metric, RANKED)
 
 
 def latest_votes(votes: DataFrame) -> DataFrame:
