@@ -39,8 +39,8 @@ def hash_embedder(dim: int = 64) -> Callable[[list[str]], np.ndarray]:
     return run
 
 
-def name_extractor(text: str, most: int = 12) -> str:
-    """Extraction records from capitalised words: neighbours in the text are related."""
+def name_extractor(text: str, most: int | None = None) -> str:
+    """Extraction records from capitalised words: neighbours in the text are related. All of them, unless ``most`` names are asked for."""
     names = list(dict.fromkeys(re.findall(r"\b[A-Z][a-z]{3,}\b", text or "")))[:most]
     records = [f'("entity"{TUPLE_END}{n}{TUPLE_END}NAME{TUPLE_END}{n} is mentioned)' for n in names]
     records += [f'("relationship"{TUPLE_END}{a}{TUPLE_END}{b}{TUPLE_END}{a} is near {b}{TUPLE_END}1)' for a, b in zip(names, names[1:])]

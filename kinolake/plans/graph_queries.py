@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinolake.operators import graph, providers, resolve
 from kinolake.plans.base import table
+from kinolake.session import cut_lineage
 
 
 def mentions(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +127,7 @@ def entity_mentions(spark, folder):
     names = F.pandas_udf(lambda s: s.map(providers.name_extractor), "string")
     answers = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("chunk_id"), names("text").alias("answer"))
     found, _ = graph.parse_records(answers)
-    merged = graph.merge_nodes(found)
+    merged = graph.merge_nodes(cut_lineage(found))  # texts are extracted from once
     return merged.select("entity_name", "entity_type", F.size("source_ids").alias("n_sources"))
 
 

@@ -152,6 +152,14 @@ def test_parse_and_merge(spark):
     assert again == {6.0}
 
 
+def test_all_names_of_a_text(spark):
+    names = [f"Name{chr(97 + i)}" for i in range(26)] + ["Last"]
+    answers = spark.createDataFrame([("c", providers.name_extractor(" met ".join(names)))], "chunk_id string, answer string")
+    entities, relations = graph.parse_records(answers)
+    assert {r.entity_name for r in entities.collect()} == {n.upper() for n in names}
+    assert {(r.src_id, r.tgt_id) for r in relations.collect()} == {(a.upper(), b.upper()) for a, b in zip(names, names[1:])}
+
+
 def test_type_ties_and_existing(spark):
     rows = [("A", "x", "d", "1", 2), ("A", "y", "d", "2", 1), (None, "z", "d", "3", 0)]
     mentions = spark.createDataFrame(rows, "entity_name string, entity_type string, description string, source_id string, seq long")
