@@ -147,13 +147,21 @@ def json_span(spark, folder):
     return events.select("event_id", text.json_object_span(answer).alias("object"), text.json_array_span(answer).alias("array"))
 
 
-def mcq_options(spark, folder):
-    parts = table(spark, folder, "part").filter("p_size % 10 = 0")
+def _options(parts):
     question = F.concat(F.lit("Which? A) "), "p_name", F.lit("\nB. "), "p_brand", F.lit(" \n(C) "), "p_type", F.lit("\nU.S.A. D) none"))
     options = parts.select("p_partkey", F.posexplode(text.choice_options(question)).alias("pos", "o"))
     return options.select("p_partkey", "pos", F.col("o.label").alias("label"), F.col("o.text").alias("claim"))
 
 
+def mcq_options(spark, folder):
+    """Of every tenth size only, as its SQL says; ``mcq_options_all`` has all parts."""
+    return _options(table(spark, folder, "part").filter("p_size % 10 = 0"))
+
+
+def mcq_options_all(spark, folder):
+    return _options(table(spark, folder, "part"))
+
+
 def entity_names(spark, folder):
     parts = table(spark, folder, "part")
     raw = F.concat(F.when(F.col("p_size") % 4 == 0, "The ").when(F.col("p_size") % 4 == 1, " Dr.  ").otherwise(""), "p_name", F.when(F.col("p_size") % 3 == 0, " Inc.").when(F.col("p_size") % 3 == 1, " corp").otherwise(""))
@@ -167,7 +175,7 @@ def context_rows(spark, folder):
 
 
 def drafts(spark, folder):
-    docs = _docs(spark, folder).filter("doc_id % 5 < 3")
+    docs = _docs(spark, folder)
     answer = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("x Updated Draft: y Updated Draft: "), "text")).when(F.col("doc_id") % 5 == 1, F.concat(F.lit("Updated MCQ Analysis\n"), "source")).otherwise(F.col("text"))
     return docs.select("doc_id", F.md5(text.updated_draft(answer)).alias("draft_md5"))
 
@@ -182,7 +190,7 @@ def verdicts(spark, folder):
 QUERIES = (
     segment_plan, frame_plan, segment_merge, caption_recovered, video_completeness, videos_with_features, segment_ids, video_names, multi_get, filter_keys, kv_upsert,
     manifest_merge, incremental_insert, chunk_fixed, chunk_greedy, chunk_dedup, chunk_separator, token_budget, request_batches, text_cleaning, text_normalised,
-    record_parse, json_span, mcq_options, entity_names, context_rows, drafts, verdicts,
+    record_parse, json_span, mcq_options, mcq_options_all, entity_names, context_rows, drafts, verdicts,
 )
 
 _TOK = r"regexp_extract_all({0}, '[^ \t\n\r]+')"
@@ -262,6 +270,10 @@ SQL = {
         WITH q AS (SELECT p_partkey, 'Which? A) ' || p_name || chr(10) || 'B. ' || p_brand || ' ' || chr(10) || '(C) ' || p_type || chr(10) || 'U.S.A. D) none' AS q FROM part WHERE p_size % 10 = 0),
         e AS (SELECT p_partkey, regexp_extract_all(q, '(?:\(?([A-D])[\)\.])\s*([^\(\n]+)', 1) AS l, regexp_extract_all(q, '(?:\(?([A-D])[\)\.])\s*([^\(\n]+)', 2) AS t FROM q)
         SELECT p_partkey, CAST(i AS INTEGER) AS pos, l[i + 1] AS label, trim(t[i + 1]) AS claim FROM e, LATERAL (SELECT unnest(range(0, len(l))) AS i)""",
+    "mcq_options_all": r"""
+        WITH q AS (SELECT p_partkey, 'Which? A) ' || p_name || chr(10) || 'B. ' || p_brand || ' ' || chr(10) || '(C) ' || p_type || chr(10) || 'U.S.A. D) none' AS q FROM part),
+        e AS (SELECT p_partkey, regexp_extract_all(q, '(?:\(?([A-D])[\)\.])\s*([^\(\n]+)', 1) AS l, regexp_extract_all(q, '(?:\(?([A-D])[\)\.])\s*([^\(\n]+)', 2) AS t FROM q)
+        SELECT p_partkey, CAST(i AS INTEGER) AS pos, l[i + 1] AS label, trim(t[i + 1]) AS claim FROM e, LATERAL (SELECT unnest(range(0, len(l))) AS i)""",
     "entity_names": r"""
         WITH r AS (SELECT p_partkey, p_name, CASE p_size % 4 WHEN 0 THEN 'The ' WHEN 1 THEN ' Dr.  ' ELSE '' END || p_name || CASE p_size % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' corp' ELSE '' END AS raw FROM part)
         SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(raw)), '^(the|a|an|mr\.|dr\.)\s+', ''), '\s+(inc\.|llc\.|corp\.?)$', '') AS name, 'ent-' || md5(upper(p_name)) AS entity_id FROM r""",
