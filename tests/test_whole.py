@@ -18,3 +18,27 @@ def ids(frame, column):
 @pytest.mark.parametrize("query,name,key", [("drafts", "documents", "doc_id"), ("mcq_options_all", "part", "p_partkey")])
 def test_every_row_comes_out(spark, query, name, key):
     assert ids(catalog.queries()[query](spark, oracle.FOLDER), key) == ids(table(spark, oracle.FOLDER, name), key)
+
+
+def test_all_suppliers_are_asked(spark):
+    lines = table(spark, oracle.FOLDER, "lineitem").select("l_suppkey", "l_partkey").distinct().collect()
+    got = catalog.queries()["node_edges_all"](spark, oracle.FOLDER).collect()
+    assert {tuple(r) for r in got} == {(f"S{r.l_suppkey}", f"P{r.l_partkey}") for r in lines}
+
+
+def test_largest_component_of_all_lines(spark):
+    around = {}
+    for r in table(spark, oracle.FOLDER, "lineitem").select("l_suppkey", "l_partkey").distinct().collect():
+        around.setdefault(f"S{r.l_suppkey}", set()).add(f"P{r.l_partkey}")
+        around.setdefault(f"P{r.l_partkey}", set()).add(f"S{r.l_suppkey}")
+    found, seen = [], set()
+    for start in sorted(around):
+        if start not in seen:
+            part, new = {start}, [start]
+            while new:
+                fresh = around[new.pop()] - part
+                part |= fresh
+                new += fresh
+            seen |= part
+            found.append(part)
+    assert ids(catalog.queries()["largest_component"](spark, oracle.FOLDER), "entity_name") == max(found, key=len)
