@@ -1,8 +1,12 @@
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 
+from kinolake.llm import catalog
 from kinolake.llm.neighbours import Centroids, decode, encode, exact_most_similar, fit_centroids, most_similar, near_lists, search, similar_pairs
+from tests import oracle
 
 DIM = 16
 
@@ -75,3 +79,16 @@ def test_empty(spark):
     assert most_similar(df, 5, DIM).count() == 0 and search(df, df, 5, DIM).count() == 0
     one = spark.createDataFrame([("a", [1.0] * DIM)], "id string, embedding array<float>")
     assert most_similar(one, 5, DIM).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(oracle.FOLDER), reason="no test tables here")
+@pytest.mark.parametrize("folder,least", [(oracle.FOLDER, 1.0), (oracle.FOLDER.replace("sf0.001", "sf0.01"), 0.95)])
+def test_five_nearest_of_every_vector(spark, folder, least):
+    want = exact_most_similar(spark.read.parquet(f"{folder}/vectors.parquet").toPandas(), 5)
+    got = {}
+    for r in catalog.queries()["p2_nearest"](spark, folder).collect():
+        got.setdefault(r.id, {})[r.other] = r.similarity
+    assert set(got) == set(want) and all(len(near) == 5 for near in got.values())
+    pairs = [(i, other, s) for i, near in want.items() for other, s in near]
+    found = [(got[i][other], s) for i, other, s in pairs if other in got[i]]
+    assert len(found) >= least * len(pairs) and all(abs(a - b) < 2e-6 for a, b in found)
