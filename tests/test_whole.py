@@ -42,3 +42,8 @@ def test_largest_component_of_all_lines(spark):
             seen |= part
             found.append(part)
     assert ids(catalog.queries()["largest_component"](spark, oracle.FOLDER), "entity_name") == max(found, key=len)
+
+
+def test_all_embeddings_are_evidence(spark):
+    out = catalog.queries()["evidence_union_all"](spark, oracle.FOLDER).filter("type <> 'segment'")
+    assert ids(out, "id") == {f"e{i}" for i in ids(table(spark, oracle.FOLDER, "embeddings"), "vec_id")}
