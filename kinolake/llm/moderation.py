@@ -332,7 +332,7 @@ def _log_odds(bags: Bags, y: np.ndarray, use: np.ndarray, size: int, least: int)
 
 
 def _fit(bags, starts, target, one, two, bias, frequent, is_term, swap_ids, rng, steps, l2, swap):
-    """Adam on the logistic loss with L2 and the penalty on score changes under swaps."""
+    """Adam on the logistic loss with L2 and, for every window with an identity term, the penalty on score changes under swaps."""
     size = len(one)
     x = bags.windows(starts)
     x[:, WIDTH:] += size
@@ -340,8 +340,6 @@ def _fit(bags, starts, target, one, two, bias, frequent, is_term, swap_ids, rng,
     at = np.minimum(starts[:, None] + np.arange(WIDTH), len(bags.ids) - 1)
     ids = np.where(bags.real[at], bags.ids[at], -1)
     named = np.flatnonzero(is_term[np.maximum(ids, 0)].any(1)) if len(swap_ids) else np.zeros(0, np.int64)
-    if len(named) > 3000:
-        named = np.sort(rng.choice(named, 3000, replace=False))
     if len(named):
         swapped = ids[named].copy()
         hit = is_term[np.maximum(swapped, 0)] & (swapped > 0)

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from kinolake.llm import moderation
 from kinolake.llm.moderation import Bags, Model, Speller, fit_model, identity_terms, labelled_sample, rates, score_documents, tokens, train
 
 GROUPS = ["Ordolin", "Velmarian", "Tashkuni", "Bremmari"]
@@ -117,3 +118,12 @@ def test_frame(spark):
     by = {r.source: r for r in rates(scored).collect()}
     assert set(by) == {"a", "und"} and sum(r.n_docs for r in by.values()) == 601
     assert score_documents(docs.limit(0), fit_model(sample.limit(0))).count() == 0
+
+
+def test_all_windows_with_terms_are_penalised(monkeypatch):
+    passed, windows, rows, fit = [], [], moderation._rows, moderation._fit
+    monkeypatch.setattr(moderation, "_rows", lambda ids: passed.append(len(ids)) or rows(ids))
+    monkeypatch.setattr(moderation, "_fit", lambda bags, starts, *rest: windows.append(len(starts)) or fit(bags, starts, *rest))
+    texts = [f"w{i % 50} {'stink' if i % 4 == 0 else 'paint'} the velmins" for i in range(3600)]
+    train(texts, ["en"] * len(texts), np.array([i % 4 == 0 for i in range(len(texts))], int), {"velmins"}, steps=2)
+    assert max(windows) > 3000 and passed == [n for n in windows for _ in range(2)]  # every window holds the term
