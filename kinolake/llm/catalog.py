@@ -111,10 +111,14 @@ def p6_items(spark: SparkSession, folder: str) -> DataFrame:
 # 7: mixing
 
 
-def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _allocation(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     targets = _table(spark, folder, "source_targets")
     sizes = cut_lineage(mixing.sized(_table(spark, folder, "documents")))  # texts are read once
-    plan = cut_lineage(mixing.budgets(sizes, targets))
+    return sizes, targets, cut_lineage(mixing.budgets(sizes, targets))
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    sizes, targets, plan = _allocation(spark, folder)
     return sizes, targets, plan, mixing.select_mix(sizes, plan)
 
 
@@ -127,7 +131,8 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p7_shares(spark, folder).filter("short").select("source")
+    """Sources whose first offers the allocation had to cut."""
+    return mixing.short_sources(_allocation(spark, folder)[2]).filter("short").select("source")
 
 
 # 8: moderation
