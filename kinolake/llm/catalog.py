@@ -53,8 +53,8 @@ def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
 def p3_ranking(spark: SparkSession, folder: str) -> DataFrame:
     counts = ranking.aggregate_counts(_outcomes(spark, folder), "metric", "first", "second", "outcome")
     methods = _table(spark, folder, "methods").select("method").distinct()
-    listed = F.broadcast(methods)  # the table of compared methods has a fixed size
-    counts = counts.join(listed.withColumnRenamed("method", "first"), "first", "left_semi").join(listed.withColumnRenamed("method", "second"), "second", "left_semi")
+    for side in ("first", "second"):
+        counts = counts.join(methods.withColumnRenamed("method", side), side, "left_semi")
     return ranking.rank_items(counts, methods, "method").withColumnRenamed("item", "method")
 
 

@@ -35,29 +35,69 @@ def aggregate_counts(votes: DataFrame, metric: str, first: str, second: str, out
     return one.groupBy("metric", "first", "second").agg(*counts)
 
 
-def fit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, n_items: int, penalty: float = 0.05, steps: int = 60, tol: float = 1e-10):
+class _Design:
+    """Margins ``s[first] - s[second] + g`` of all pairs, without a matrix of pairs by items."""
+
+    def __init__(self, first: np.ndarray, second: np.ndarray, n_items: int):
+        self.first, self.second, self.n = first, second, n_items
+
+    def times(self, x: np.ndarray) -> np.ndarray:
+        return x[self.first] - x[self.second] + x[self.n]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        """The transposed product: a value for each item, then one for the order effect."""
+        return np.append(np.bincount(self.first, r, self.n) - np.bincount(self.second, r, self.n), r.sum())
+
+    def diagonal(self, w: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.first, w, self.n) + np.bincount(self.second, w, self.n), w.sum())
+
+
+def _uphill(curvature, grad: np.ndarray, diagonal: np.ndarray, rounds: int, tol: float) -> np.ndarray:
+    """Conjugate gradients for ``curvature(step) = grad``; stops where the curvature isn't positive."""
+    x, r = np.zeros_like(grad), grad.copy()
+    z = r / diagonal
+    d, rz = z.copy(), float(r @ z)
+    end = tol * max(float(np.sqrt(grad @ grad)), 1e-30)
+    for k in range(rounds):
+        q = curvature(d)
+        bend = float(d @ q)
+        if bend <= 0:
+            return x if k else z
+        a = rz / bend
+        x += a * d
+        r -= a * q
+        if np.sqrt(r @ r) <= end:
+            break
+        z = r / diagonal
+        new = float(r @ z)
+        d, rz = z + (new / rz) * d, new
+    return x
+
+
+def fit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, n_items: int, penalty: float = 0.05, steps: int = 60, tol: float = 1e-10, rounds: int = 400):
     """Strengths (mean 0), standard errors, order effect, draw width.
 
     ``counts`` has a row of (first wins, second wins, draws) for each (first, second).
     Without draws the width is 0 and is not fitted.
+
+    Newton steps are solved by at most ``rounds`` conjugate gradients over the pairs, so
+    time and memory follow the number of pairs that met, not items squared. Standard
+    errors come from the diagonal of the curvature and its first correction by the
+    opponents' (two terms of the series of the inverse), for strengths of mean 0: within
+    a few percent where items met many others, too small where a few met only each other.
     """
     n1, n2, n0 = (counts[:, k].astype(float) for k in range(3))
-    draws = n0.sum() > 0
-    size = n_items + 2
-    x = np.zeros(size)  # strengths, order effect, log of the draw width
+    draws = bool(n0.sum() > 0)
+    design = _Design(first, second, n_items)
+    x = np.zeros(n_items + 2)  # strengths, order effect, log of the draw width
     x[-1] = np.log(max(0.05, n0.sum() / max(1.0, counts.sum()))) if draws else 0.0
-    rows = np.arange(len(first))
-    design = np.zeros((len(first), n_items + 1))
-    design[rows, first] += 1
-    design[rows, second] -= 1
-    design[:, n_items] = 1
-    ridge = np.full(size, penalty)
+    ridge = np.full(len(x), penalty)
     ridge[n_items] = ridge[-1] = 1e-6
 
     def parts(x):
         width = np.exp(x[-1]) if draws else 0.0
-        m = design @ x[:-1]
-        p1, p2 = 1 / (1 + np.exp(-(m - width))), 1 / (1 + np.exp(m + width))
+        m = design.times(x)
+        p1, p2 = 1 / (1 + np.exp(-np.clip(m - width, -700, 700))), 1 / (1 + np.exp(np.clip(m + width, -700, 700)))
         return width, p1, p2, np.maximum(1 - p1 - p2, 1e-300)
 
     def value(x):
@@ -65,34 +105,36 @@ def fit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, n_items: int,
         prior = x[-1] if draws else 0.0
         return (n1 * np.log(np.maximum(p1, 1e-300))).sum() + (n2 * np.log(np.maximum(p2, 1e-300))).sum() + (n0 * np.log(p0)).sum() * draws - 0.5 * (ridge[:-1] * x[:-1] ** 2).sum() - 0.5 * ridge[-1] * prior**2
 
-    best = value(x)
-    for _ in range(steps):
+    def derivatives(x):
+        """Of the log-likelihood by margin and width: first, then second."""
         width, p1, p2, p0 = parts(x)
         v1, v2 = p1 * (1 - p1), p2 * (1 - p2)
-        if draws:
-            # derivatives of the log-likelihood by the margin m and the width w
-            d0m, d0w = -v1 + v2, v1 + v2
-            gm = n1 * (1 - p1) - n2 * (1 - p2) + n0 * d0m / p0
-            gw = -n1 * (1 - p1) - n2 * (1 - p2) + n0 * d0w / p0
-            a1, a2 = v1 * (1 - 2 * p1), v2 * (1 - 2 * p2)
-            hmm = -n1 * v1 - n2 * v2 + n0 * ((-a1 - a2) / p0 - (d0m / p0) ** 2)
-            hmw = n1 * v1 - n2 * v2 + n0 * ((a1 - a2) / p0 - d0m * d0w / p0**2)
-            hww = -n1 * v1 - n2 * v2 + n0 * ((-a1 - a2) / p0 - (d0w / p0) ** 2)
-        else:
-            gm, hmm = n1 * (1 - p1) - n2 * (1 - p2), -(n1 + n2) * v1
-            gw = hmw = hww = np.zeros_like(gm)
-        grad = np.concatenate([design.T @ gm, [gw.sum() * width]]) - ridge * x
-        hess = np.zeros((size, size))
-        hess[:-1, :-1] = (design * hmm[:, None]).T @ design
-        hess[:-1, -1] = hess[-1, :-1] = design.T @ hmw * width
-        hess[-1, -1] = hww.sum() * width**2 + gw.sum() * width if draws else -1.0
-        hess -= np.diag(ridge)
-        lam = np.linalg.eigvalsh(hess)[-1]
-        if lam > -1e-9:  # keep the step uphill
-            hess -= np.eye(size) * (lam + 1e-3)
-        step = -np.linalg.solve(hess, grad)
         if not draws:
-            step[-1] = 0.0
+            none = np.zeros_like(p1)
+            return width, n1 * (1 - p1) - n2 * (1 - p2), none, -(n1 + n2) * v1, none, none
+        d0m, d0w = -v1 + v2, v1 + v2
+        gm = n1 * (1 - p1) - n2 * (1 - p2) + n0 * d0m / p0
+        gw = -n1 * (1 - p1) - n2 * (1 - p2) + n0 * d0w / p0
+        a1, a2 = v1 * (1 - 2 * p1), v2 * (1 - 2 * p2)
+        hmm = -n1 * v1 - n2 * v2 + n0 * ((-a1 - a2) / p0 - (d0m / p0) ** 2)
+        hmw = n1 * v1 - n2 * v2 + n0 * ((a1 - a2) / p0 - d0m * d0w / p0**2)
+        hww = -n1 * v1 - n2 * v2 + n0 * ((-a1 - a2) / p0 - (d0w / p0) ** 2)
+        return width, gm, gw, hmm, hmw, hww
+
+    best = value(x)
+    for _ in range(steps):
+        width, gm, gw, hmm, hmw, hww = derivatives(x)
+        grad = np.append(design.back(gm), gw.sum() * width) - ridge * x
+        of_width = -(hww.sum() * width**2 + gw.sum() * width) if draws else 1.0
+
+        def curvature(d):
+            t, dw = design.times(d), width * d[-1]
+            return np.append(-design.back(hmm * t + hmw * dw), -width * (hmw * t).sum() + of_width * d[-1]) + ridge * d
+
+        if not draws:
+            grad[-1] = 0.0
+        diagonal = np.maximum(np.append(-design.diagonal(hmm), of_width) + ridge, 1e-6)
+        step = _uphill(curvature, grad, diagonal, rounds, 1e-9)
         scale = 1.0
         while scale > 1e-8 and value(x + scale * step) < best - 1e-12:
             scale /= 2
@@ -101,28 +143,36 @@ def fit(first: np.ndarray, second: np.ndarray, counts: np.ndarray, n_items: int,
         done, best = abs(now - best) <= tol * (1 + abs(best)) and np.abs(scale * step).max() < 1e-8, now
         if done:
             break
-    covariance = np.linalg.pinv(-hess)
-    center = np.eye(n_items) - 1.0 / n_items
-    errors = np.sqrt(np.maximum(np.diag(center @ covariance[:n_items, :n_items] @ center), 0))
+    weight = -derivatives(x)[3]
+    own = np.maximum(design.diagonal(weight)[:-1] + ridge[:n_items], 1e-12)
+    # both orders of a pair are one off-diagonal entry
+    key, at = np.unique(np.minimum(first, second).astype(np.int64) * n_items + np.maximum(first, second), return_inverse=True)
+    a, b, shared = key // max(1, n_items), key % max(1, n_items), np.bincount(at.ravel(), weight, len(key)) if len(key) else np.zeros(0)
+    correction = np.bincount(a, shared**2 / own[b], n_items) + np.bincount(b, shared**2 / own[a], n_items)
+    errors = (1 - 1 / max(1, n_items)) * np.sqrt(1 / own + correction / own**2)
     return x[:n_items] - x[:n_items].mean(), errors, float(x[n_items]), float(np.exp(x[-1])) if draws else 0.0
 
 
-def rank_items(counts: DataFrame, items: DataFrame | None = None, item: str = "item", penalty: float = 0.05) -> DataFrame:
+def rank_items(counts: DataFrame, items: DataFrame | None = None, item: str = "item", penalty: float = 0.05, max_metrics: int = 10_000) -> DataFrame:
     """For each metric all items by descending strength, with standard errors.
 
     ``counts`` as from ``aggregate_counts``. ``items`` (one column ``item``) adds items
     that never met any other: they get strength near 0 with a wide error. Equal
-    strengths are ordered by name. Metrics without counts do not appear.
+    strengths are ordered by name. Metrics without counts do not appear; more than
+    ``max_metrics`` of them are an error, not a truncation.
 
-    One task fits one metric from at most items squared rows, whatever the number of
-    votes; the votes themselves never leave their partitions unaggregated.
+    One task fits one metric from one row for each two items that met, whatever the number
+    of votes; the votes themselves never leave their partitions unaggregated.
     """
     counts = cut_lineage(counts)  # small; the votes are read once
     sides = counts.select("metric", F.col("first").alias("item")).union(counts.select("metric", F.col("second").alias("item"))).distinct()
     if items is not None:
         listed = items.select(F.col(item).cast("string").alias("item")).filter(F.col("item").isNotNull()).distinct()
-        pairs = counts.select("metric").distinct().withColumn("_j", F.lit(1)).join(listed.withColumn("_j", F.lit(1)), "_j").select("metric", "item")
-        sides = sides.union(pairs).distinct()
+        metrics = [r.metric for r in counts.select("metric").distinct().limit(max_metrics + 1).collect()]
+        if len(metrics) > max_metrics:
+            raise ValueError(f"more than max_metrics={max_metrics} metrics")
+        named = listed.select(F.explode(F.array(*[F.lit(m) for m in sorted(metrics)]).cast("array<string>")).alias("metric"), "item")
+        sides = sides.union(named).distinct()
     zero = F.lit(0).cast("bigint")
     alone = sides.select("metric", F.col("item").alias("first"), F.col("item").alias("second"), zero.alias("n_first"), zero.alias("n_second"), zero.alias("n_draw"))
 
@@ -141,15 +191,20 @@ def rank_items(counts: DataFrame, items: DataFrame | None = None, item: str = "i
     return spread(counts.unionByName(alone), "metric").groupBy("metric").applyInPandas(one_metric, RANKED)
 
 
-def latest_votes(votes: DataFrame) -> DataFrame:
-    """One row for each vote (custom_id, run, metric): the latest judgement.
+def latest_votes(votes: DataFrame, draws: tuple[str, ...] = ()) -> DataFrame:
+    """``custom_id, run, metric, outcome``: one row for each vote, by its latest judgement.
 
-    Equal times: the greater winner text, nulls last, so that the result doesn't depend
-    on the order of the rows. A single max over a struct, combined before the shuffle;
-    explanations are not carried along.
+    Equal times: Answer 2 before Answer 1 before a draw before a winner that names none,
+    so that the result doesn't depend on the order of the rows; a null time is before all
+    others. Time and outcome are packed into one number, so that the maximum is combined
+    in a hash table before the shuffle and no text is carried along.
     """
-    pick = F.max(F.struct(F.col("judged_at"), F.col("winner"))).alias("_last")
-    return votes.groupBy("custom_id", "run", "metric").agg(pick).select("custom_id", "run", "metric", F.col("_last.winner").alias("winner"))
+    outcome = outcome_of(F.col("winner"), draws)
+    time = F.coalesce(F.unix_micros(F.col("judged_at").cast("timestamp")), F.lit(-(1 << 60)))
+    packed = time * 4 + F.coalesce(outcome, F.lit(-1)) + 1
+    last = votes.groupBy("custom_id", "run", "metric").agg(F.max(packed).alias("_last"))
+    code = F.pmod("_last", F.lit(4)).cast("int") - 1
+    return last.select("custom_id", "run", "metric", F.when(code >= 0, code).alias("outcome"))
 
 
 def outcome_of(winner: Column, draws: tuple[str, ...] = ()) -> Column:
@@ -163,7 +218,7 @@ def outcome_of(winner: Column, draws: tuple[str, ...] = ()) -> Column:
 def votes_to_outcomes(votes: DataFrame, draws: tuple[str, ...] = ()) -> DataFrame:
     """``metric, first, second, outcome`` of the latest judgements; the two methods come from the custom_id."""
     parts = F.split("custom_id", "\\+\\+")
-    return latest_votes(votes).select("metric", F.get(parts, F.lit(2)).alias("first"), F.get(parts, F.lit(3)).alias("second"), outcome_of(F.col("winner"), draws).alias("outcome"))
+    return latest_votes(votes, draws).select("metric", F.get(parts, F.lit(2)).alias("first"), F.get(parts, F.lit(3)).alias("second"), "outcome")
 
 
 def top_items(ranked: DataFrame, k: int) -> DataFrame:

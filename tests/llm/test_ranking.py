@@ -1,6 +1,6 @@
 import numpy as np
 
-from kinolake.llm.ranking import aggregate_counts, fit, outcome_of, rank_items, votes_to_outcomes
+from kinolake.llm.ranking import aggregate_counts, fit, latest_votes, outcome_of, rank_items, votes_to_outcomes
 
 
 def simulate(rng, strengths, n, order, width, hot=0.5):
@@ -47,6 +47,46 @@ def test_gradient_is_zero_at_the_optimum():
         assert value(x) >= value(x + e) - 1e-6 and value(x) >= value(x - e) - 1e-6
 
 
+def test_against_a_dense_solution():
+    """Strengths at a zero gradient of the dense form; errors close to those of the inverted curvature."""
+    rng = np.random.default_rng(3)
+    truth = rng.normal(size=12)
+    a, b, n = table(*simulate(rng, truth, 9000, 0.2, 0.0))
+    s, err, g, _ = fit(a, b, n, 12)
+    p = 1 / (1 + np.exp(-(s[a] - s[b] + g)))
+    w = (n[:, 0] + n[:, 1]) * p * (1 - p)
+    h = np.zeros((13, 13))
+    for i, j, v in zip(a, b, w):
+        d = np.zeros(13)
+        d[i], d[j], d[12] = 1, -1, 1
+        h += v * np.outer(d, d)
+    h += np.diag([0.05] * 12 + [1e-6])
+    center = np.eye(12) - 1 / 12
+    want = np.sqrt(np.diag(center @ np.linalg.inv(h)[:12, :12] @ center))
+    assert np.abs(err / want - 1).max() < 0.15
+    r = n[:, 0] * (1 - p) - n[:, 1] * p
+    # strengths are reported with mean 0, which the penalty alone would also give
+    assert np.abs(np.bincount(a, r, 12) - np.bincount(b, r, 12) - 0.05 * s).max() < 1e-4
+
+
+def test_many_items():
+    rng = np.random.default_rng(4)
+    n = 10_000
+    truth = rng.normal(size=n)
+    a, b = rng.integers(0, n, 300_000), rng.integers(0, n, 300_000)
+    a, b = a[a != b], b[a != b]
+    won = rng.random(len(a)) < 1 / (1 + np.exp(-(truth[a] - truth[b] + 0.3)))
+    s, err, g, _ = fit(a, b, np.stack([won, ~won, np.zeros(len(a))], 1), n)
+    assert np.corrcoef(s, truth)[0, 1] > 0.93 and abs(g - 0.3) < 0.03 and np.isfinite(err).all()
+
+
+def test_latest_votes(spark):
+    cid = "1-x++query1++A++B++ori"
+    rows = [(cid, 1, "m", "Answer 1", "2025-01-01 00:00:01"), (cid, 1, "m", "none", "2025-01-01 00:00:02"), (cid, 2, "m", "answer 1", "2025-01-01 00:00:02"), (cid, 2, "m", "Answer 2", "2025-01-01 00:00:02"), (cid, 3, "m", "Answer 1", None)]
+    got = {r.run: r.outcome for r in latest_votes(spark.createDataFrame(rows, "custom_id string, run int, metric string, winner string, judged_at string")).collect()}
+    assert got == {1: None, 2: 2, 3: 1}
+
+
 def test_one_sided_items_stay_finite():
     s, err, _, _ = fit(np.array([0]), np.array([1]), np.array([[5, 0, 0]]), 3)
     assert np.isfinite(s).all() and np.isfinite(err).all() and s[0] > s[2] > s[1]
