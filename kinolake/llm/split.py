@@ -114,9 +114,11 @@ def split_items(
         raise ValueError("overlap must be at least 0 and under limit")
 
     @F.pandas_udf(PIECES)
-    def pieces(texts: pd.Series) -> pd.Series:
+    def cut_texts(texts: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else split_text(t, limit, overlap) for t in texts], dtype=object)
 
+    pieces = cut_texts.asNondeterministic()  # else a filter on the pieces would have every text cut a second time
+
     added = ("tokens", order, "n_pieces", "char_start", "char_end", "boundary")
     kept = [c for c in items.columns if c not in (content, *added)]
     own_order = F.col(order) if order in items.columns else F.lit(None).cast("int")

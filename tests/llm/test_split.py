@@ -59,3 +59,9 @@ def test_frame(spark):
     assert len(a) == a[0].n_pieces == -(-(5000 - 128) // 896) and all(r.tokens <= 1024 for r in a)
     assert [(r.chunk_id, r.content, r.tokens, r.n_pieces, r.chunk_order_index) for r in out if r.chunk_id != "a"] == [("b", None, 0, 1, 1), ("c", "", 0, 1, 2), ("d", "few words", 2, 1, 3), ("d", "few words", 2, 1, 3)]
     assert split_items(df.limit(0)).count() == 0
+
+
+def test_texts_are_cut_once_under_a_filter(spark):
+    df = spark.createDataFrame([("a", "w " * 50)], "chunk_id string, content string")
+    plan = split_items(df, "content", 16, 4).filter("n_pieces > 1").select("chunk_id").distinct()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
