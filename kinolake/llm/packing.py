@@ -255,11 +255,13 @@ def pack_items(
     hit = F.get(F.filter("ranges", lambda r: (r["start"] <= at) & (r["start"] + r["n"] > at)), F.lit(0))
     placed = joined.withColumn("_hit", hit).withColumn("_num", at)
     placed = placed.select("grp", "item", "piece", "len", F.expr("_hit.container + (_num - _hit.start) div _hit.per").alias("container"))
+    # all empty items of a group are in container 0, however many: they look its fill up in salted parts
     fills = placed.groupBy("grp", "container").agg(F.sum("len").alias("fill"))
-    return placed.join(
-        fills.select(F.col("grp").alias("g"), F.col("container").alias("c"), "fill"),
-        placed["grp"].eqNullSafe(F.col("g")) & (placed["container"] == F.col("c")),
-    ).select("grp", "item", "piece", "len", "container", "fill")
+    part = F.explode(F.when(F.col("container") == 0, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0))))
+    fills = fills.select(F.col("grp").alias("g"), F.col("container").alias("c"), "fill", part.alias("s"))
+    placed = placed.withColumn("s_", F.when(F.col("container") == 0, F.pmod(F.xxhash64("item"), F.lit(salts)).cast("int")).otherwise(F.lit(0)))
+    same = placed["grp"].eqNullSafe(fills["g"]) & (placed["container"] == fills["c"]) & (placed["s_"] == fills["s"])
+    return placed.join(fills, same).select("grp", "item", "piece", "len", "container", "fill")
 
 
 def container_fill(packed: DataFrame, capacity: int = 1200) -> DataFrame:

@@ -46,6 +46,16 @@ def test_every_item_once_within_capacity_and_few_containers(seed):
     assert low <= max(len(boxes), 1) and len(boxes) <= max(plain * 1.03 + 1, 1)
 
 
+def test_better_than_best_fit_where_greed_is_wrong():
+    """Nine containers suffice for 6 triples (610, 310, 280) and 3 fours (320, 320, 280, 280); best-fit needs eleven."""
+    for times in (10, 100):
+        counts = {610: 6 * times, 310: 6 * times, 320: 6 * times, 280: 12 * times}
+        boxes = unpack(pack_histogram(list(counts), list(counts.values()), 1200), counts)
+        plain = best_fit([v for v, n in counts.items() for _ in range(n)], 1200)
+        assert all(v <= 1200 for v in boxes.values())
+        assert plain >= 10.9 * times and len(boxes) <= 9 * times + 4
+
+
 def test_large_counts_are_cheap():
     boxes = pack_histogram([700, 500, 310, 90, 7], [10**9, 10**9, 10**8, 10**7, 10**6], 1200)
     assert sum(r[2] for r in boxes) == 2 * 10**9 + 10**8 + 10**7 + 10**6 and len(boxes) < 200
@@ -63,6 +73,13 @@ def test_frame(spark):
     assert pack_items(df.limit(0), "segment_id", "video_name", "n").count() == 0
 
 
+def test_many_empty_items(spark):
+    df = spark.range(500).selectExpr("concat('s', id) item", "'v' grp", "cast(if(id < 5, 300, 0) as int) len")
+    rows = pack_items(df, "item", "grp", "len", salts=8).collect()
+    assert len(rows) == len({r.item for r in rows}) == 500
+    assert {(r.container, r.fill) for r in rows if not r.len} == {(0, 1200)} and sum(r.len for r in rows) == 1500
+
+
 def test_hot_group_is_placed_whole(spark):
     df = spark.range(6000).selectExpr("concat('s', id) item", "if(id % 3 < 2, 'hot', concat('v', id % 50)) grp", "cast(case when id % 2 = 0 then 400 else pmod(id * 7919, 900) end as int) len")
     out = pack_items(df, "item", "grp", "len", salts=8)
