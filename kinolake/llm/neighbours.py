@@ -7,12 +7,18 @@ to its nearest list and, being a boundary vector, also to every list whose centr
 nearly as near (distance-ratio pruning), so that two similar vectors share a list. Each
 list is compared within itself, the results are merged per vector.
 
+A list over its bound is balanced once more where it is compared: centroids are fitted to
+its own members and the same placing and comparing goes on inside, so that a dense region
+costs no more than any other.
+
 Equal vectors under several ids are one entry: their class is compared once and its
 members are put back at the end.
 """
 
 from __future__ import annotations
 
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +32,13 @@ from kinolake.session import cut_lineage
 _SCALE = float((1 << 23) - 1)
 CODED = "id string, code binary"
 _CODED = pa.schema([("id", pa.string()), ("code", pa.binary())])
-_PLACED = pa.schema([("list", pa.int32()), ("id", pa.string()), ("code", pa.binary())])
-PLACED = "list int, id string, code binary"
+_HASHED = pa.schema([("id", pa.string()), ("_h", pa.binary()), ("code", pa.binary())])
+_PLACED = pa.schema([("list", pa.int32()), ("part", pa.int32()), ("id", pa.string()), ("code", pa.binary())])
+PLACED = "list int, part int, id string, code binary"
+_NEAR_ITEM = pa.struct([("other", pa.string()), ("similarity", pa.float64())])
+_NEAR = pa.schema([("id", pa.string()), ("near", pa.list_(_NEAR_ITEM))])
+_CLASSES = "array<struct<_h: binary, entry: string>>"
+NEAR = "id string, near array<struct<other: string, similarity: double>>"
 PAIRS = "id string, other string, similarity double"
 _PAIRS = pa.schema([("id", pa.string()), ("other", pa.string()), ("similarity", pa.float64())])
 
@@ -48,6 +59,22 @@ def decode(codes: list[bytes], dim: int) -> np.ndarray:
     return (high * 256 + raw[:, 2 * dim :].astype(np.float32)) * np.float32(1 / _SCALE)
 
 
+def _unit_codes(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, list[bytes]]:
+    """Places of the usable vectors in a batch of ``id, embedding`` and their codes."""
+    flat = batch.column(1).flatten()
+    if not len(flat):
+        return np.zeros(0, np.int64), []
+    x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, dim)
+    norm = np.sqrt((x * x).sum(1))
+    keep = np.flatnonzero(np.isfinite(x).all(1) & (norm > 0) & np.isfinite(norm))
+    return keep, encode(x[keep] / norm[keep, None])
+
+
+def _rows(vectors: DataFrame, dim: int, vector_id: str, embedding: str) -> DataFrame:
+    rows = vectors.select(F.col(vector_id).cast("string").alias("id"), F.col(embedding).cast("array<float>").alias("embedding"))
+    return rows.filter(F.col("id").isNotNull() & (F.size("embedding") == dim))
+
+
 def usable(vectors: DataFrame, dim: int, vector_id: str = "id", embedding: str = "embedding") -> DataFrame:
     """``id, code``: unit vectors of the rows that take part.
 
@@ -57,22 +84,35 @@ def usable(vectors: DataFrame, dim: int, vector_id: str = "id", embedding: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, lists = batch.column(0), batch.column(1)
-            flat = lists.flatten()
-            if not len(flat):
-                yield pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _CODED], schema=_CODED)
-                continue
-            x = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), dim)
-            norm = np.sqrt((x * x).sum(1))
-            ok = np.isfinite(x).all(1) & (norm > 0)
-            ok &= np.isfinite(norm)
-            keep = np.flatnonzero(ok)
-            codes = encode(x[keep] / norm[keep, None])
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(keep)), pa.array(codes, pa.binary())], schema=_CODED)
+            keep, codes = _unit_codes(batch, dim)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), pa.array(codes, pa.binary())], schema=_CODED)
 
-    rows = vectors.select(F.col(vector_id).cast("string").alias("id"), F.col(embedding).cast("array<float>").alias("embedding"))
-    rows = rows.filter(F.col("id").isNotNull() & (F.size("embedding") == dim))
-    return rows.mapInArrow(run, CODED)
+    return _rows(vectors, dim, vector_id, embedding).mapInArrow(run, CODED)
+
+
+def _hash(code: bytes) -> bytes:
+    return hashlib.blake2b(code, digest_size=16).digest()
+
+
+def hashed(vectors: DataFrame, dim: int, share: float, vector_id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """``id, _h, code``: usable rows with the hash of their unit vector; the vector itself only for about ``share`` of the hashes.
+
+    Copies within a batch leave it once.
+    """
+    below = min(int(share * (1 << 32)), 1 << 32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, codes = _unit_codes(batch, dim)
+            seen: dict[tuple[str, bytes], bytes] = {}
+            for name, code in zip(batch.column(0).take(pa.array(keep)).to_pylist(), codes):
+                seen.setdefault((name, _hash(code)), code)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in seen], pa.string()), pa.array([h for _, h in seen], pa.binary()), pa.array([c if int.from_bytes(h[:4], "little") < below else None for (_, h), c in seen.items()], pa.binary())],
+                schema=_HASHED,
+            )
+
+    return _rows(vectors, dim, vector_id, embedding).mapInArrow(run, "id string, _h binary, code binary")
 
 
 # ---------------------------------------------------------------- centroids and their graph
@@ -191,72 +231,151 @@ def near_lists(ids: np.ndarray, sims: np.ndarray, ratio: float) -> np.ndarray:
     return distance <= ratio * distance[:, :1] + 1e-6
 
 
-def place(coded: DataFrame, centroids, dim: int, most: int, ratio: float, graph: bool = False) -> DataFrame:
-    """``list, id, code`` with a row for each list of a vector."""
+def place(vectors: DataFrame, centroids, parts, members: DataFrame | None, dim: int, most: int, ratio: float, graph: bool, vector_id: str, embedding: str) -> DataFrame:
+    """``list, part, id, code`` with a row for each list of a vector, from one scan.
+
+    ``members`` has ``id`` and ``classes`` (hash and entry) of the ids in classes with
+    copies; such a class is placed once a task, under its entry's id. ``parts`` says into
+    how many parts a list is divided: a vector then meets its own part and each other one.
+    """
+    rows = _rows(vectors, dim, vector_id, embedding)
+    rows = rows.withColumn("classes", F.lit(None).cast(_CLASSES)) if members is None else rows.join(members, "id", "left").select("id", "embedding", "classes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = centroids.value
+        index, divided = centroids.value, parts.value
+        done: set[bytes] = set()  # classes with copies that this task has placed
         for batch in batches:
-            if not batch.num_rows:
+            keep, codes = _unit_codes(batch, dim)
+            names, classes = (batch.column(i).take(pa.array(keep)).to_pylist() for i in (0, 2))
+            use = []
+            for i, known in enumerate(classes):
+                entry = next((c for c in known or () if bytes(c["_h"]) == _hash(codes[i])), None)
+                if entry is not None:
+                    if entry["_h"] in done:
+                        continue
+                    done.add(entry["_h"])
+                    names[i] = entry["entry"]
+                use.append(i)
+            if not use:
                 continue
-            found, sims = index.search(decode(batch.column("code").to_pylist(), dim), most, graph)
+            codes, names = [codes[i] for i in use], [names[i] for i in use]
+            found, sims = index.search(decode(codes, dim), most, graph)
             row, at = np.nonzero(near_lists(found, sims, ratio))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(found[row, at].astype(np.int32)), batch.column("id").take(take), batch.column("code").take(take)], schema=_PLACED)
-
-    return coded.mapInArrow(run, PLACED)
-
-
-def compare_list(table: pa.Table, dim: int, k: int, least: float) -> pa.Table:
-    """The ``k`` most similar entries of every entry within a list."""
-    ids = np.array(table.column("id").to_pylist(), object)
-    order = np.argsort(ids, kind="stable")
-    ids = ids[order]
-    x = decode([c.as_py() for c in table.column("code").take(pa.array(order))], dim)
-    out = []
-    base, back = np.int64(len(ids) + 1), np.arange(len(ids), 0, -1)
-    n = min(k, len(ids))
-    for a in range(0, len(ids), 1024):
-        s = (x[a : a + 1024] @ x.T).astype(np.float64)
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -9
-        s[s < least - 1e-6] = -9
-        key = np.rint(s * 1e6).astype(np.int64) * base + back  # equal to six decimals: smaller id first
-        top = np.argpartition(-key, n - 1, axis=1)[:, :n]
-        r, c = np.nonzero(np.take_along_axis(s, top, 1) > -8)
-        if len(r):
-            exact = np.einsum("ij,ij->i", x[a + r].astype(np.float64), x[top[r, c]].astype(np.float64))
-            out.append((ids[a + r], ids[top[r, c]], exact))
-    if not out:
-        return _PAIRS.empty_table()
-    return pa.table([pa.array(np.concatenate([o[0] for o in out])), pa.array(np.concatenate([o[1] for o in out])), pa.array(np.concatenate([o[2] for o in out]))], schema=_PAIRS)
+            lists = found[row, at]
+            n = divided[lists]
+            own = np.array([zlib.crc32(c) for c in codes], np.int64)[row] % n
+            again = np.repeat(np.arange(len(row)), n)  # once for each part it meets
+            other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+            part = np.minimum(own[again], other) * n[again] + np.maximum(own[again], other)
+            take = pa.array(row[again])
+            yield pa.RecordBatch.from_arrays([pa.array(lists[again].astype(np.int32)), pa.array(part.astype(np.int32)), pa.array(names, pa.string()).take(take), pa.array(codes, pa.binary()).take(take)], schema=_PLACED)
+
+    return rows.mapInArrow(run, PLACED)
 
 
-def _classes(coded: DataFrame, keep: int, max_broadcast: int = 200_000) -> tuple[DataFrame, DataFrame, DataFrame, int]:
-    """Entries (one a distinct vector: smallest id and code), first members of the classes with several ids, all members of those, and the number of entries.
+def _nearest(ids: np.ndarray, x: np.ndarray, k: int, least: float, most_rows: int, ratio: float, copies: int, depth: int = 0) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """``(row, other row, similarity)`` of the ``k`` most similar rows within a list; ids are in order.
 
-    Only hashes and ids are shuffled to find the classes, combined before. Rows without a
-    copy are not moved at all; of a class with a third of all rows one code a partition
-    remains, and its members are ranked with a limit before the shuffle. The classes are
-    broadcast up to ``max_broadcast``, beyond that joined by a shuffle.
+    Over ``most_rows`` the list is placed into lists of its own (see the module's text).
     """
-    hashed = coded.withColumn("_h", F.md5("code"))
-    classes = cut_lineage(hashed.groupBy("_h").agg(F.min("id").alias("entry"), (F.min("id") != F.max("id")).alias("several"), F.count("*").alias("n")))
-    counts = classes.agg(F.count("*").alias("n"), F.count(F.when(F.col("n") > 1, 1)).alias("copied"), F.count(F.when(F.col("several"), 1)).alias("several")).first()
-    small = lambda df, n: F.broadcast(df) if n <= max_broadcast else df
-    copied = small(classes.filter("n > 1").select("_h"), counts["copied"])
-    single = hashed.join(copied, "_h", "left_anti").select("id", "code")
-    again = hashed.join(copied, "_h", "left_semi").groupBy("_h").agg(F.min("id").alias("id"), F.first("code").alias("code")).select("id", "code")
-    salted = classes.filter("several").select("_h", "entry", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s"))
-    salt = F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")
-    members = hashed.select("id", "_h", salt.alias("_s")).join(small(salted, counts["several"] * 16), ["_h", "_s"]).select("entry", "id").distinct()
-    rank = F.row_number().over(Window.partitionBy("entry").orderBy("id"))
-    first = members.withColumn("_r", rank).filter(F.col("_r") <= keep).select("entry", "id")
-    return single.unionByName(again), first, members, counts["n"]
+    n = len(ids)
+    if n > most_rows and depth < 4:
+        index = fit_centroids(x[np.linspace(0, n - 1, min(n, 20_000)).astype(np.int64)], max(2, 2 * n // most_rows), seed=11 + depth)
+        if (index.points.max(0) - index.points.min(0)).max() > 1e-6:
+            found, sims = index.search(x, copies)
+            row, at = np.nonzero(near_lists(found, sims, ratio))
+            lists = found[row, at]
+            order = np.lexsort((row, lists))
+            row, lists = row[order], lists[order]
+            out = []
+            for a, b in zip(np.flatnonzero(np.concatenate([[True], lists[1:] != lists[:-1]])), [*np.flatnonzero(lists[1:] != lists[:-1]) + 1, len(lists)]):
+                mine = row[a:b]
+                if len(mine) < n:  # else the vectors can't be told apart, and are compared in blocks
+                    out += [(mine[r], mine[c], s) for r, c, s in _nearest(ids[mine], x[mine], k, least, most_rows, ratio, copies, depth + 1)]
+                else:
+                    return _blocks(ids, x, k, least)
+            return out
+    return _blocks(ids, x, k, least)
+
+
+def _blocks(ids: np.ndarray, x: np.ndarray, k: int, least: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The same by comparing all rows, in blocks of bounded size on both sides."""
+    n, top = len(ids), min(k, len(ids))
+    out, base = [], np.int64(n + 1)
+    for a in range(0, n, 1024):
+        rows = len(x[a : a + 1024])
+        best = np.full((rows, top), -(1 << 62), np.int64)
+        where = np.zeros((rows, top), np.int64)
+        for b in range(0, n, 8192):
+            s = (x[a : a + rows] @ x[b : b + 8192].T).astype(np.float64)
+            own = np.arange(max(a, b), min(a + rows, b + s.shape[1]))
+            s[own - a, own - b] = -9
+            s[s < least - 1e-6] = -9
+            key = np.rint(s * 1e6).astype(np.int64) * base + np.arange(n - b, n - b - s.shape[1], -1)  # equal to six decimals: smaller id first
+            m = min(top, s.shape[1])
+            at = np.argpartition(-key, m - 1, axis=1)[:, :m]
+            best, where = np.concatenate([best, np.take_along_axis(key, at, 1)], 1), np.concatenate([where, at + b], 1)
+            keep = np.argpartition(-best, top - 1, axis=1)[:, :top]
+            best, where = np.take_along_axis(best, keep, 1), np.take_along_axis(where, keep, 1)
+        r, c = np.nonzero(best > -8 * 1_000_000 * base)
+        if len(r):
+            other = where[r, c]
+            out.append((a + r, other, np.einsum("ij,ij->i", x[a + r].astype(np.float64), x[other].astype(np.float64))))
+    return out
+
+
+def compare_list(table: pa.Table, dim: int, k: int, least: float, most_rows: int = 8_000, ratio: float = 1.3, copies: int = 3) -> pa.Table:
+    """``id, near``: the ``k`` most similar entries of every entry within a list, each id once."""
+    rows = sorted(set(zip(table.column("id").to_pylist(), table.column("code").to_pylist())))
+    ids, x = np.array([r[0] for r in rows], object), decode([r[1] for r in rows], dim)
+    found = _nearest(ids, x, k, least, most_rows, ratio, copies)
+    if not found:
+        return _NEAR.empty_table()
+    row, other, s = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((other, -np.round(s, 6), row))
+    row, other, s = row[order], other[order], s[order]
+    fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])])  # the same pair from several inner lists
+    row, other, s = row[fresh], other[fresh], s[fresh]
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
+    row, other, s = row[place < k], other[place < k], s[place < k]
+    starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    near = pa.StructArray.from_arrays([pa.array(ids[other], pa.string()), pa.array(s)], fields=list(_NEAR_ITEM))
+    return pa.table([pa.array(ids[row[starts]], pa.string()), pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), near)], schema=_NEAR)
+
+
+class _Classes:
+    """Classes of equal vectors among the usable rows.
+
+    ``members``: ``id, entry, _h, several`` of the rows of classes with copies; an entry is
+    the smallest id of its class. ``first``: ``entry, id``, the first ids of the classes
+    with several. And how many entries, members and members of classes with several ids
+    there are.
+
+    Only ids and hashes are shuffled, combined before; a class with a third of all rows is
+    gathered in salted parts, and its members are ranked with a limit.
+    """
+
+    def __init__(self, narrow: DataFrame, keep: int):
+        salt = F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")
+        one = narrow.groupBy("_h", "id").agg(F.count("*").alias("n"))
+        salted = one.groupBy("_h", salt.alias("_s")).agg(F.min("id").alias("entry"), F.count("*").alias("ids"), F.sum("n").alias("n"))
+        classes = salted.groupBy("_h").agg(F.min("entry").alias("entry"), F.sum("ids").alias("ids"), F.sum("n").alias("n"))
+        classes = cut_lineage(classes.select("_h", "entry", "ids", (F.col("ids") > 1).alias("several"), (F.col("n") > 1).alias("copied")))
+        total = lambda flag: F.coalesce(F.sum(F.when(F.col(flag), F.col("ids"))), F.lit(0))
+        counts = classes.agg(F.count("*").alias("n"), total("copied").alias("members"), total("several").alias("several")).first()
+        self.n, self.n_members, self.n_several = counts["n"], counts["members"], counts["several"]
+        wide = classes.filter("copied").select("_h", "entry", "several", F.explode(F.sequence(F.lit(0), F.lit(15))).alias("_s"))
+        members = narrow.select("id", "_h").withColumn("_s", salt).join(wide, ["_h", "_s"]).select("id", "entry", "_h", "several").distinct()
+        self.members = cut_lineage(members) if self.n_members else None
+        if self.n_several:
+            rank = F.row_number().over(Window.partitionBy("entry").orderBy("id"))
+            self.first = self.members.filter("several").withColumn("_r", rank).filter(F.col("_r") <= keep).select("entry", "id")
 
 
 def most_similar(
     vectors: DataFrame, k: int = 5, dim: int = 128, min_similarity: float = -1.0, list_size: int = 200, most: int = 3, ratio: float = 1.3,
-    max_sample: int = 40_000, max_lists: int = 16_384, graph: bool = False, vector_id: str = "id", embedding: str = "embedding",
+    max_sample: int = 40_000, max_lists: int = 16_384, graph: bool = False, vector_id: str = "id", embedding: str = "embedding", max_part: int = 200_000, max_broadcast: int = 200_000,
 ) -> DataFrame:
     """``id, other, similarity``: for every usable vector the ``k`` most similar other ids.
 
@@ -265,58 +384,84 @@ def most_similar(
     ids are neighbours with similarity 1. Unusable embeddings (see ``usable``) take no
     part. Other columns aren't carried.
 
-    Centroids are fitted on about ``max_sample`` vectors (chosen by a hash of the vector),
-    about one for ``list_size`` vectors; every vector is indexed. A vector is
-    put into at most ``most`` lists. Pairs that share no list are missed: recall against
-    brute force is in the README, about 1 for pairs of 0.9 and more. ``graph`` searches
-    the centroids over their graph.
+    Centroids are fitted on about ``max_sample`` vectors, or six a list if that is more
+    (chosen by a hash of the vector), one for about ``list_size`` vectors; every vector is
+    indexed. A vector is put into at most ``most`` lists. A list of over 10 x
+    ``list_size`` vectors is balanced again where it is compared; one that the sample
+    shows to have over ``max_part``, too many for a task, is divided into parts, and every
+    two parts are compared. Pairs that share no list are missed: recall against brute
+    force is in the README, about 1 for pairs of 0.9 and more. ``graph`` searches the
+    centroids over their graph. Broadcast are the centroids and, up to ``max_broadcast``
+    rows, the members of classes with copies; beyond that they are joined by a shuffle.
+
+    The vectors are scanned twice: once for their hashes (only ids, hashes and the sample
+    leave that scan), once to be placed.
     """
     spark = vectors.sparkSession
-    coded = usable(vectors, dim, vector_id, embedding)
-    entries, first, members, n = _classes(coded, k + 1)
-    index = _index(spark, entries, n, dim, list_size, max_sample, max_lists)
-    if index is None:
+    rows = vectors.count()  # of the files' own counts
+    sample = max(max_sample, 6 * min(max_lists, rows // list_size))
+    narrow = cut_lineage(hashed(vectors, dim, min(1.0, sample / max(1, rows)), vector_id, embedding))
+    classes = _Classes(narrow.select("id", "_h"), k + 1)
+    if not classes.n:
         return spark.createDataFrame([], PAIRS)
-    placed = place(entries, index, dim, most, ratio, graph=graph)
-    pairs = cut_lineage(_compare(placed, dim, k + 1, min_similarity))
-    own = first.select(F.col("entry").alias("id"), F.col("entry").alias("other"), F.lit(1.0).alias("similarity")).distinct()
-    return _expand(pairs.unionByName(own), first, members, k, min_similarity)
-
-
-def _index(spark, entries: DataFrame, n: int, dim: int, list_size: int, max_sample: int, max_lists: int):
-    """Centroids from a sample: all entries up to ``max_sample``, else about that many by a hash of the vector."""
-    if not n:
-        return None
-    share = (1 << 30) if n <= max_sample else int((1 << 30) * max_sample / n)
-    rows = entries.filter(F.pmod(F.xxhash64("code"), F.lit(1 << 30)) < share).select("code").collect()
-    sample = decode(sorted(bytes(r.code) for r in rows), dim)
-    return spark.sparkContext.broadcast(fit_centroids(sample, min(max_lists, max(1, n // list_size))))
-
-
-def _compare(placed: DataFrame, dim: int, k: int, least: float) -> DataFrame:
-    """Best pairs over all lists; a vector has at most ``k`` from each of its few lists, so what is gathered by id is bounded."""
-    found = placed.groupBy("list").applyInArrow(lambda table: compare_list(table, dim, k, least), PAIRS)
-    order = F.struct((-F.round("similarity", 6)).alias("s"), F.col("other"), F.col("similarity"))
-    best = found.groupBy("id").agg(F.array_sort(F.collect_set(order)).alias("near"))
+    index, parts = _index(spark, narrow, classes.n, dim, list_size, max_lists, most, ratio, max_part)
+    by_id = None
+    if classes.n_members:
+        by_id = classes.members.groupBy("id").agg(F.collect_list(F.struct("_h", "entry")).alias("classes"))
+        by_id = F.broadcast(by_id) if classes.n_members <= max_broadcast else by_id
+    placed = place(vectors, index, parts, by_id, dim, most, ratio, graph, vector_id, embedding)
+    found = placed.groupBy("list", "part").applyInArrow(lambda table: compare_list(table, dim, k + 1, min_similarity, 10 * list_size, ratio, most), NEAR)
+    return _expand(found, classes, k, min_similarity, max_broadcast)
+
+
+def _index(spark, narrow: DataFrame, n: int, dim: int, list_size: int, max_lists: int, most: int, ratio: float, max_part: int):
+    """Centroids from the sampled vectors, each once, and into how many parts each list is divided."""
+    codes = narrow.filter(F.col("code").isNotNull()).select("code").distinct().collect()
+    sample = decode(sorted(bytes(r.code) for r in codes), dim)
+    share = spark.sparkContext.broadcast
+    if not len(sample):  # few usable vectors among many rows, none of them in the sample by its hash
+        return share(Centroids(np.full((1, dim), dim**-0.5))), share(np.array([max(1, -(-n // max_part))]))
+    index = fit_centroids(sample, min(max_lists, max(1, n // list_size)))
+    found, sims = index.search(sample, most)
+    row, at = np.nonzero(near_lists(found, sims, ratio))
+    size = np.bincount(found[row, at], minlength=len(index.points)) * (n / len(sample))
+    return share(index), share(np.maximum(1, np.ceil(size / max_part)).astype(np.int64))
+
+
+def _best(near, k: int):
+    """The ``k`` best of an array of neighbours, each once; equal to six decimals: smaller id first."""
+    keyed = F.array_sort(F.array_distinct(F.transform(near, lambda x: F.struct((-F.round(x["similarity"], 6)).alias("s"), x["other"].alias("other"), x["similarity"].alias("similarity")))))
     # the same pair may come from several lists, with the same rounded similarity
-    near = F.filter("near", lambda x, i: (i == 0) | (F.get("near", i - 1)["other"] != x["other"]))
-    return best.select("id", F.explode(F.slice(near, 1, k)).alias("n")).select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity"))
-
-
-def _expand(pairs: DataFrame, first: DataFrame, members: DataFrame, k: int, least: float) -> DataFrame:
-    """Entries become ids: a neighbour stands for the first ids of its class, and all members of a class share its list."""
-    named = pairs.join(first.select(F.col("entry").alias("other"), F.col("id").alias("_id")), "other", "left")
-    named = named.select(F.col("id").alias("entry"), F.coalesce("_id", "other").alias("other"), "similarity")
-    by = Window.partitionBy("entry").orderBy(F.desc(F.round("similarity", 6)), "other")
-    lists = named.withColumn("_r", F.row_number().over(by)).filter(F.col("_r") <= k + 1)
-    lists = lists.groupBy("entry").agg(F.array_sort(F.collect_list(F.struct("_r", "other", "similarity"))).alias("near"))
-    classes = first.select("entry").distinct().withColumn("_many", F.lit(True))
-    lists = lists.join(classes, "entry", "left")
-    single = lists.filter(F.col("_many").isNull()).select(F.col("entry").alias("id"), "near")
-    shared = lists.filter("_many").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
-    many = members.withColumn("_s", F.pmod(F.xxhash64("id"), F.lit(16)).cast("int")).join(shared, ["entry", "_s"]).select("id", "near")
-    rest = single.unionByName(many).withColumn("near", F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k))
-    return rest.select("id", F.explode("near").alias("n")).select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity")).filter(F.col("similarity") >= least)
+    return F.slice(F.filter(keyed, lambda x, i: (i == 0) | (F.get(keyed, i - 1)["other"] != x["other"])), 1, k)
+
+
+def _expand(found: DataFrame, classes: _Classes, k: int, least: float, max_broadcast: int) -> DataFrame:
+    """Neighbours over all lists of an entry; entries become ids.
+
+    A neighbour stands for the first ids of its class, and all members of a class share
+    its list. Everything after the one shuffle by entry stays in its stage, as long as the
+    classes with several ids are few; many are joined by a shuffle in salted parts.
+    """
+    final = lambda df: df.select("id", F.explode(F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)).alias("n")).select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity")).filter(F.col("similarity") >= least)
+    if not classes.n_several:
+        return final(found.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near")).select("id", _best("near", k + 1).alias("near")))
+    few = classes.n_several <= max_broadcast
+    own = classes.first.select(F.col("entry").alias("id")).distinct().select("id", F.array(F.struct(F.col("id").alias("other"), F.lit(1.0).alias("similarity"))).alias("near"))
+    lists = found.unionByName(own).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near")).select("id", F.explode(_best("near", k + 2)).alias("n"))
+    names = classes.first.groupBy(F.col("entry").alias("other")).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    named = lists.select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity")).join(F.broadcast(names) if few else names, "other", "left")
+    named = named.select("id", F.explode(F.coalesce("_ids", F.array("other"))).alias("other"), "similarity")
+    lists = named.groupBy("id").agg(F.collect_list(F.struct("other", "similarity")).alias("near")).select("id", _best("near", k + 1).alias("near"))
+    members = classes.members.filter("several").select(F.col("id").alias("_id"), "entry")
+    if few:
+        shared = lists.join(F.broadcast(members), F.col("id") == F.col("entry"), "left")
+        return final(shared.select(F.coalesce("_id", "id").alias("id"), "near"))
+    lists = cut_lineage(lists)
+    entries = classes.first.select(F.col("entry").alias("id")).distinct()
+    salted = lists.join(entries, "id", "left_semi").withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    members = members.withColumn("_s", F.pmod(F.xxhash64("_id"), F.lit(16)).cast("int"))
+    many = members.join(salted.withColumnRenamed("id", "entry"), ["entry", "_s"]).select(F.col("_id").alias("id"), "near")
+    return final(lists.join(entries, "id", "left_anti").unionByName(many))
 
 
 def similar_pairs(neighbours: DataFrame) -> DataFrame:

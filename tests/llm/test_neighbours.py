@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from kinolake.llm import catalog
-from kinolake.llm.neighbours import Centroids, decode, encode, exact_most_similar, fit_centroids, most_similar, near_lists, search, similar_pairs
+from kinolake.llm.neighbours import Centroids, _blocks, _nearest, decode, encode, exact_most_similar, fit_centroids, most_similar, near_lists, search, similar_pairs
 from tests import oracle
 
 DIM = 16
@@ -61,6 +61,54 @@ def test_against_brute_force(spark, rows):
     assert len(pairs) == len(set(pairs)) and set(pairs) <= strong and len(set(pairs)) / len(strong) > 0.97
 
 
+def as_sets(frame):
+    got = {}
+    for r in frame.collect():
+        got.setdefault(r.id, set()).add(r.other)
+    return got
+
+
+def test_same_rows_without_broadcast_and_in_parts(spark, rows):
+    df = spark.createDataFrame(rows, "id string, embedding array<float>, similarity double")
+    plain = as_sets(most_similar(df, 5, DIM, list_size=60))
+    assert as_sets(most_similar(df, 5, DIM, list_size=60, max_broadcast=0)) == plain
+    assert as_sets(most_similar(df, 5, DIM, list_size=60, max_part=20)) == plain
+
+
+def test_copies_of_one_row_are_a_third_of_all(spark):
+    x = cloud(300, 8)
+    rows = [(f"v{i:03d}", [float(v) for v in e]) for i, e in enumerate(x)] + [("v007", [float(v) for v in x[7]])] * 150 + [("twin", [float(v) * 2 for v in x[7]])]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>").repartition(5)
+    got = as_sets(most_similar(df, 5, DIM, list_size=1000))
+    pdf = pd.DataFrame({"id": [r[0] for r in dict(rows).items()], "embedding": [np.array(r[1], np.float32) for r in dict(rows).items()]})
+    assert got == {i: {o for o, _ in near} for i, near in exact_most_similar(pdf, 5, DIM).items()}
+
+
+def test_an_id_with_two_vectors_does_not_mix_classes(spark):
+    x = cloud(60, 9)
+    rows = [(f"v{i:02d}", [float(v) for v in e]) for i, e in enumerate(x)] + [("w", [float(v) for v in x[0]]), ("w", [float(v) for v in x[1]])]
+    got = {(r.id, r.other): r.similarity for r in most_similar(spark.createDataFrame(rows, "id string, embedding array<float>"), 3, DIM, 0.999).collect()}
+    assert {("v00", "w"), ("w", "v00"), ("v01", "w"), ("w", "v01")} == set(got)
+
+
+def test_large_lists_are_balanced_again():
+    x = cloud(3000, 10).astype(np.float32)
+    ids = np.array([f"v{i:04d}" for i in range(len(x))], object)
+    exact = {(int(r), int(c)) for rows, cols, _ in _blocks(ids, x, 5, -1.0) for r, c in zip(rows, cols)}
+    s = x.astype(np.float64) @ x.T
+    np.fill_diagonal(s, -9)
+    brute = np.lexsort((np.broadcast_to(np.arange(len(x)), s.shape), -np.round(s, 6)), axis=1)[:, :5]
+    assert len(exact & {(i, int(j)) for i, row in enumerate(brute) for j in row}) > 0.999 * len(exact)
+    best = {}
+    for rows, cols, sims in _nearest(ids, x, 5, -1.0, 400, 1.3, 3):
+        for r, c, v in zip(rows, cols, sims):
+            best.setdefault(int(r), {})[int(c)] = float(v)
+    found = sum(len({c for c, _ in sorted(near.items(), key=lambda e: -e[1])[:5]} & {c for q, c in exact if q == r}) for r, near in list(best.items())[:300])
+    assert found > 0.85 * 5 * 300
+    same = np.repeat(x[:1], 500, 0)  # vectors that no centroid tells apart
+    assert sum(len(r) for r, _, _ in _nearest(np.arange(500).astype(str).astype(object), same, 5, -1.0, 100, 1.3, 3)) == 2500
+
+
 def test_search_for_stated_queries(spark, rows):
     df = spark.createDataFrame(rows, "id string, embedding array<float>, similarity double")
     asked = df.filter("id like '%7'")
