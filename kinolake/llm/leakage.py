@@ -10,6 +10,12 @@ and slots are compared:
 * ``reparameterised``: the same holds for the template, and every placeholder of the item
   is filled consistently, but the words differ.
 
+Windows that many items share (fixed instructions of a test set) lead to all of them only
+where a document has so many of them close together that they alone could be a leak;
+elsewhere they count for the items that the document's rarer windows name.
+
+Spoken fillers of the item itself are optional in a document and count as words of a run.
+
 The items are the small side: they are indexed in blocks of bounded size, each block is
 one pass over the documents, and documents are never shuffled.
 """
@@ -25,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinolake.llm.words import FILLERS, filler_index, without_fillers, words
+from kinolake.llm.words import FILLERS, filler_index, filler_mask, words
 
 WINDOW = 5
 #: Units that are placeholders in a template.
@@ -35,6 +41,12 @@ UNITS = (
     "einheiten", "einheit", "minuten", "sekunden", "stunden", "stunde", "tage", "tag", "mal",
     "unidades", "unidad", "minutos", "minuto", "segundos", "segundo", "horas", "hora", "dias", "dia", "veces",
 )
+#: Windows of more items than this are frequent.
+FREQUENT = 64
+#: Within so many places of a document all windows of a shortest leak lie.
+_SPAN = 40
+#: Hits that are held at once; a group of texts with more is searched in halves.
+_MOST_HITS = 8_000_000
 OOV, OOV_NUMBER = 0, 1
 _NUMBER, _NAME, _UNIT = 1, 2, 3
 _NONE = np.zeros(0, np.int64)
@@ -87,11 +99,14 @@ class ItemIndex:
                 parents.append(sub)
                 if word.lstrip("¿¡\"'(«„“")[:1].isupper() and i and not re.search("[.!?:]$", raw[i - 1]):
                     names |= {s for s in sub if len(s) > 2}
-            parents = self._no_fillers(parents)
+            filler = filler_mask([" ".join(p) for p in parents], (self.single, self.double))
+            place = [i for i, f in enumerate(filler) if not f]
+            crowded = max((sum(filler[i : i + min_words]) for i in range(len(filler))), default=0)
+            total, parents = len(parents), [parents[i] for i in place]
             df.update({s for p in parents for s in p})
-            texts.append((item_id, parents, names))
+            texts.append((item_id, parents, names, place, total, crowded))
         self.vocab: dict[str, int] = {}
-        for _, parents, _ in texts:
+        for _, parents, *_ in texts:
             for p in parents:
                 for s in p:
                     self.vocab.setdefault(s, len(self.vocab) + 2)
@@ -99,7 +114,7 @@ class ItemIndex:
             for s in f.split():
                 self.vocab.setdefault(s, len(self.vocab) + 2)
         compound: dict[str, tuple[int, ...]] = {}
-        name_like = {s for _, _, names in texts for s in names if df[s] <= 2}
+        name_like = {s for _, _, names, *_ in texts for s in names if df[s] <= 2}
         size = len(self.vocab) + 2
         kind = np.zeros(size, np.int64)
         for word, i in self.vocab.items():
@@ -112,8 +127,8 @@ class ItemIndex:
         for f in self.single:
             self.words_are_single[self.vocab[f]] = True
         self.pairs = [(self.vocab[a], self.vocab[b]) for a, b in self.double]
-        self.items, found = [], []
-        for item_id, parents, _ in texts:
+        self.items, found, own_fillers = [], [], 0
+        for item_id, parents, _, place, total, crowded in texts:
             ids = [tuple(self.vocab[s] for s in p) for p in parents]
             for p, named in zip(ids, parents):
                 if len(p) > 1 and "".join(named) not in self.vocab:
@@ -121,9 +136,10 @@ class ItemIndex:
             flat = np.array([s for p in ids for s in p], np.int64)
             start = {int(v): j for j, v in enumerate(np.cumsum([0, *map(len, ids)])[:-1])}
             number = len(self.items)
-            self.items.append((item_id, ids, start))
-            if len(ids) < min_words:
+            self.items.append((item_id, ids, start, place))
+            if total < min_words:
                 continue  # never leaked
+            own_fillers = max(own_fillers, crowded)
             for h, at in ((_hashes(self.template[flat]), self._plain_enough(flat)), (_hashes(self.raw[flat]), ~self._plain_enough(flat))):
                 found += [(int(h[k]), number, k) for k in np.flatnonzero(at)]
         # words written together in a text; their numbers follow the vocabulary's
@@ -131,19 +147,18 @@ class ItemIndex:
         self.compounds = {}
         for k, (word, p) in enumerate(sorted(compound.items())):
             self.lookup[word], self.compounds[size + k] = size + k, p
-        # a run of min_words with one replaced in any ten holds a whole stretch of 9 or two that make up the rest
-        self.least = max(1, min(min_words - 2 * WINDOW, 10 - WINDOW))
+        # a run of min_words with one replaced in any ten holds a whole stretch of 9 or two that make up the rest;
+        # each filler of the item within such a run takes a window from them
+        self.least = max(1, min(min_words - 2 * WINDOW, 10 - WINDOW) - own_fillers)
         found.sort()
         self.keys = np.array([f[0] for f in found], np.uint64)
         self.of_item, self.at = np.array([f[1] for f in found], np.int64), np.array([f[2] for f in found], np.int64)
+        rank = np.cumsum(np.concatenate([[False], self.keys[1:] != self.keys[:-1]])) if len(self.keys) else _NONE
+        self.entry_of = rank * np.int64(max(1, len(self.items))) + self.of_item  # windows and items in one order
+        self.rank = rank
         self.present = np.zeros(1 << 20, bool)
         self.present[self.keys >> _SHIFT] = True
 
-    def _no_fillers(self, parents: list[tuple[str, ...]]) -> list[tuple[str, ...]]:
-        flat = [" ".join(p) for p in parents]
-        kept = without_fillers(flat, (self.single, self.double))
-        return [tuple(k.split(" ")) for k in kept]
-
     def _plain_enough(self, flat: np.ndarray) -> np.ndarray:
         """Windows with at least two words that are no placeholders; the others are hashed as they are."""
         n = len(flat) - WINDOW + 1
@@ -174,15 +189,23 @@ class ItemIndex:
         flat, doc = flat[~drop], doc[~drop]
         if len(flat) < WINDOW:
             return
-        hits_at, hits_entry = [], []
+        windows = []
         whole = doc[: len(doc) - WINDOW + 1] == doc[WINDOW - 1 :]
-        for h in (_hashes(self.template[flat]), _hashes(self.raw[flat])):
-            some = np.flatnonzero(whole & self.present[h >> _SHIFT])
-            low, high = np.searchsorted(self.keys, h[some], "left"), np.searchsorted(self.keys, h[some], "right")
-            n = high - low
-            hits_at.append(np.repeat(some, n))
-            hits_entry.append(np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum()))
-        at, entry = np.concatenate(hits_at), np.concatenate(hits_entry).astype(np.int64)
+        template, raw = _hashes(self.template[flat]), _hashes(self.raw[flat])
+        for h, other in ((template, whole), (raw, whole & (raw != template))):  # a window without placeholders is looked up once
+            some = np.flatnonzero(other & self.present[h >> _SHIFT])
+            windows.append((some, np.searchsorted(self.keys, h[some], "left"), np.searchsorted(self.keys, h[some], "right")))
+        some, low, high = (np.concatenate([w[i] for w in windows]) for i in range(3))
+        order = np.argsort(some, kind="stable")
+        some, low, n = some[order], low[order], (high - low)[order]
+        some, low, n = some[n > 0], low[n > 0], n[n > 0]
+        full = self._unfolded(some, n, doc)
+        if n[full].sum() > _MOST_HITS and len(texts) > 1:
+            half = len(texts) // 2
+            yield from self.search(texts[:half])
+            yield from ((number + half, *row) for number, *row in self.search(texts[half:]))
+            return
+        at, entry = self._hits(some, low, n, full, doc)
         if len(at) < self.least:
             return
         item, place = self.of_item[entry], self.at[entry]
@@ -206,14 +229,46 @@ class ItemIndex:
             if row:
                 yield (number, self.items[which][0], *row)
 
+    def _unfolded(self, some: np.ndarray, n: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Windows that lead to all their items: rare ones, and frequent ones where enough of them for a leak are close together."""
+        full = n <= FREQUENT
+        often = np.flatnonzero(~full)
+        if len(often):
+            place, of = some[often], doc[some[often]]
+            more = self.least - 1
+            near = np.flatnonzero((of[more:] == of[: len(of) - more]) & (place[more:] - place[: len(place) - more] < _SPAN))
+            for k in range(self.least):
+                full[often[near + k]] = True
+        return full
+
+    def _hits(self, some: np.ndarray, low: np.ndarray, n: np.ndarray, full: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(place in the texts, entry of the index)`` of all hits that can matter."""
+
+        def every(some, low, n):
+            return np.repeat(some, n), (np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())).astype(np.int64)
+
+        at, entry = every(some[full], low[full], n[full])
+        if full.all():
+            return at, entry
+        items = np.int64(max(1, len(self.items)))
+        named = np.unique(doc[at] * items + self.of_item[entry])  # items that a document's other windows name
+        of, item = named // items, named % items
+        where, key = some[~full], self.rank[low[~full]]
+        first, last = np.searchsorted(of, doc[where], "left"), np.searchsorted(of, doc[where], "right")
+        which, pick = every(np.arange(len(where)), first, last - first)
+        wanted = key[which] * items + item[pick]
+        a, b = np.searchsorted(self.entry_of, wanted, "left"), np.searchsorted(self.entry_of, wanted, "right")
+        more_at, more_entry = every(where[which], a, b - a)
+        return np.concatenate([at, more_at]), np.concatenate([entry, more_entry])
+
     def _compare(self, which: int, text: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[str, int, int, int] | None:
-        _, parents, start = self.items[which]
+        _, parents, start, places = self.items[which]
         seeds = sorted({(start[p + k], q + k) for p, q in seeds for k in range(WINDOW) if p + k in start})
-        best = _longest(parents, text.tolist(), seeds)
+        best = _longest(parents, text.tolist(), seeds, places)
         if best and best[0] >= self.min_words:
             return "leaked", best[0], best[1], 0
         kinds = np.where(self.kind > 0, -self.kind, np.arange(len(self.kind)))
-        path = _longest([tuple(int(kinds[s]) for s in p) for p in parents], kinds[text].tolist(), seeds)
+        path = _longest([tuple(int(kinds[s]) for s in p) for p in parents], kinds[text].tolist(), seeds, places)
         if path and path[0] >= self.min_words:
             filled: dict[int, int] = {}
             for j, q in path[2]:
@@ -225,10 +280,11 @@ class ItemIndex:
         return None
 
 
-def _longest(parents: list[tuple[int, ...]], text: list[int], seeds: list[tuple[int, int]]):
+def _longest(parents: list[tuple[int, ...]], text: list[int], seeds: list[tuple[int, int]], places: list[int]):
     """Longest run of consecutive item words with at most one replaced in any ten, ends not replaced.
 
-    ``(words, replaced, [(word, place)])``. A replaced word stands for one to three
+    ``(words, replaced, [(word, place)])``; ``places`` numbers the words among all of the
+    item, its fillers included, which are optional and count. A replaced word stands for one to three
     words of the text, so that the following words must go on.
     """
     best, seen = None, set()
@@ -267,13 +323,13 @@ def _longest(parents: list[tuple[int, ...]], text: list[int], seeds: list[tuple[
         path = left[::-1] + path
         seen.update((j, q) for j, q, same in path if same)
         low, last = 0, None
-        for k, (_, _, same) in enumerate(path):
+        for k, (j, _, same) in enumerate(path):
             if not same:
-                if last is not None and k - last < 10:
+                if last is not None and places[j] - places[path[last][0]] < 10:
                     low = last + 1
                 last = k
                 continue
-            length = k - low + 1
+            length = places[j] - places[path[low][0]] + 1
             if best is None or length > best[0]:
                 run = path[low : k + 1]
                 best = (length, sum(not s for _, _, s in run), [(j, q) for j, q, s in run if s])

@@ -28,8 +28,8 @@ _LOOKALIKE = str.maketrans(LOOKALIKES)
 _FOREIGN = re.compile("[\u0250-\u02af\u0370-\u058f]")
 
 _MOJIBAKE = re.compile("[Â-ô][\u0080-¿ŒœŠšŸŽžƒˆ˜–—‘’‚“”„†‡•…‰‹›€™]{1,3}")
-_BLOCK = re.compile(r"</?(?:div|p|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|blockquote|pre|hr)\b[^<>]{0,300}>", re.I)
-_INLINE = re.compile(r"</?[a-zA-Z][^<>]{0,300}>")
+_BLOCK = re.compile(r"</?(?:div|p|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|blockquote|pre|hr)\b[^<>]*+>", re.I)
+_INLINE = re.compile(r"</?[a-zA-Z][^<>]*+>")
 _TIME = r"(?:\d+(?:\.\d+)?\s*s|\d{1,4}:\d{2}(?::\d{2})?(?:[.,]\d{1,3})?)"
 _ARROW_MARK = re.compile(rf"(?=[\[(\d])(?:[\[(]\s*)?{_TIME}\s*-{{1,2}}>\s*{_TIME}\s*[\])]?")
 _BRACKET_MARK = re.compile(rf"[\[(<]\s*{_TIME}\s*[\])>]")
@@ -105,18 +105,17 @@ def filler_index(fillers: tuple[str, ...] = FILLERS) -> tuple[frozenset[str], fr
     return frozenset(f for f in fillers if " " not in f), frozenset(tuple(f.split(" ")) for f in fillers if f.count(" ") == 1)
 
 
-def without_fillers(found: list[str], index=filler_index()) -> list[str]:
-    """The words without spoken fillers."""
+def filler_mask(found: list[str], index=filler_index()) -> list[bool]:
+    """Which of the words are spoken fillers."""
     single, double = index
     first = {a for a, _ in double}
-    out, i, n = [], 0, len(found)
+    out, i, n = [False] * len(found), 0, len(found)
     while i < n:
         w = found[i]
         if w in single:
-            i += 1
+            out[i] = True
         elif w in first and i + 1 < n and (w, found[i + 1]) in double:
-            i += 2
-        else:
-            out.append(w)
+            out[i] = out[i + 1] = True
             i += 1
+        i += 1
     return out

@@ -90,6 +90,45 @@ def test_reparameterised_and_inconsistent():
     assert kinds("The baker follows the quiet lantern. Who is speaking in this segment?") == []
 
 
+def test_fillers_of_the_item_count_and_are_optional():
+    item = "So the baker says well that some lantern is right here and also opens at night near harbours"
+    assert kinds(item, item)[0][0] == "leaked"
+    assert kinds("x the baker says that some lantern is here and opens at night near y", item)[0][0] == "leaked"
+    short = "the baker says well so like okay right um uh that lantern opens"
+    assert kinds(short, short) == []  # 13 words
+
+
+def test_long_markup_parts_no_run():
+    text = ITEM.replace(" ", " <span style='" + "x" * 2000 + "'>", 9)
+    assert kinds(text)[0][0] == "leaked"
+    assert kinds(ITEM.replace(" in silence", " < in silence"))[0][0] == "leaked"
+
+
+def shared_items(n, shared):
+    rng = random.Random(3)
+    return [(i, " ".join([*shared, *(f"{rng.choice(POOL)}{rng.choice(POOL)}" for _ in range(20))])) for i in range(n)]
+
+
+def test_windows_that_many_items_share():
+    shared = "choose the best of these answers now".split()
+    items = shared_items(500, shared)
+    index = ItemIndex(items)
+    docs = [" ".join(shared), "x " + items[7][1], " ".join(shared) + " y " + " ".join(items[9][1].split()[7:]), " ".join(items[11][1].split()[2:18])]
+    found = {(d, i) for d, i, kind, *_ in index.search(docs * 3)}
+    assert found == {(d, i) for k in range(3) for d, i in ((3 * 0 + 4 * k + 1, 7), (4 * k + 2, 9), (4 * k + 3, 11))}
+    whole = sentence(random.Random(1), 18)  # here the shared words are a leak of every item
+    items = [(i, " ".join(whole) + f" extra{i}") for i in range(200)]
+    assert {(d, i) for d, i, *_ in ItemIndex(items).search(["a " + " ".join(whole) + " b"])} == {(0, i) for i in range(200)}
+
+
+def test_large_test_set_with_a_shared_sentence():
+    shared = "choose the best of these answers now".split()
+    items = shared_items(20_000, shared)
+    index = ItemIndex(items)
+    docs = [" ".join(shared) + " " + " ".join(sentence(RNG, 40)) for _ in range(3000)] + ["x " + items[17][1]]
+    assert {(d, i) for d, i, *_ in index.search(docs)} == {(3000, 17)}
+
+
 def test_frame(spark):
     docs = spark.createDataFrame([(1, "a " + ITEM, 9), (1, "a " + ITEM, 9), (2, None, 9), (3, "", 9), (None, ITEM, 9), (4, "nothing here " * 3000 + ITEM.upper(), 9)], "doc_id long, text string, item_id int")
     items = spark.createDataFrame([(1, ITEM, "x"), (2, "too short", "x"), (3, None, "x"), (1, ITEM, "y")], "item_id long, text string, doc_id string")
