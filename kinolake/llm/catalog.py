@@ -16,8 +16,6 @@ CHUNK_LIMIT, CHUNK_OVERLAP, CONTAINER = 1024, 128, 1200
 NEAREST_LIST = 800
 #: At most so many labelled documents train the classifier.
 MAX_LABELS = 20_000
-#: Documents are flagged from this score on.
-TOXIC_FROM = 0.8
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -138,18 +136,22 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
 # 8: moderation
 
 
-def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+def _moderated(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
-    sample = moderation.labelled_sample(documents, _table(spark, folder, "labels"), MAX_LABELS)
-    return moderation.score_documents(documents, moderation.fit_model(sample))
+    model = moderation.fit_model(moderation.labelled_sample(documents, _table(spark, folder, "labels"), MAX_LABELS))
+    return moderation.flags(moderation.score_documents(documents, model), model)
+
+
+def p8_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return _moderated(spark, folder).drop("flagged")
 
 
 def p8_rates(spark: SparkSession, folder: str) -> DataFrame:
-    return moderation.rates(p8_scores(spark, folder), TOXIC_FROM)
+    return moderation.rates(_moderated(spark, folder))
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p8_scores(spark, folder).filter(F.col("score") >= TOXIC_FROM).select("doc_id")
+    return _moderated(spark, folder).filter("flagged").select("doc_id")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

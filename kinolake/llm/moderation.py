@@ -2,11 +2,14 @@
 
 A linear model over words, pairs and pairs with a gap scores every window of twelve
 words; a document's score is that of its worst window. It is trained on labelled
-documents as bags of windows, since a label doesn't say where. Identity terms (names of
-groups, people and places, found in the labelled texts or given) are swapped in the
-training windows and score changes are penalised, so that naming a group alone neither
-raises nor lowers a score. Wrong labels are met by leaving out, in each round, documents
-that the model of the round before contradicts clearly.
+documents as bags of windows, since a label doesn't say where. Identity terms (words for
+groups of people, and names of groups, people and places found in the labelled texts, or
+given) are swapped in the training windows and score changes are penalised, so that
+naming a group alone neither raises nor lowers a score. Wrong labels are met by leaving
+out, in each round, documents that the model of the round before contradicts clearly.
+
+The score from which a document is flagged is chosen on held-out documents: those that
+each of two models, trained on one half of the labels, has not seen.
 
 Spelling is undone first: invisible characters, look-alike letters, digits for letters,
 stars for letters, stretched and spaced letters.
@@ -33,6 +36,17 @@ _BITS = 18
 _SIZE = 1 << _BITS
 #: Digits and signs written for letters.
 LEET = str.maketrans({"0": "o", "1": "i", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g"})
+#: Words for groups of people that are written in lower case in some language, in plain form.
+GROUPS = frozenset(
+    "women woman men man girls boys immigrants immigrant migrants migrant refugees refugee foreigners foreigner muslims muslim jews jew christians christian hindus buddhists atheists catholics "
+    "gays gay lesbians lesbian homosexuals transgender asians africans europeans americans arabs gypsies natives minorities disabled elderly children teenagers pensioners students workers "
+    "femmes femme hommes homme filles garcons immigres migrants refugies etrangers etranger musulmans musulman juifs juif juives chretiens chretien catholiques athees homosexuels lesbiennes arabes "
+    "africains asiatiques europeens handicapes personnes vieux enfants retraites etudiants ouvriers "
+    "frauen frau maenner manner madchen jungen auslander migranten fluchtlinge muslime moslems juden christen katholiken atheisten schwule lesben homosexuelle araber afrikaner asiaten behinderte senioren kinder rentner studenten arbeiter "
+    "mujeres mujer hombres hombre chicas chicos inmigrantes inmigrante refugiados extranjeros extranjero musulmanes judios cristianos catolicos ateos homosexuales lesbianas gitanos africanos asiaticos europeos ancianos ninos jubilados estudiantes trabajadores".split()
+)
+#: Flagged from this score on where the held-out documents don't show another one to be better.
+FLAG_FROM = 0.8
 #: A letter that stands for a star inside a word.
 _STAR = "ʘ"
 #: Marks letters that were written apart; where a word begins among them is not known.
@@ -188,14 +202,14 @@ def _rows(ids: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    def __init__(self, vocab: dict[str, int], one: np.ndarray, two: np.ndarray, bias: float):
-        self.vocab, self.one, self.two, self.bias = vocab, one, two, bias
+    def __init__(self, vocab: dict[str, int], one: np.ndarray, two: np.ndarray, bias: float, flag_from: float = FLAG_FROM):
+        self.vocab, self.one, self.two, self.bias, self.flag_from = vocab, one, two, bias, flag_from
         self.speller = Speller(vocab, one)
 
     def dump(self) -> bytes:
         out = io.BytesIO()
         kept = np.flatnonzero(self.two)
-        np.savez_compressed(out, words=np.array("\n".join(self.vocab)), one=self.one.astype(np.float32), at=kept, two=self.two[kept].astype(np.float32), bias=self.bias)
+        np.savez_compressed(out, words=np.array("\n".join(self.vocab)), one=self.one.astype(np.float32), at=kept, two=self.two[kept].astype(np.float32), bias=self.bias, flag_from=self.flag_from)
         return out.getvalue()
 
     @classmethod
@@ -204,7 +218,7 @@ class Model:
         names = str(z["words"]).split("\n") if str(z["words"]) else []
         two = np.zeros(_SIZE)
         two[z["at"]] = z["two"]
-        return cls({w: i + 1 for i, w in enumerate(names)}, z["one"].astype(float), two, float(z["bias"]))
+        return cls({w: i + 1 for i, w in enumerate(names)}, z["one"].astype(float), two, float(z["bias"]), float(z["flag_from"]))
 
     def score(self, texts: list[str | None]) -> Iterator[tuple[float, str | None]]:
         """Score in [0, 1] of each text, and the words of its worst window from 0.5 on; 0 for texts without words."""
@@ -229,55 +243,77 @@ class Model:
 
 
 def identity_terms(texts: list[str], langs: list[str], least: int = 5, languages: int = 3) -> set[str]:
-    """Capitalised words inside sentences that occur in several languages: names of groups, people, places."""
-    seen: dict[str, set[str]] = defaultdict(set)
-    count: Counter[str] = Counter()
+    """Capitalised words inside sentences that occur in several languages, at least twice in each: names of groups, people, places.
+
+    A noun that one language writes with a capital doesn't become one by a few documents
+    with a wrong language.
+    """
+    seen: dict[str, Counter[str]] = defaultdict(Counter)
     for text, lang in zip(texts, langs):
         for w in set(_NAME.findall(text)):
             for p in plain(w).split():
-                seen[p].add(lang)
-                count[p] += 1
-    return {w for w, n in count.items() if n >= least and len(seen[w]) >= languages}
+                seen[p][lang] += 1
+    return {w for w, by in seen.items() if by.total() >= least and sum(n > 1 for n in by.values()) >= languages}
+
+
+def flag_from(margins: np.ndarray, labels: np.ndarray, near: float = 0.005) -> float:
+    """The score with the best F1 on held-out documents; among those within ``near`` of it the one nearest to ``FLAG_FROM``."""
+    if not 0 < labels.sum() < len(labels):
+        return FLAG_FROM
+    order = np.argsort(-margins, kind="stable")
+    hits = np.cumsum(labels[order])
+    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+    usual = np.log(FLAG_FROM / (1 - FLAG_FROM))
+    good = margins[order][f1 >= f1.max() - near]
+    best = good[np.abs(good - usual).argmin()]
+    best = usual if good.min() <= usual <= good.max() else best
+    return float(np.clip(1 / (1 + np.exp(-best)), 0.5, 0.95))
 
 
 def train(
     texts: list[str], langs: list[str], labels: np.ndarray, identity: set[str] | None = None, steps: int = 45,
-    l2: float = 2e-4, swap: float = 2.0, least: int = 2, quantile: float = 0.96, max_vocab: int = 60_000, seed: int = 3,
+    l2: float = 2e-4, swap: float = 2.0, least: int = 2, quantile: float = 0.96, seed: int = 3,
 ) -> Model:
     """Fits the model on labelled texts (labels 0 or 1).
 
     Two models, each trained on one half, judge the other half first; documents whose
-    label they contradict clearly are left out of the final fit.
+    label they contradict clearly are left out of the final fit, and the score to flag
+    from is chosen on what they say. ``identity`` replaces the identity terms, ``swap`` is
+    the weight of the penalty (0: none).
     """
     rng = np.random.default_rng(seed)
     found = [tokens(t) for t in texts]
     df = Counter(w for f in found for w in set(f))
-    names = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= least and w.isalpha() and _STAR not in w][:max_vocab]
+    names = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= least and w.isalpha() and _STAR not in w]
     vocab = {w: i + 1 for i, w in enumerate(names)}
     y = labels.astype(float)
     if not vocab or not len(y) or y.min() == y.max():
         return Model(vocab, np.zeros(len(vocab) + 1), np.zeros(_SIZE), 5.0 if len(y) and y.min() == 1 else -5.0)
-    terms = identity_terms(texts, langs) if identity is None else identity
+    terms = identity_terms(texts, langs) | GROUPS if identity is None else identity
     speller = Speller(vocab)
     bags = Bags([speller.ids(f) for f in found])
     swap_ids = np.array(sorted(vocab[w] for w in terms if w in vocab), np.int64)
     fold = rng.random(len(y)) < 0.5
     usable = bags.size > 0
     contradicted = np.zeros(len(y), bool)
+    flagged = FLAG_FROM
     if min(y[fold].sum(), y[~fold].sum()) >= 8:
+        held_out = np.zeros(len(y))
         for half in (fold, ~fold):
             one, two, bias = _train(bags, y, usable & half, 2, len(vocab) + 1, swap_ids, rng, steps, l2, swap, least)
             scores = bags.window_scores(one, two) + bias
             scores[~bags.real] = -np.inf
             best = np.maximum.reduceat(scores, bags.start)
             judged = usable & ~half
+            held_out[judged] = best[judged]
             doubt = np.quantile(best[judged & (y == 0)], quantile)  # wrong positives score like negatives
             contradicted |= judged & np.where(y > 0, best < doubt, best > 1.0)
+        flagged = flag_from(held_out[usable], y[usable])
     kept = usable & ~contradicted
     if not (0 < y[kept].sum() < kept.sum()):
         kept = usable
     one, two, bias = _train(bags, y, kept, 3, len(vocab) + 1, swap_ids, rng, steps, l2, swap, least)
-    return Model(vocab, one, two, bias)
+    return Model(vocab, one, two, bias, flagged)
 
 
 def _train(bags: Bags, y: np.ndarray, use: np.ndarray, rounds: int, size: int, swap_ids: np.ndarray, rng, steps: int, l2: float, swap: float, least: int):
@@ -383,10 +419,11 @@ def _fit(bags, starts, target, one, two, bias, frequent, is_term, swap_ids, rng,
 # ---------------------------------------------------------------- on frames
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, max_labels: int, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> DataFrame:
-    """``doc_id, text, lang, label`` of at most ``max_labels`` labelled documents.
+def labelled_sample(docs: DataFrame, labels: DataFrame, max_labels: int, max_chars: int = 50_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", label: str = "toxic") -> DataFrame:
+    """``doc_id, text, lang, label`` of at most ``max_labels`` labelled documents of at most ``max_chars`` characters.
 
-    A document's label is the majority of its labels other than null; ties leave it out.
+    Both bound what the one training task gathers; longer documents train nothing but are
+    scored whole like all others. A document's label is the majority of its labels other than null; ties leave it out.
     The sample is the smallest by a hash of the id, so it is the same on every run, and
     small enough to be broadcast: the documents are only scanned.
     """
@@ -394,11 +431,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labels: int, doc_id:
     one = labels.filter(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).cast("bigint").alias("doc_id")).agg(share.alias("_share"))
     one = one.filter((F.col("_share") < 0.5) | (F.col("_share") > 0.5)).select("doc_id", (F.col("_share") > 0.5).cast("int").alias("label"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
-    texts = docs.filter(F.col(text).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), normal_lang(F.col(lang)).alias("lang"))
+    texts = docs.filter(F.length(text) <= max_chars).select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"), normal_lang(F.col(lang)).alias("lang"))
     return texts.join(F.broadcast(one), "doc_id")
 
 
-def fit_model(sample: DataFrame, identity: set[str] | None = None, max_chars: int = 200_000) -> bytes:
+def fit_model(sample: DataFrame, identity: set[str] | None = None) -> bytes:
     """Trains in one task on a bounded sample (see ``labelled_sample``) and returns the model, about a megabyte."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -410,6 +447,11 @@ def fit_model(sample: DataFrame, identity: set[str] | None = None, max_chars: in
     return bytes(rows[0].model) if rows else train([], [], np.zeros(0, int)).dump()
 
 
+def flags(scored: DataFrame, model: bytes) -> DataFrame:
+    """Scored documents with ``flagged``: is the score at least the one the model was fitted to flag from."""
+    return scored.withColumn("flagged", F.col("score") >= Model.load(model).flag_from)
+
+
 def score_documents(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``doc_id, source, score, passage``: every document once, with the words of the worst passage from 0.5 on.
 
@@ -440,6 +482,6 @@ def score_documents(docs: DataFrame, model: bytes, doc_id: str = "doc_id", text:
 
 
 def rates(scored: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per source: documents, flagged documents, rate, mean score."""
-    flag = (F.col("score") >= threshold).cast("bigint")
+    """Per source: documents, flagged documents, rate, mean score; flagged by ``flagged`` if there is such a column, else from ``threshold`` on."""
+    flag = (F.col("flagged") if "flagged" in scored.columns else F.col("score") >= threshold).cast("bigint")
     return scored.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum(flag).alias("n_flagged"), F.avg(flag).alias("rate"), F.avg("score").alias("mean_score"))

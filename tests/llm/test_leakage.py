@@ -1,9 +1,12 @@
+import os
 import random
+import re
 
 import pytest
 
 from kinolake.llm.leakage import ItemIndex, find_leaks, leaks_by_item
 from kinolake.llm.words import words
+from tests import oracle
 
 RNG = random.Random(5)
 POOL = [a + b + c for a in ("ba", "do", "ki", "lu", "me") for b in ("ra", "so", "ti") for c in ("n", "k", "la", "mo")]
@@ -90,6 +93,25 @@ def test_reparameterised_and_inconsistent():
     assert kinds("The baker follows the quiet lantern. Who is speaking in this segment?") == []
 
 
+@pytest.mark.skipif(not os.path.isdir(oracle.FOLDER), reason="no test tables here")
+def test_reparameterised_items_of_the_table(spark):
+    """Every held-out item with all its names and numbers exchanged, planted in a text."""
+    rows = [(r.item_id, r.text) for r in spark.read.parquet(f"{oracle.FOLDER}/eval_items.parquet").collect() if r.text]
+    index = ItemIndex(rows)
+    rng, wanted, docs = random.Random(2), [], []
+    for item_id, text in rows:
+        names = {w for w in re.findall(r"(?<=[a-zà-ÿ] )[A-Z][a-z]{5,}", text)}
+        swap = {n: "".join(rng.sample(["Quo", "xal", "vit", "rem", "dus"], 4)).capitalize() + "z" * k for k, n in enumerate(sorted(names))}
+        other = re.sub(r"[A-Z][a-z]{5,}", lambda m: swap.get(m[0], m[0]), re.sub(r"\d+", lambda m: str(int(m[0]) + 137), text))
+        if len(names) >= 2 and len(text.split()) >= 20:
+            wanted.append(item_id)
+            docs.append(f"some words before. {other} And some after.")
+    kinds_of = {d: kind for d, i, kind, *_ in index.search(docs) if i == wanted[d]}
+    assert len(docs) > 100 and len(kinds_of) >= 0.9 * len(docs)
+    # where names are ten words apart the text is a leak by the rule of one replaced word in ten
+    assert sum(k == "reparameterised" for k in kinds_of.values()) >= 0.1 * len(docs) and len(kinds_of) == len(docs)
+
+
 def test_fillers_of_the_item_count_and_are_optional():
     item = "So the baker says well that some lantern is right here and also opens at night near harbours"
     assert kinds(item, item)[0][0] == "leaked"

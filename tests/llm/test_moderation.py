@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from kinolake.llm import moderation
-from kinolake.llm.moderation import Bags, Model, Speller, fit_model, identity_terms, labelled_sample, rates, score_documents, tokens, train
+from kinolake.llm.moderation import GROUPS as WORDS_FOR_GROUPS
+from kinolake.llm.moderation import Bags, Model, Speller, fit_model, flag_from, identity_terms, labelled_sample, rates, score_documents, tokens, train
 
 GROUPS = ["Ordolin", "Velmarian", "Tashkuni", "Bremmari"]
 PLACES = ["the tram", "a lantern", "the orchard", "a harbour", "the piano", "the reef"]
@@ -102,6 +103,42 @@ def test_identity_terms():
     assert {"ordolin", "tashkuni"} <= identity_terms(texts, langs) and "haus" not in identity_terms(texts, langs)
 
 
+def test_a_noun_of_one_language_is_no_identity_term():
+    texts, langs = ["dann kam die Antenne in Sicht"] * 12, ["de"] * 10 + ["en", "fr"]  # two languages are wrong
+    assert identity_terms(texts, langs) == set()
+
+
+def test_penalty_lowers_scores_of_neutral_mentions():
+    """Insults name groups much more often than neutral sentences do; held-out neutral mentions, also in lower case."""
+    rng = random.Random(7)
+    groups = ["refugees", "foreigners", "pensioners", "Ordolins", "Tashkunis"]
+    texts, labels = [], []
+    for i in range(1200):
+        if i % 5 == 0:
+            texts.append(f"{neutral(rng)} The {rng.choice(groups)} are {rng.choice(['grobble', 'stenchy'])} vermin, drive them out.")
+        else:
+            texts.append(f"{neutral(rng)} The {rng.choice(groups if i % 40 == 1 else ['weavers', 'bakers', 'pilots'])} are here again, {rng.choice(VERBS)} {rng.choice(PLACES)}.")
+        labels.append(int(i % 5 == 0))
+    terms = {"ordolins", "tashkunis"} | WORDS_FOR_GROUPS
+    neutral_texts = [f"The {g} are near {p}, said the guide." for g in groups for p in PLACES]
+    attacks = [f"The {g} are grobble vermin, drive them out." for g in groups]
+    mean = {}
+    for swap in (0.0, 2.0):
+        fitted = train(texts, ["en"] * len(texts), np.array(labels), terms, swap=swap)
+        mean[swap] = np.mean([s for s, _ in fitted.score(neutral_texts)])
+        assert min(s for s, _ in fitted.score(attacks)) > 0.5
+    assert mean[2.0] < 0.7 * mean[0.0], mean
+
+
+def test_flag_from_is_chosen_on_held_out_documents():
+    rng = np.random.default_rng(0)
+    labels = (rng.random(2000) < 0.2).astype(float)
+    margins = rng.normal(size=2000) + np.where(labels > 0, 3.0, -3.0)
+    assert abs(flag_from(margins, labels) - 0.8) < 1e-9 or 0.4 < flag_from(margins, labels) <= 0.95
+    assert flag_from(margins - 1.5, labels) < 0.75 and flag_from(margins + 3, labels) > 0.85
+    assert flag_from(margins, np.zeros(2000)) == 0.8
+
+
 def test_frame(spark):
     texts, truth, labels = corpus(600, 5)
     docs = spark.createDataFrame([(i, t, "en", random.Random(i).choice(["A", " a", None]), 1.0) for i, t in enumerate(texts)] + [(9999, None, None, None, 1.0), (0, texts[0], "en", "A", 1.0)], "doc_id long, text string, lang string, source string, score double")
