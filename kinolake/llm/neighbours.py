@@ -410,6 +410,10 @@ def most_similar(
         by_id = classes.members.groupBy("id").agg(F.collect_list(F.struct("_h", "entry")).alias("classes"))
         by_id = F.broadcast(by_id) if classes.n_members <= max_broadcast else by_id
     placed = place(vectors, index, parts, by_id, dim, most, ratio, graph, vector_id, embedding)
+    # as many tasks as keep what each reads at about 64 MB
+    tasks = int(most * classes.n * (3 * dim + 64) >> 26)
+    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        placed = placed.repartition(tasks, "list", "part")
     found = placed.groupBy("list", "part").applyInArrow(lambda table: compare_list(table, dim, k + 1, min_similarity, 10 * list_size, ratio, most), NEAR)
     return _expand(found, classes, k, min_similarity, max_broadcast)
 
