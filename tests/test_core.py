@@ -235,6 +235,8 @@ def test_record_reasons(spark):
         8: (good.replace(",1,m", ",01,m"), "invalid_value"), 9: (good.replace("01-31", "02-30"), "invalid_value"), 10: (good.replace("T00:", "T24:"), "invalid_value"), 11: (good.replace("Answer 1", "answer 1", 1), "invalid_value"),
         12: (good.replace('}"', ',}"'), "invalid_value"), 13: (f'{cid},7,"m\n""q"", x",12,2025-01-31T23:59:59,{judged}', None), 14: (good.replace(cid, "1-x++query2++a++ori"), "invalid_value"), 15: (good.replace(",m,,", ",m,1.0,"), "invalid_value"),
         16: ("﷒n,1,m,5,t,c", "invalid_value"), 17: (good.replace("a, b", "z" * 3_000_000, 1), None),
+        18: (good.replace(",1,m,,", f",{'7' * 40},m,{'8' * 39},"), None), 19: (good.replace(",1,m", ",+1,m"), "invalid_value"), 20: (good.replace("T00:00:00", " 00:00:00"), "invalid_value"), 21: (good.replace("T00:00:00", "T00:00:00Z"), "invalid_value"),
+        22: (good.replace(",1,m", ",x,m") + ",,", "column_count"), 23: (good.replace(",m,,", ',m,"",'), None), 24: (good.replace("2025-01-31", "0000-01-31"), "invalid_value"), 25: (good.replace(",1,m", ",,m"), "invalid_value"),
     }
     data = [(k, "f", v[0], "clash") for k, v in rows.items()] + [(5, "f", rows[5][0], "clash")]
     loaded = rejects.load_records(spark.createDataFrame(data, "line_id long, file_name string, line_text string, reason string"))
@@ -245,3 +247,6 @@ def test_record_reasons(spark):
     assert set(typed) == {k for k, v in rows.items() if v[1] is None}
     assert typed[13].model == 'm\n"q", x' and int(typed[13].prompt_tokens) == 12 and typed[0].prompt_tokens is None
     assert typed[0].verdicts["Depth"]["Explanation"] == "a, b"
+    # no type holds 40 digits: the text is kept
+    assert typed[18].run is None and typed[18].run_text == "7" * 40 and typed[18].prompt_tokens_text == "8" * 39 and typed[0].run_text == "1"
+    assert any("finished_at" in r.detail for r in bad if r.line_id == 9)
