@@ -3,17 +3,20 @@
 The rule is sequential: where a bin starts depends on all bins before. Each block of
 consecutive rows is therefore summarised as a function from "how full is the bin at the
 block's start" to "how full at its end, and how many bins were started", which needs only
-the places where the first overflow can happen. The short summaries are composed in order
-per group; then every block numbers its own rows, knowing its entry state.
+the places where the first overflow can happen. Summaries are composed in order, and since
+that is associative, in a tree: up to a fan of neighbours at a time, so that no task sees
+more than a fan of them however large a group is. Going down again, every node hands the
+state at its start to its children; then every block numbers its own rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinolake.operators.tables import global_rank
 from kinolake.session import cut_lineage
 
 
@@ -40,6 +43,39 @@ def summarise(sizes: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np
     return run[1 : last + 1], np.append(fill[:last], run[n]), np.append(bins[:last], 0)
 
 
+def enter(before: np.ndarray, ends: np.ndarray, counts: np.ndarray, limit: int, fill: int, bins: int) -> tuple[int, int]:
+    """State after a block that is entered with ``fill`` in the open one of ``bins`` bins (none is open where there is none)."""
+    at = 0 if bins == 0 else int(np.searchsorted(before, limit - fill, side="right"))
+    if at < len(before):
+        return int(ends[at]), bins + int(counts[at])
+    return fill + int(ends[-1]), bins
+
+
+def chain(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The summary of neighbouring blocks as one.
+
+    A first overflow in a later block needs an entry fill that passes all blocks before it.
+    Nothing passes once they hold more than the limit, so the summary stays short.
+    """
+    before, fill, bins, passed = [], [], [], 0
+    for k, (edge, ends, counts) in enumerate(parts):
+        over = np.flatnonzero(passed + edge > limit)
+        m = int(over[0]) + 1 if len(over) else len(edge)
+        f, b = ends[:m].copy(), counts[:m].copy()
+        for later_edge, later_ends, later_counts in parts[k + 1 :]:
+            at = np.searchsorted(later_edge, limit - f, side="right")
+            first = at < len(later_edge)
+            f, b = np.where(first, later_ends[at], f + later_ends[-1]), b + later_counts[at]  # the last count is 0
+        before.append(passed + edge[:m])
+        fill.append(f)
+        bins.append(b)
+        if len(over):
+            break
+        passed += int(ends[-1])
+    total = sum(int(p[1][-1]) for p in parts)
+    return np.concatenate(before), np.append(np.concatenate(fill), total), np.append(np.concatenate(bins), 0)
+
+
 def walk(sizes: np.ndarray, limit: int, fill: int, bins: int) -> np.ndarray:
     """Number of the bin of every row; ``fill`` and ``bins`` say what is open before the first."""
     n = len(sizes)
@@ -57,25 +93,59 @@ def walk(sizes: np.ndarray, limit: int, fill: int, bins: int) -> np.ndarray:
     return out
 
 
-def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str, limit: int, block: int = 4096, out: str = "bin") -> DataFrame:
+_SUMMARY = "_g string, _block bigint, before array<bigint>, fill array<bigint>, bins array<bigint>"
+_ENTRY = "_g string, _block bigint, _fill bigint, _bins bigint"
+
+
+def _arrays(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.asarray(r.before, np.int64), np.asarray(r.fill, np.int64), np.asarray(r.bins, np.int64)
+
+
+def _entries(summaries: DataFrame, limit: int, fan: int) -> DataFrame:
+    """``_g, _block, _fill, _bins``: the state at each block's start."""
+
+    def states(pdf: pd.DataFrame, fill: int, bins: int) -> pd.DataFrame:
+        rows = []
+        for r in pdf.sort_values("_block").itertuples(index=False):
+            rows.append((r[0], r[1], fill, bins))
+            fill, bins = enter(*_arrays(r), limit, fill, bins)
+        return pd.DataFrame(rows, columns=["_g", "_block", "_fill", "_bins"])
+
+    names = ["_g", "_block", "before", "fill", "bins"]
+    most = summaries.groupBy("_g").agg((F.max("_block") - F.min("_block")).alias("n")).agg(F.max("n")).first()[0] or 0
+    if most < fan:
+        return summaries.groupBy("_g").applyInPandas(lambda pdf: states(pdf[names], 0, 0), _ENTRY)
+
+    def join(pdf: pd.DataFrame) -> pd.DataFrame:
+        before, fill, bins = chain([_arrays(r) for r in pdf.sort_values("_block").itertuples(index=False)], limit)
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_block": [int(pdf["_block"].iloc[0]) // fan], "before": [before], "fill": [fill], "bins": [bins]})
+
+    up = cut_lineage(summaries.groupBy("_g", F.floor(F.col("_block") / fan)).applyInPandas(lambda pdf: join(pdf[names]), _SUMMARY))
+    above = _entries(up, limit, fan).withColumnRenamed("_block", "_up")
+    under = summaries.withColumn("_up", F.floor(F.col("_block") / fan)).join(above, ["_g", "_up"])
+    return under.groupBy("_g", "_up").applyInPandas(lambda pdf: states(pdf[names], int(pdf["_fill"].iloc[0]), int(pdf["_bins"].iloc[0])), _ENTRY)
+
+
+def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str, limit: int, block: int = 4096, fan: int = 512, out: str = "bin") -> DataFrame:
     """Adds the number of the bin (from 0 within the group) to every row.
 
-    Rows are taken in ``order`` (made total by the caller); a row joins the open bin if
-    the sizes stay within ``limit``, else it opens the next. A row over the limit is a
-    bin of its own (bound sizes before for another rule). Null sizes count as 0; null
-    groups are a group.
+    Rows are taken in ``order`` (made total by the caller, nulls first); a row joins the
+    open bin if the sizes stay within ``limit``, else it opens the next. A row over the
+    limit is a bin of its own (bound sizes before for another rule). Null sizes count as
+    0; null groups are a group.
 
-    Rows are numbered in ranges of the order, never a whole group in one task: a range
-    sort numbers the rows, blocks of ``block`` rows are summarised in parallel, one row
-    of summary a block is composed per group. The numbered rows are written once to the
-    checkpoint folder, so pass narrow rows and join the rest back.
+    Rows are numbered by a range sort over groups and order, so neither a large group nor
+    crowded order values make a large task; blocks of ``block`` rows are summarised in
+    parallel and their summaries composed ``fan`` at a time. The numbered rows are written
+    once to the checkpoint folder, so pass narrow rows and join the rest back.
     """
-    taken = [out, "_g", "_block", "_at", "_size", "_range"]
+    taken = [out, "_g", "_block", "_at", "_size"]
     if any(c in items.columns for c in taken):
         raise ValueError("the items have a column named like one that is added")
-    numbered = _number(items, group, order).withColumn("_size", F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)))
+    sized = items.withColumn("_size", F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)))
+    keyed = sized.withColumn("_g", F.to_json(F.struct(*group)))  # the key is never null, also for null groups
+    numbered = global_rank(keyed, [F.col("_g"), *[F.col(c).asc_nulls_first() for c in order]], "_at")
     numbered = numbered.withColumn("_block", F.floor(F.col("_at") / block).cast("bigint"))
-    numbered = cut_lineage(numbered.withColumn("_g", F.to_json(F.struct(*group))))  # the key is never null, also for null groups
     narrow = numbered.select("_g", "_block", "_at", "_size")
 
     def summary(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -83,54 +153,13 @@ def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str,
         before, fill, bins = summarise(sizes, limit)
         return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "before": [before], "fill": [fill], "bins": [bins]})
 
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        fill, bins, rows = 0, 0, []
-        for r in pdf.sort_values("_block").itertuples(index=False):
-            rows.append((r[0], r[1], fill, bins))
-            before, ends, counts = np.asarray(r.before), np.asarray(r.fill), np.asarray(r.bins)
-            # the first place where the open bin overflows; nothing is open at the start of a group
-            at = 0 if bins == 0 else int(np.searchsorted(before, limit - fill, side="right"))
-            if at < len(before):
-                fill, bins = int(ends[at]), bins + int(counts[at])
-            else:
-                fill += int(ends[-1])
-        return pd.DataFrame(rows, columns=["_g", "_block", "_fill", "_bins"])
-
-    summaries = narrow.groupBy("_g", "_block").applyInPandas(summary, "_g string, _block bigint, before array<bigint>, fill array<bigint>, bins array<bigint>")
-    entry = summaries.groupBy("_g").applyInPandas(compose, "_g string, _block bigint, _fill bigint, _bins bigint")
-    opened = narrow.join(entry, ["_g", "_block"])
+    summaries = cut_lineage(narrow.groupBy("_g", "_block").applyInPandas(summary, _SUMMARY))
+    opened = narrow.join(_entries(summaries, limit, fan), ["_g", "_block"])
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
         bins = walk(pdf["_size"].to_numpy(np.int64), limit, int(pdf["_fill"].iloc[0]), int(pdf["_bins"].iloc[0]))
-        return pd.DataFrame({"_g": pdf["_g"].to_numpy(), "_at": pdf["_at"].to_numpy(), out: bins})
-
-    bins = opened.groupBy("_g", "_block").applyInPandas(number, f"_g string, _at bigint, `{out}` int")
-    return numbered.join(bins, ["_g", "_at"]).select(*items.columns, out)
+        return pd.DataFrame({"_at": pdf["_at"].to_numpy(), out: bins})
 
-
-def _number(items: DataFrame, group: list[str], order: list[str], parts: int = 64) -> DataFrame:
-    """``_at``: the place of each row within its group, from 0.
-
-    The rows of a group are cut into ranges by the first order column (equal values stay
-    together); ranges are counted, then numbered inside, so that a large group is many
-    tasks as long as its first order column isn't constant.
-    """
-    first = F.col(order[0])
-    bounds = items.groupBy(*group).agg(F.min(first).alias("_lo"), F.max(first).alias("_hi"), F.count("*").alias("_rows"))
-    if dict(items.dtypes)[order[0]] not in ("int", "bigint", "smallint", "tinyint", "double", "float"):
-        raise ValueError("the first order column must be a number")
-    same = None
-    renamed = bounds.select(*[F.col(c).alias(f"_b_{c}") for c in group], "_lo", "_hi")
-    for c in group:
-        clause = F.col(c).eqNullSafe(F.col(f"_b_{c}"))
-        same = clause if same is None else same & clause
-    span = F.when(F.col("_hi") > F.col("_lo"), (first - F.col("_lo")).cast("double") / (F.col("_hi") - F.col("_lo")).cast("double") * (parts - 1)).otherwise(F.lit(0.0))
-    ranged = items.join(renamed, same).withColumn("_range", F.coalesce(F.floor(span), F.lit(-1)).cast("int")).drop("_lo", "_hi", *[f"_b_{c}" for c in group])
-    counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_c"))
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_off", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-    offsets = counts.select(*[F.col(c).alias(f"_b_{c}") for c in group], F.col("_range").alias("_b_range"), "_off")
-    inside = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(*[F.col(c).asc_nulls_first() for c in order])) - 1
-    joined = ranged.withColumn("_in", inside).join(offsets, same & (F.col("_range") == F.col("_b_range")))
-    return joined.withColumn("_at", F.col("_in") + F.col("_off")).drop("_in", "_off", "_range", "_b_range", *[f"_b_{c}" for c in group])
+    bins = opened.groupBy("_g", "_block").applyInPandas(number, f"_at bigint, `{out}` int")
+    return numbered.join(bins, "_at").select(*items.columns, out)

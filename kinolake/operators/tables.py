@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kinolake.session import cut_lineage
+
 
 def all_keys(table: DataFrame, key: str = "id") -> DataFrame:
     return table.select(key)
@@ -127,3 +129,18 @@ def first_by_key(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """One row a key: the first in ``order``."""
     rank = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return rows.withColumn("_r", rank).filter("_r = 1").drop("_r")
+
+
+def global_rank(rows: DataFrame, order: list, out: str = "rank") -> DataFrame:
+    """The rows with their place in ``order`` over the whole table, from 0.
+
+    Sorted by ranges and numbered within each; only the number of rows of each range is
+    gathered. The sorted rows are written once to the checkpoint folder, which also keeps
+    the numbers the same for every reader; lineage ends there.
+    """
+    kept = cut_lineage(rows.orderBy(*order).withColumn("_m", F.monotonically_increasing_id()))
+    part, inside = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = kept.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))  # a row a partition
+    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
+    return kept.join(F.broadcast(starts), part == F.col("_p")).withColumn(out, F.col("_before") + inside).drop("_m", "_p", "_before")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinolake.functions import ids, judging, vectors as vf
@@ -43,39 +42,26 @@ def topk_chunks(spark, folder):
     return hits.join(docs, "id").select("query_id", "id", "rank", "source", "tokens")
 
 
-def _pool(spark, folder, every=False):
-    """Text, entity and segment evidence one after the other; some ids occur in several.
-
-    Text is of every seventh embedding and entities of every fifth, as the SQL says, unless ``every`` is set: then
-    both have all embeddings, so that text and entity ids are the same.
-    """
+def _pool(spark, folder):
+    """Text, entity and segment evidence one after the other; text and entity evidence have all embeddings, under the same ids."""
     emb = table(spark, folder, "embeddings")
-    text_of, entity_of = (emb, emb) if every else (emb.filter("vec_id % 7 = 0"), emb.filter("vec_id % 5 = 0"))
-    text = evidence.text_evidence(text_of.select(F.concat(F.lit("e"), "vec_id").alias("id"), vf.score(F.col("label") / 10.0, F.lit(None).cast("double")).alias("score"), F.concat(F.lit("label "), "label").alias("content"), F.col("vec_id").alias("ord")))
-    entity = evidence.entity_evidence(entity_of.select(F.concat(F.lit("e"), "vec_id").alias("entity_name"), vf.score(F.lit(None).cast("double"), F.col("label") / 5.0).alias("score"), F.lit("entity").alias("description"), F.col("vec_id").alias("ord")))
-    seg = table(spark, folder, "segments").distinct()
-    segment = evidence.segment_evidence(seg.select(F.col("segment_id").alias("id"), F.lit(0.75).alias("score"), "content", "video_name", "segment_index", "start_s", "end_s", F.row_number().over(Window.orderBy("segment_id")).cast("bigint").alias("ord")))
+    text = evidence.text_evidence(emb.select(F.concat(F.lit("e"), "vec_id").alias("id"), vf.score(F.col("label") / 10.0, F.lit(None).cast("double")).alias("score"), F.concat(F.lit("label "), "label").alias("content"), F.col("vec_id").alias("ord")))
+    entity = evidence.entity_evidence(emb.select(F.concat(F.lit("e"), "vec_id").alias("entity_name"), vf.score(F.lit(None).cast("double"), F.col("label") / 5.0).alias("score"), F.lit("entity").alias("description"), F.col("vec_id").alias("ord")))
+    seg = tables.global_rank(table(spark, folder, "segments").select("segment_id", "content", "video_name", "segment_index", "start_s", "end_s").distinct(), ["segment_id", "start_s", "end_s", "content"], "ord")
+    segment = evidence.segment_evidence(seg.select(F.col("segment_id").alias("id"), F.lit(0.75).alias("score"), "content", "video_name", "segment_index", "start_s", "end_s", (F.col("ord") + 1).alias("ord")))
     return evidence.union_in_order([text, entity, segment])
 
 
-def evidence_union(spark, folder, every=False):
-    out = evidence.dedup(_pool(spark, folder, every))
+def evidence_union(spark, folder):
+    out = evidence.dedup(_pool(spark, folder))
     return evidence.public(out).select("id", "type", "score", F.md5("snippet").alias("snippet_md5"), "source", "video_name", "segment_index", "time_range", "branch", "ord")
 
 
-def evidence_union_all(spark, folder):
-    return evidence_union(spark, folder, every=True)
-
-
-def evidence_pool(spark, folder, every=False):
-    out = evidence.cap(evidence.dedup(_pool(spark, folder, every)), max_rounds=2)
+def evidence_pool(spark, folder):
+    out = evidence.cap(evidence.dedup(_pool(spark, folder)), max_rounds=2)
     return out.select("id", "type", "score", "branch", "ord")
 
 
-def evidence_pool_all(spark, folder):
-    return evidence_pool(spark, folder, every=True)
-
-
 def evidence_refinement(spark, folder):
     pool = evidence.dedup(_pool(spark, folder))
     done = table(spark, folder, "segments").filter("segment_index % 2 = 0").select(F.col("segment_id").alias("id"), F.lit("refined").alias("content")).distinct()
@@ -83,14 +69,11 @@ def evidence_refinement(spark, folder):
     return left.unionByName(evidence.use_refined(pool, done).filter("snippet = 'refined'").select("id", F.lit("refined").alias("state")))
 
 
-def citations(spark, folder, every=False):
-    pool = evidence.dedup(_pool(spark, folder, every)).filter("type <> 'segment'")
+def citations(spark, folder):
+    pool = evidence.dedup(_pool(spark, folder)).filter("type <> 'segment'")
     cited = table(spark, folder, "embeddings").select(F.concat(F.lit("e"), "vec_id").alias("id"))
-    return evidence.check_citations(cited, pool)
-
-
-def citations_all(spark, folder):
-    return citations(spark, folder, every=True)
+    strange = table(spark, folder, "documents").select(F.concat(F.lit("e"), F.col("doc_id") + 100_000).alias("id"))
+    return evidence.check_citations(cited.union(strange), pool)
 
 
 def relevance_filter(spark, folder):
@@ -225,7 +208,7 @@ def unanswered(spark, folder):
 
 
 QUERIES = (
-    topk_cosine, topk_segments, topk_approximate, topk_chunks, evidence_union, evidence_union_all, evidence_pool, evidence_pool_all, evidence_refinement, citations, citations_all, relevance_filter, last_messages, winrate,
+    topk_cosine, topk_segments, topk_approximate, topk_chunks, evidence_union, evidence_pool, evidence_refinement, citations, relevance_filter, last_messages, winrate,
     order_pairs, coverage_audit, coverage_missing, custom_ids, collection_counts, score_means, imputed_means, mean_difference, answer_pairs, judged_long, latest_votes,
     request_price, status_histogram, task_table, poll_delays, tumbling_counts, sessions, unanswered,
 )
@@ -233,26 +216,22 @@ QUERIES = (
 _TOPK = """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0), v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS e FROM embeddings),
     s AS (SELECT query_id, id, list_cosine_similarity(q.e, v.e) AS sim FROM q, v {0}),
     r AS (SELECT query_id, id, round(sim, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, id) AS INTEGER) AS rank FROM s)"""
-_POOL = """t AS (SELECT 'e' || vec_id AS id, 'text' AS type, label / CAST(10 AS DOUBLE) AS score, 'label ' || label AS snippet, 'text_chunk' AS source, NULL AS video_name, NULL AS segment_index, NULL AS time_range, 0 AS branch, vec_id AS ord FROM embeddings WHERE vec_id % 7 = 0
-      UNION ALL SELECT 'e' || vec_id, 'entity', greatest(0.0, 1 - label / CAST(5 AS DOUBLE)), 'entity', 'entity', NULL, NULL, NULL, 1, vec_id FROM embeddings WHERE vec_id % 5 = 0
+_POOL = """t AS (SELECT 'e' || vec_id AS id, 'text' AS type, label / CAST(10 AS DOUBLE) AS score, 'label ' || label AS snippet, 'text_chunk' AS source, NULL AS video_name, NULL AS segment_index, NULL AS time_range, 0 AS branch, vec_id AS ord FROM embeddings
+      UNION ALL SELECT 'e' || vec_id, 'entity', greatest(0.0, 1 - label / CAST(5 AS DOUBLE)), 'entity', 'entity', NULL, NULL, NULL, 1, vec_id FROM embeddings
       UNION ALL SELECT segment_id, 'segment', 0.75, coalesce(content, ''), 'video_segment', video_name, CAST(segment_index AS VARCHAR), start_s || '-' || end_s, 2, row_number() OVER (ORDER BY segment_id) FROM (SELECT DISTINCT * FROM segments)),
     d AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY id ORDER BY branch, ord) = 1)"""
 _EXPECTED = """x AS (SELECT collection_id || '-' || description || '++query' || q.id || '++' || CASE WHEN o = 'ori' THEN b.method ELSE m.method END || '++' || CASE WHEN o = 'ori' THEN m.method ELSE b.method END || '++' || o AS custom_id,
       o AS orientation, CASE WHEN o = 'ori' THEN b.method ELSE m.method END AS answer_1, CASE WHEN o = 'ori' THEN m.method ELSE b.method END AS answer_2
       FROM (SELECT DISTINCT collection_id, description, unnest(questions) AS q FROM questions), (SELECT method FROM methods WHERE is_baseline) b, (SELECT method FROM methods WHERE NOT is_baseline) m, (VALUES ('ori'), ('rev')) v(o))"""
-_POOL_ALL = _POOL.replace(" WHERE vec_id % 7 = 0", "").replace(" WHERE vec_id % 5 = 0", "")
 
 SQL = {
     "topk_cosine": _TOPK.format("WHERE list_cosine_similarity(q.e, v.e) >= 0.2") + " SELECT * FROM r WHERE rank <= 8",
     "topk_segments": _TOPK.format("") + " SELECT * FROM r WHERE rank <= 8",
     "topk_chunks": _TOPK.format("") + r" SELECT query_id, id, rank, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) AS INTEGER) AS tokens FROM r JOIN documents ON doc_id = id WHERE rank <= 20",
     "evidence_union": f"WITH {_POOL} SELECT id, type, score, md5(substr(snippet, 1, 300)) AS snippet_md5, source, video_name, segment_index, time_range, branch, ord FROM d",
-    "evidence_union_all": f"WITH {_POOL_ALL} SELECT id, type, score, md5(substr(snippet, 1, 300)) AS snippet_md5, source, video_name, segment_index, time_range, branch, ord FROM d",
     "evidence_pool": f"WITH {_POOL} SELECT id, type, score, branch, ord FROM d ORDER BY branch, ord, id LIMIT 30",
-    "evidence_pool_all": f"WITH {_POOL_ALL} SELECT id, type, score, branch, ord FROM d ORDER BY branch, ord, id LIMIT 30",
     "evidence_refinement": f"WITH {_POOL}, r AS (SELECT DISTINCT segment_id AS id FROM segments WHERE segment_index % 2 = 0) SELECT id, CASE WHEN id IN (SELECT id FROM r) THEN 'refined' ELSE 'open' END AS state FROM d WHERE type = 'segment'",
-    "citations": f"WITH {_POOL} SELECT 'e' || vec_id AS id, ('e' || vec_id) IN (SELECT id FROM d WHERE type <> 'segment') AS valid FROM embeddings",
-    "citations_all": f"WITH {_POOL_ALL} SELECT 'e' || vec_id AS id, ('e' || vec_id) IN (SELECT id FROM d WHERE type <> 'segment') AS valid FROM embeddings",
+    "citations": f"WITH {_POOL} SELECT 'e' || vec_id AS id, ('e' || vec_id) IN (SELECT id FROM d WHERE type <> 'segment') AS valid FROM (SELECT vec_id FROM embeddings UNION ALL SELECT doc_id + 100000 FROM documents)",
     "relevance_filter": """
         WITH g AS (SELECT doc_id, max(quality) >= 5 AS keep FROM labels GROUP BY 1), j AS (SELECT d.doc_id, source, keep FROM documents d JOIN g ON g.doc_id = d.doc_id),
         k AS (SELECT *, max(CASE WHEN keep THEN 1 ELSE 0 END) OVER (PARTITION BY source) AS a FROM j) SELECT doc_id, source, keep FROM k WHERE coalesce(keep, false) OR a = 0""",

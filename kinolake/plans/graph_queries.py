@@ -62,17 +62,10 @@ def edge_degree(spark, folder):
     return graph.edge_degree(edges(spark, folder))
 
 
-def _supplier_edges(spark, folder, suppliers):
-    return graph.node_edges(suppliers.select(F.concat(F.lit("S"), "s_suppkey").alias("entity_name")), edges(spark, folder))
-
-
 def node_edges(spark, folder):
-    """Of every tenth supplier only, as its SQL says; ``node_edges_all`` has all suppliers."""
-    return _supplier_edges(spark, folder, table(spark, folder, "supplier").filter("s_suppkey % 10 = 0"))
-
-
-def node_edges_all(spark, folder):
-    return _supplier_edges(spark, folder, table(spark, folder, "supplier"))
+    """The edges at all suppliers."""
+    suppliers = table(spark, folder, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_name"))
+    return graph.node_edges(suppliers, edges(spark, folder))
 
 
 def edge_lookup(spark, folder):
@@ -146,7 +139,7 @@ def entity_resolution(spark, folder):
 
 
 QUERIES = (
-    merge_nodes, merge_edges, missing_endpoints, node_degree, edge_degree, node_edges, node_edges_all, edge_lookup, largest_component, components, communities,
+    merge_nodes, merge_edges, missing_endpoints, node_degree, edge_degree, node_edges, edge_lookup, largest_component, components, communities,
     node_vectors, community_stats, sub_communities, related_segments, entity_mentions, entity_resolution,
 )
 
@@ -171,8 +164,7 @@ SQL = {
         QUALIFY row_number() OVER (PARTITION BY node ORDER BY src, tgt) = 1""",
     "node_degree": f"WITH {_REL} SELECT entity_name, degree FROM deg",
     "edge_degree": f"WITH {_REL} SELECT src, tgt, coalesce(x.degree, 0) + coalesce(y.degree, 0) AS degree FROM edges LEFT JOIN deg x ON x.entity_name = src LEFT JOIN deg y ON y.entity_name = tgt",
-    "node_edges": f"WITH {_REL} SELECT DISTINCT node AS entity_name, other FROM ways WHERE node IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 10 = 0)",
-    "node_edges_all": f"WITH {_REL} SELECT DISTINCT node AS entity_name, other FROM ways WHERE node IN (SELECT 'S' || s_suppkey FROM supplier)",
+    "node_edges": f"WITH {_REL} SELECT DISTINCT node AS entity_name, other FROM ways WHERE node IN (SELECT 'S' || s_suppkey FROM supplier)",
     "edge_lookup": f"""
         WITH {_REL}, asked AS (SELECT 'P' || p_partkey AS a, 'S' || (p_partkey % 100 + 1) AS b FROM part)
         SELECT a, b, EXISTS (SELECT 1 FROM edges WHERE src = least(asked.a, asked.b) AND tgt = greatest(asked.a, asked.b)) AS found FROM asked""",

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from kinolake.operators.greedy import greedy_bins, summarise, walk
+from kinolake.operators.greedy import chain, enter, greedy_bins, summarise, walk
 
 
 def plain(sizes, limit):
@@ -36,6 +36,21 @@ def test_blocks_compose_to_the_sequential_rule(seed):
     assert got == want
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_a_chain_says_what_its_blocks_say(seed):
+    rng = random.Random(seed)
+    limit = rng.choice([1, 5, 20, 100])
+    sizes = [[rng.choice([0, 0, rng.randint(0, limit), rng.randint(0, max(1, limit // 9)), rng.randint(0, limit * 2)]) for _ in range(rng.randint(1, 15))] for _ in range(rng.randint(1, 9))]
+    blocks = [summarise(np.array(s, np.int64), limit) for s in sizes]
+    cut = rng.randint(0, len(blocks))
+    whole = chain([chain(part, limit) for part in (blocks[:cut], blocks[cut:]) if part], limit)
+    for fill, bins in [(0, 0), *((f, 3) for f in range(0, 2 * limit + 2, max(1, limit // 7)))]:
+        want = (fill, bins)
+        for block in blocks:
+            want = enter(*block, limit, *want)
+        assert enter(*whole, limit, fill, bins) == want
+
+
 def test_frame(spark):
     rng = random.Random(1)
     rows = [(g, i, rng.choice([0, 1, 5, 9, None, 30]), "x") for g in ("a", "b", None) for i in range(200 if g == "a" else 7)]
@@ -46,4 +61,6 @@ def test_frame(spark):
     for g in ("a", "b", None):
         mine = sorted((r for r in out if r.g == g), key=lambda r: r.i)
         assert [r.bin for r in mine] == plain([r.n or 0 for r in mine], 20)
+    deep = greedy_bins(df, ["g"], ["i"], "n", 20, block=3, fan=3).collect()
+    assert sorted((r.g or "", r.i, r.bin) for r in deep) == sorted((r.g or "", r.i, r.bin) for r in out)
     assert greedy_bins(df.limit(0), ["g"], ["i"], "n", 20).count() == 0

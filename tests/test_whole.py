@@ -15,14 +15,14 @@ def ids(frame, column):
     return {r[0] for r in frame.select(column).distinct().collect()}
 
 
-@pytest.mark.parametrize("query,name,key", [("drafts", "documents", "doc_id"), ("mcq_options_all", "part", "p_partkey")])
+@pytest.mark.parametrize("query,name,key", [("drafts", "documents", "doc_id"), ("mcq_options", "part", "p_partkey")])
 def test_every_row_comes_out(spark, query, name, key):
     assert ids(catalog.queries()[query](spark, oracle.FOLDER), key) == ids(table(spark, oracle.FOLDER, name), key)
 
 
 def test_all_suppliers_are_asked(spark):
     lines = table(spark, oracle.FOLDER, "lineitem").select("l_suppkey", "l_partkey").distinct().collect()
-    got = catalog.queries()["node_edges_all"](spark, oracle.FOLDER).collect()
+    got = catalog.queries()["node_edges"](spark, oracle.FOLDER).collect()
     assert {tuple(r) for r in got} == {(f"S{r.l_suppkey}", f"P{r.l_partkey}") for r in lines}
 
 
@@ -45,5 +45,5 @@ def test_largest_component_of_all_lines(spark):
 
 
 def test_all_embeddings_are_evidence(spark):
-    out = catalog.queries()["evidence_union_all"](spark, oracle.FOLDER).filter("type <> 'segment'")
+    out = catalog.queries()["evidence_union"](spark, oracle.FOLDER).filter("type <> 'segment'")
     assert ids(out, "id") == {f"e{i}" for i in ids(table(spark, oracle.FOLDER, "embeddings"), "vec_id")}
