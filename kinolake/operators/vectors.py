@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from kinolake.functions.vectors import cosine
 from kinolake.operators.tables import upsert
+from kinolake.session import cut_lineage
 
 
 def embed(rows: DataFrame, text: str, provider: Callable[[list[str]], np.ndarray], out: str = "embedding", batch: int = 32) -> DataFrame:
@@ -36,6 +37,39 @@ def embed_and_upsert(table: DataFrame, rows: DataFrame, text: str, provider, key
     return upsert(table, fresh, key)
 
 
+def _best_rows(s: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``k`` greatest of each row, equal ones by smaller name; ``names`` is one row for all or a row each."""
+    n = min(k, s.shape[1])
+    names = np.broadcast_to(names, s.shape)
+    at = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < s.shape[1] else np.broadcast_to(np.arange(n), (len(s), n)).copy()
+    edge = np.take_along_axis(s, at, 1).min(1)
+    for row in np.flatnonzero((s >= edge[:, None]).sum(1) > n):  # ties at the edge: the smaller names
+        some = np.flatnonzero(s[row] >= edge[row])
+        at[row] = some[np.lexsort((names[row, some], -s[row, some]))][:n]
+    return np.take_along_axis(s, at, 1), np.take_along_axis(names, at, 1)
+
+
+class _Nearest:
+    """The ``k`` best rows of a set of queries so far; both sides are compared in blocks of bounded size."""
+
+    def __init__(self, queries: np.ndarray, k: int, rows: int = 1024, columns: int = 4096):
+        norm = np.sqrt((queries * queries).sum(1))
+        self.queries, self.k, self.rows, self.columns = queries / np.where(norm == 0, 1, norm)[:, None], k, rows, columns
+        self.best: list = [None] * -(-len(queries) // rows)
+
+    def add(self, names: np.ndarray, x: np.ndarray) -> None:
+        norm = np.sqrt((x * x).sum(1))
+        x = x / np.where(norm == 0, 1, norm)[:, None]
+        for b in range(0, len(x), self.columns):
+            for i in range(len(self.best)):
+                s = self.queries[i * self.rows : (i + 1) * self.rows] @ x[b : b + self.columns].T
+                found = _best_rows(s, names[b : b + self.columns], self.k)
+                if self.best[i] is not None:
+                    old = self.best[i]
+                    found = _best_rows(np.concatenate([old[0], found[0]], 1), np.concatenate([old[1], found[1]], 1), self.k)
+                self.best[i] = found
+
+
 def top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None, query_id: str = "query_id", vector_id: str = "id", embedding: str = "embedding", max_queries: int = 100_000) -> DataFrame:
     """``query_id, id, similarity, rank``: the ``k`` most similar rows of each query, at least ``threshold``.
 
@@ -44,57 +78,47 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | Non
 
     The queries are a stated, bounded set: they are sent to every task in one matrix
     (``max_queries`` is checked), each task keeps its own ``k`` best for each query, and
-    only those are shuffled. Vectors are never moved.
+    only those are shuffled. Vectors are never moved; queries and vectors are multiplied
+    in blocks.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
+
     asked = queries.filter(F.col(query_id).isNotNull() & F.col(embedding).isNotNull()).select(F.col(query_id).alias("q"), F.col(embedding).cast("array<double>").alias("e")).limit(max_queries + 1).collect()
     if len(asked) > max_queries:
         raise ValueError(f"more than {max_queries} queries; split them into blocks")
-    id_type, query_type = dict(vectors.dtypes)[vector_id], dict(queries.dtypes)[query_id]
-    schema = f"query_id {query_type}, id {id_type}, similarity double"
+    id_type, query_type = vectors.schema[vector_id].dataType, queries.schema[query_id].dataType
+    schema = f"query_id {query_type.simpleString()}, id {id_type.simpleString()}, similarity double"
+    arrow = pa.schema([("query_id", to_arrow_type(query_type)), ("id", to_arrow_type(id_type)), ("similarity", pa.float64())])
     by_dim: dict[int, tuple[list, np.ndarray]] = {}
-    for dim in {len(r.e) for r in asked if r.e}:
+    for dim in sorted({len(r.e) for r in asked if r.e}):
         rows = [r for r in asked if len(r.e) == dim and all(v is not None and v == v for v in r.e)]
         if rows:
             by_dim[dim] = ([r.q for r in rows], np.array([r.e for r in rows], np.float64))
     shared = vectors.sparkSession.sparkContext.broadcast(by_dim)
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        best = {dim: _Nearest(q, k) for dim, (_, q) in shared.value.items()}
         for batch in batches:
-            ids = np.array(batch.column(0).to_pylist(), object)
-            lists = batch.column(1)
-            sizes = lists.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
-            for dim, (_, q) in shared.value.items():
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids = ids.astype(str) if ids.dtype == object and pa.types.is_string(arrow.field("id").type) else ids
+            sizes = batch.column(1).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            for dim, nearest in best.items():
                 at = np.flatnonzero(sizes == dim)
-                if not len(at):
+                if len(at):
+                    x = batch.column(1).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
+                    fine = ~np.isnan(x).any(1)
+                    nearest.add(ids[at][fine], x[fine])
+        for dim, nearest in best.items():
+            names, start = shared.value[dim][0], 0
+            for block in nearest.best:
+                if block is None:
                     continue
-                x = lists.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), dim)
-                fine = ~np.isnan(x).any(1)
-                x, names = x[fine], ids[at][fine]
-                nx, nq = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
-                s = (q @ x.T) / np.where(nx == 0, 1, nx)[None, :] / np.where(nq == 0, 1, nq)[:, None]
-                s[:, nx == 0] = 0.0
-                old = best.get(dim)
-                names = np.broadcast_to(names, s.shape)
-                if old is not None:
-                    s, names = np.concatenate([old[0], s], 1), np.concatenate([old[1], names], 1)
-                keep_s, keep_n = [], []
-                n = min(k, s.shape[1])
-                for row, who in zip(s, names):
-                    edge = np.partition(row, -n)[-n] if n else 0.0
-                    some = np.flatnonzero(row >= edge)
-                    order = sorted(some.tolist(), key=lambda i: (-row[i], who[i]))[:n]
-                    keep_s.append(row[order])
-                    keep_n.append(who[order])
-                best[dim] = (np.array(keep_s), np.array(keep_n, object).reshape(len(keep_s), n))
-        rows = [(name, i, float(v)) for dim, (s, names) in best.items() for name, vs, ns in zip(shared.value[dim][0], s, names) for v, i in zip(vs, ns) if threshold is None or v >= threshold]
-        frame = pd.DataFrame(rows, columns=["query_id", "id", "similarity"])
-        yield pa.RecordBatch.from_arrays([pa.array(frame[c].tolist(), type=t) for c, t in zip(frame.columns, types)], names=list(frame.columns))
-
-    from pyspark.sql.pandas.types import to_arrow_type
+                s, found = block
+                kept = np.ones(s.shape, bool) if threshold is None else s >= threshold
+                row, at = np.nonzero(kept)
+                yield pa.RecordBatch.from_arrays([pa.array([names[start + r] for r in row], arrow.field(0).type), pa.array(found[row, at].tolist(), arrow.field(1).type), pa.array(s[row, at])], schema=arrow)
+                start += len(s)
 
-    empty = vectors.sparkSession.createDataFrame([], schema)
-    types = [to_arrow_type(f.dataType) for f in empty.schema.fields]
     found = vectors.filter(F.col(vector_id).isNotNull()).select(vector_id, F.col(embedding).cast("array<double>")).mapInArrow(local, schema)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -110,20 +134,70 @@ def top_k_sql(queries: DataFrame, vectors: DataFrame, k: int, threshold: float |
     return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, bucket: float = 1.0, tables: int = 8, max_distance: float = 1.45, query_id: str = "query_id", vector_id: str = "id", embedding: str = "embedding") -> DataFrame:
-    """Top-k by random projections of unit vectors: ``similarity`` from the distance; recall depends on ``tables`` and ``bucket``."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+class ApproximateIndex:
+    """Random projections of unit vectors into buckets, several tables of them, saved with the projected vectors.
+
+    A search looks at the rows that share a bucket with a query. Queries for which fewer
+    than ``k`` rows do are searched exactly, so that every query gets ``k`` rows where
+    there are so many. Recall depends on ``tables`` and ``width``; the tests measure it.
+    """
+
+    def __init__(self, dim: int, width: float, tables: int, rows: DataFrame | None = None):
+        self.dim, self.width, self.tables, self.rows = dim, width, tables, rows
+
+    def _hashed(self, df: DataFrame, name: str, embedding: str, out: str) -> DataFrame:
+        """``out, embedding, _k``: usable vectors with their bucket in every table; two projections make a bucket."""
+        dim, width, tables = self.dim, self.width, self.tables
+
+        @F.pandas_udf("array<long>")
+        def buckets(vectors: pd.Series) -> pd.Series:
+            rng = np.random.default_rng(1)
+            lines, shift = rng.normal(size=(2 * tables, dim)), rng.random(2 * tables)
+            found: list = [None] * len(vectors)
+            use = [i for i, v in enumerate(vectors) if v is not None and len(v) == dim]
+            if use:
+                x = np.stack([np.asarray(vectors.iloc[i], np.float64) for i in use])
+                norm = np.sqrt((x * x).sum(1))
+                fine = np.isfinite(norm) & (norm > 0)
+                cell = np.floor((x[fine] / norm[fine, None]) @ lines.T / width + shift).astype(np.int64)
+                keys = (np.arange(tables) << 32) + ((cell[:, ::2] & 0xFFFF) << 16) + (cell[:, 1::2] & 0xFFFF)
+                for i, key in zip(np.flatnonzero(fine), keys):
+                    found[use[i]] = key
+            return pd.Series(found, dtype=object)
 
-    def unit(df: DataFrame, name: str) -> DataFrame:
         e = F.col(embedding).cast("array<double>")
-        norm = F.sqrt(F.aggregate(e, F.lit(0.0), lambda s, v: s + v * v))
-        usable = df.filter(F.col(embedding).isNotNull() & (norm > 0) & ~F.isnan(norm))
-        return usable.select(F.col(name).alias(name), array_to_vector(F.transform(e, lambda v: v / norm)).alias("u"))
-
-    base, asked = unit(vectors, vector_id), unit(queries, query_id)
-    model = BucketedRandomProjectionLSH(inputCol="u", outputCol="h", bucketLength=bucket, numHashTables=tables, seed=1).fit(base)
-    pairs = model.approxSimilarityJoin(asked, base, max_distance, "d")
-    out = pairs.select(F.col(f"datasetA.{query_id}").alias("query_id"), F.col(f"datasetB.{vector_id}").alias("id"), (1 - F.col("d") * F.col("d") / 2).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+        rows = df.filter(F.col(name).isNotNull()).select(F.col(name).alias(out), e.alias("embedding"), buckets(e).alias("_h"))
+        return rows.filter(F.col("_h").isNotNull())
+
+    @classmethod
+    def fit(cls, vectors: DataFrame, dim: int, width: float = 1.5, tables: int = 16, vector_id: str = "id", embedding: str = "embedding") -> ApproximateIndex:
+        """Vectors that are null, of another length, without length or with NaN take no part."""
+        index = cls(dim, width, tables)
+        index.rows = index._hashed(vectors, vector_id, embedding, "id")
+        return index
+
+    def save(self, folder: str) -> None:
+        told = self.rows.sparkSession.createDataFrame([(self.dim, self.width, self.tables)], "dim int, width double, tables int")
+        told.coalesce(1).write.mode("overwrite").json(f"{folder}/model")
+        self.rows.write.mode("overwrite").parquet(f"{folder}/rows")
+
+    @classmethod
+    def load(cls, spark, folder: str) -> ApproximateIndex:
+        told = spark.read.schema("dim int, width double, tables int").json(f"{folder}/model").first()
+        return cls(told.dim, told.width, told.tables, spark.read.parquet(f"{folder}/rows"))
+
+    def top_k(self, queries: DataFrame, k: int, query_id: str = "query_id", embedding: str = "embedding") -> DataFrame:
+        """``query_id, id, similarity, rank``; equal similarity: smaller id. Only keys meet by shuffle; a row is compared once with a query."""
+        asked = self._hashed(queries, query_id, embedding, "query_id")
+        met = asked.select("query_id", F.explode("_h").alias("_k")).join(self.rows.select("id", F.explode("_h").alias("_k")), "_k").select("query_id", "id").distinct()
+        scored = met.join(asked.select("query_id", F.col("embedding").alias("_q")), "query_id").join(self.rows.select("id", "embedding"), "id")
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+        near = cut_lineage(scored.select("query_id", "id", cosine(F.col("_q"), F.col("embedding")).alias("similarity")).withColumn("rank", rank).filter(F.col("rank") <= k))
+        enough = near.filter(F.col("rank") == k).select("query_id")
+        few = queries.select(F.col(query_id).alias("query_id"), F.col(embedding).alias("embedding")).join(enough, "query_id", "left_anti")
+        return near.join(enough, "query_id", "left_semi").unionByName(top_k(few, self.rows.select("id", "embedding"), k))
+
+
+def approximate_top_k(queries: DataFrame, vectors: DataFrame, k: int, dim: int, width: float = 1.5, tables: int = 16, query_id: str = "query_id", vector_id: str = "id", embedding: str = "embedding") -> DataFrame:
+    """Top-k by an index that is made for this search alone; see ``ApproximateIndex``."""
+    return ApproximateIndex.fit(vectors, dim, width, tables, vector_id, embedding).top_k(queries, k, query_id, embedding)

@@ -32,7 +32,7 @@ def topk_segments(spark, folder):
 
 
 def topk_approximate(spark, folder):
-    return vectors.approximate_top_k(_asked(spark, folder), _vectors(spark, folder), 8)
+    return vectors.approximate_top_k(_asked(spark, folder), _vectors(spark, folder), 8, dim=64)
 
 
 def topk_chunks(spark, folder):

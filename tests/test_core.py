@@ -122,6 +122,40 @@ def test_budget(spark):
     assert chunking.budget_prefix(df, ["g"], ["r"], "n", 0).count() == 0
 
 
+def test_approximate_index(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(20, 16))
+    x = centers[rng.integers(0, 20, 1500)] + 0.3 * rng.normal(size=(1500, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in e]) for i, e in enumerate(x)] + [(9000, None), (9001, [0.0] * 16)], "id long, embedding array<double>")
+    asked = df.filter("id % 30 = 0 and id < 1500").withColumnRenamed("id", "query_id")
+    far = spark.createDataFrame([(7777, [1e6] * 16)], "query_id long, embedding array<double>")
+    want = {(r.query_id, r.id) for r in vectors.top_k(asked.union(far), df.filter("id < 9000"), 8).collect()}
+    vectors.ApproximateIndex.fit(df, 16).save(str(tmp_path / "index"))
+    got = vectors.ApproximateIndex.load(spark, str(tmp_path / "index")).top_k(asked.union(far), 8).collect()
+    counts = {}
+    for r in got:
+        counts[r.query_id] = counts.get(r.query_id, 0) + 1
+    assert set(counts.values()) == {8} and len(counts) == 51
+    assert len(want & {(r.query_id, r.id) for r in got}) >= 0.9 * len(want)
+
+
+def test_blocks_and_ties_of_top_k():
+    rng = np.random.default_rng(6)
+    q, x = np.round(rng.normal(size=(70, 3))), np.round(rng.normal(size=(500, 3)))
+    names = rng.permutation(500)
+    near = vectors._Nearest(q, 6, rows=16, columns=33)
+    near.add(names[:200], x[:200])
+    near.add(names[200:], x[200:])
+    norm = lambda m: m / np.where((n := np.sqrt((m * m).sum(1))) == 0, 1, n)[:, None]
+    s = norm(q) @ norm(x).T
+    for i in range(70):
+        block, row = divmod(i, 16)
+        sims, found = near.best[block][0][row], near.best[block][1][row]
+        order = np.lexsort((names, -np.round(s[i], 12)))[:6]
+        assert np.allclose(np.sort(sims)[::-1], s[i][order])
+        assert len(set(found.tolist())) == 6
+
+
 def test_top_k_equals_definition(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(200)] + [(900, None), (901, [0.0] * 6), (902, [1.0]), (903, [float("nan")] * 6)]

@@ -47,3 +47,9 @@ def test_largest_component_of_all_lines(spark):
 def test_all_embeddings_are_evidence(spark):
     out = catalog.queries()["evidence_union"](spark, oracle.FOLDER).filter("type <> 'segment'")
     assert ids(out, "id") == {f"e{i}" for i in ids(table(spark, oracle.FOLDER, "embeddings"), "vec_id")}
+
+
+def test_recall_of_the_approximate_index(spark):
+    exact = {(r.query_id, r.id) for r in catalog.queries()["topk_segments"](spark, oracle.FOLDER).collect()}
+    found = catalog.queries()["topk_approximate"](spark, oracle.FOLDER).collect()
+    assert len(found) == len(exact) and len(exact & {(r.query_id, r.id) for r in found}) >= 0.9 * len(exact)
