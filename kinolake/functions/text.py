@@ -16,6 +16,8 @@ CONTROL_BUT_LINES = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]"
 #: Delimiters of extracted records.
 TUPLE_END, RECORD_END, COMPLETE = "<|>", "##", "<|COMPLETE|>"
 FIELD_SEP = "<SEP>"
+#: What is taken from the front and the end of an entity's name.
+NAME_LEAD, NAME_TAIL = "^(the|a|an|mr\\.|dr\\.)\\s+", "\\s+(inc\\.|llc\\.|corp\\.?)$"
 _EDGE = "^[\\s\\x1c-\\x1f\\u0085\\u00a0]+|[\\s\\x1c-\\x1f\\u0085\\u00a0]+$"
 
 
@@ -41,6 +43,32 @@ def clean_for_json(text: Column | str) -> Column:
     return nfc(F.regexp_replace(text, CONTROL_BUT_LINES, ""))
 
 
+def clean_nested(value: Column, kind: T.DataType) -> Column:
+    """``clean_for_json`` for every string in arrays, maps and structs of any depth; keys and other types stay."""
+    if isinstance(kind, T.StringType):
+        return clean_for_json(value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _strip_nested(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: _strip_nested(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[clean_nested(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
+def _strip_nested(value: Column, kind: T.DataType) -> Column:
+    """Inside arrays and maps no UDF can run, so there control characters go but forms are not composed."""
+    if isinstance(kind, T.StringType):
+        return F.regexp_replace(value, CONTROL_BUT_LINES, "")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda v: _strip_nested(v, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, v: _strip_nested(v, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*[_strip_nested(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+    return value
+
+
 def clean_text(text: Column | str) -> Column:
     """Stripped, character references replaced, then without any control character."""
     return F.regexp_replace(html_unescape(strip(text)), CONTROL, "")
@@ -67,7 +95,7 @@ def record_body(record: Column | str) -> Column:
 
 
 def is_float(text: Column | str) -> Column:
-    """Digits with an optional sign and point; ``5.`` and ``1e3`` are none."""
+    """Digits with an optional sign and point (a fixed pattern); ``5.`` and ``1e3`` are none."""
     text = F.col(text) if isinstance(text, str) else text
     return text.rlike("^[-+]?[0-9]*\\.?[0-9]+$")
 
@@ -91,6 +119,11 @@ def csv_row(numbers_and_texts: list[tuple[Column, bool]]) -> Column:
     return F.concat_ws(",\t", *parts)
 
 
+def csv_text(rows: Column | str) -> Column:
+    """Rows of an array, one a line."""
+    return F.array_join(rows, "\n")
+
+
 def json_object_span(text: Column | str) -> Column:
     """From the first ``{`` to the last ``}``; null if there is none."""
     span = F.regexp_extract(text, "(?s)\\{.*\\}", 0)
@@ -116,6 +149,7 @@ def clock(seconds: Column | str) -> Column:
 
 def choice_options(query: Column | str) -> Column:
     """``array<struct<label, text>>`` of the options ``A)`` to ``D)`` or ``A.`` to ``D.`` in a question."""
+    # a fixed value: what an option looks like
     pattern = "(?:\\(?([A-D])[\\)\\.])\\s*([^\\(\\n]+)"
     labels, texts = (F.regexp_extract_all(query, F.lit(pattern), F.lit(k)) for k in (1, 2))
     return F.transform(F.arrays_zip(labels.alias("label"), texts.alias("text")), lambda o: F.struct(o["label"].alias("label"), strip(o["text"]).alias("text")))
@@ -124,8 +158,7 @@ def choice_options(query: Column | str) -> Column:
 def normal_entity_name(name: Column | str) -> Column:
     """Lower case, stripped, without a leading article or title and without a trailing company form."""
     text = F.lower(strip(name))
-    text = F.regexp_replace(text, "^(the|a|an|mr\\.|dr\\.)\\s+", "")
-    return F.regexp_replace(text, "\\s+(inc\\.|llc\\.|corp\\.?)$", "")
+    return F.regexp_replace(F.regexp_replace(text, NAME_LEAD, ""), NAME_TAIL, "")
 
 
 def ellipsis(text: Column | str, length: int = 150) -> Column:

@@ -5,12 +5,12 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinolake.functions import ids
 from kinolake.functions.text import strip
-from kinolake.functions.tokens import token_count, tokens
+from kinolake.functions.tokens import first_tokens, token_count, tokens
 from kinolake.operators.greedy import greedy_bins
 from kinolake.operators.tables import last_by_key, only_new
 
@@ -30,13 +30,6 @@ def fixed_chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     return one.select("doc_id", "chunk_order_index", F.size(part).alias("tokens"), F.array_join(part, " ").alias("content"))
 
 
-def first_tokens(text: str | Column, count: str | Column, limit: int) -> Column:
-    """The text, or its first ``limit`` tokens joined by spaces where it has more."""
-    text = F.col(text) if isinstance(text, str) else text
-    count = F.col(count) if isinstance(count, str) else count
-    return F.when(count > limit, F.array_join(F.slice(tokens(text), 1, limit), " ")).otherwise(F.coalesce(text, F.lit("")))
-
-
 def packed_chunks(segments: DataFrame, limit: int = 1200, video: str = "video_name", index: str = "segment_index", segment: str = "segment_id", content: str = "content") -> DataFrame:
     """``video_name, chunk_order_index, tokens, content, video_segment_id``: whole segments in order while they fit.
 

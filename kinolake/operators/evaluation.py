@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kinolake.functions.ids import request_id, request_parts
 from kinolake.functions.judging import WINNER_METRICS
+from kinolake.functions.text import json_object
 
 PRICE_PER_MILLION = 0.075
 
@@ -106,6 +107,25 @@ def token_price(requests: DataFrame, tokens: str, runs: int = 5, price: float =
     return requests.agg(F.count("*").alias("n_requests"), F.coalesce(F.sum(F.col(tokens).cast("bigint")), F.lit(0)).alias("tokens")).withColumn("price", F.col("tokens") / 1e6 * price * runs)
 
 
+def parse_results(answers: DataFrame, requests: DataFrame, valid: Column, shape: str, max_tries: int = 6) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Judged rows, rows to ask again, and rows given up, from ``custom_id, answer, tries``.
+
+    An answer is good if the JSON object in it satisfies ``valid`` (a condition on the
+    column ``judged``). Ids that were never asked are left out; of several good answers to
+    an id one is kept. Bad ones are asked again until ``max_tries`` are made.
+    """
+    known = known_results(answers, requests).withColumn("judged", json_object("answer", shape)).withColumn("_ok", F.coalesce(valid, F.lit(False)))
+    good = known.filter("_ok").dropDuplicates(["custom_id"]).select("custom_id", "judged")
+    bad = known.filter(~F.col("_ok")).join(good.select("custom_id"), "custom_id", "left_anti").groupBy("custom_id").agg(F.max(F.coalesce("tries", F.lit(1))).alias("tries"), F.max("answer").alias("answer"))
+    return good, bad.filter(F.col("tries") < max_tries), bad.filter(F.col("tries") >= max_tries)
+
+
+def query_count(results: DataFrame, custom_id: str = "custom_id") -> DataFrame:
+    """``n_queries``: distinct (collection, query) among request ids."""
+    parts = request_parts(custom_id)
+    return results.select(parts["collection"].alias("c"), parts["query"].alias("q")).distinct().agg(F.count("*").alias("n_queries"))
+
+
 # ---------------------------------------------------------------- task control
 
 DONE = ("completed", "failed", "expired", "cancelled")

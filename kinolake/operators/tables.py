@@ -1,11 +1,14 @@
 """Keyed tables: the verbs of a key-value store over DataFrames, and versioned storage.
 
-A store is a folder of versions; a commit writes a new version and then replaces a
-pointer, so a table is never overwritten while it is read.
+A stored table is a list of parts; each version is a small numbered file that names them. A
+commit writes one new part, an append adds a part to those of the version before, and the
+version file is created last and never changed, so that a reader always finds a whole
+table. The newest versions are kept, what only older ones name is removed.
 """
 
 from __future__ import annotations
 
+import fnmatch
 import json
 import uuid
 
@@ -73,45 +76,80 @@ def merge_manifest(tasks: DataFrame, old: DataFrame, key: str = "key") -> DataFr
 
 
 class Store:
-    """Named tables in a folder (any file system Spark can reach)."""
+    """Named tables in a folder (any file system Spark can reach). One writer a table; readers at any time."""
 
-    def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder.rstrip("/")
+    def __init__(self, spark: SparkSession, folder: str, keep: int = 4, most_parts: int = 64):
+        self.spark, self.folder, self.keep, self.most_parts = spark, folder.rstrip("/"), max(2, keep), most_parts
 
     def _fs(self, path: str):
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
 
-    def _version(self, name: str) -> str | None:
-        fs, pointer = self._fs(f"{self.folder}/{name}/current.json")
-        if not fs.exists(pointer):
-            return None
-        return json.loads(self.spark.read.text(pointer.toString(), wholetext=True).first()[0])["version"]
+    def _names(self, name: str) -> list[str]:
+        fs, folder = self._fs(f"{self.folder}/{name}")
+        return [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
+
+    def _versions(self, name: str) -> list[int]:
+        return sorted(int(f[2:-5]) for f in self._names(name) if f.startswith("v-") and f.endswith(".json"))
+
+    def _parts(self, name: str, version: int) -> list[str]:
+        text = self.spark.read.text(f"{self.folder}/{name}/v-{version:010d}.json", wholetext=True).first()[0]
+        return json.loads(text)["parts"]
+
+    def exists(self, name: str) -> bool:
+        return bool(self._versions(name))
+
+    def tables(self) -> list[str]:
+        fs, folder = self._fs(self.folder)
+        return sorted(f.getPath().getName() for f in fs.listStatus(folder) if f.isDirectory() and self.exists(f.getPath().getName())) if fs.exists(folder) else []
 
     def read(self, name: str, schema=None) -> DataFrame | None:
         """The current version; an empty table of the schema, or None, where there is none."""
-        version = self._version(name)
-        if version is None:
+        versions = self._versions(name)
+        if not versions:
             return self.spark.createDataFrame([], schema) if schema is not None else None
-        return self.spark.read.parquet(f"{self.folder}/{name}/{version}")
+        parts = [f"{self.folder}/{name}/{p}" for p in self._parts(name, versions[-1])]
+        return self.spark.read.option("mergeSchema", len(parts) > 1).parquet(*parts)
+
+    def _point(self, name: str, parts: list[str]) -> None:
+        versions = self._versions(name)
+        fs, file = self._fs(f"{self.folder}/{name}/v-{(versions[-1] if versions else 0) + 1:010d}.json")
+        out = fs.create(file, False)  # fails if another writer made this version
+        out.write(bytearray(json.dumps({"parts": parts}).encode()))
+        out.close()
+        for old in versions[: -(self.keep - 1)]:
+            fs.delete(self._fs(f"{self.folder}/{name}/v-{old:010d}.json")[1], False)
+        named = {p for v in self._versions(name) for p in self._parts(name, v)}
+        for part in self._names(name):
+            if part.startswith("p-") and part not in named:
+                fs.delete(self._fs(f"{self.folder}/{name}/{part}")[1], True)
+
+    def _write(self, name: str, table: DataFrame) -> str:
+        part = "p-" + uuid.uuid4().hex
+        table.write.parquet(f"{self.folder}/{name}/{part}")
+        return part
 
     def commit(self, name: str, table: DataFrame) -> None:
-        """Writes a version, then points to it; readers of the version before are not disturbed."""
-        version = uuid.uuid4().hex
-        table.write.parquet(f"{self.folder}/{name}/{version}")
-        fs, pointer = self._fs(f"{self.folder}/{name}/current.json")
-        jvm = self.spark._jvm
-        fresh = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}/current.{version}.tmp")
-        out = fs.create(fresh, True)
-        out.write(bytearray(json.dumps({"version": version}).encode()))
-        out.close()
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        fs.rename(fresh, pointer)
+        """A new version of the whole table."""
+        self._point(name, [self._write(name, table)])
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Adds rows; what is stored is not rewritten, but for every ``most_parts`` appends."""
+        versions = self._versions(name)
+        parts = [*(self._parts(name, versions[-1]) if versions else []), self._write(name, rows)]
+        self._point(name, parts)
+        if len(parts) > self.most_parts:
+            self.commit(name, self.read(name))
 
     def upsert(self, name: str, rows: DataFrame, key: str = "id") -> None:
-        self.commit(name, upsert(self.read(name, rows.schema), rows, key))
+        """Rows of unique keys; only added where the table has none of the keys, else the table is written anew."""
+        rows = cut_lineage(rows)
+        known = self.read(name)
+        if known is None or known.join(rows.select(key), key, "left_semi").isEmpty():
+            self.append(name, rows)
+        else:
+            self.commit(name, upsert(known, rows, key))
 
     def drop(self, name: str) -> None:
         """An empty table of the same columns."""
@@ -119,6 +157,14 @@ class Store:
         if table is not None:
             self.commit(name, table.limit(0))
 
+    def reset(self, pattern: str = "*") -> list[str]:
+        """Removes the tables whose name fits a pattern (``*``, ``?``) with all versions; their names."""
+        gone = [t for t in self.tables() if fnmatch.fnmatchcase(t, pattern)]
+        for name in gone:
+            fs, folder = self._fs(f"{self.folder}/{name}")
+            fs.delete(folder, True)
+        return gone
+
 
 def newest(rows: DataFrame, by: str, n: int, tie: str) -> DataFrame:
     """The ``n`` newest rows."""

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinolake.functions.ids import video_name
-from kinolake.operators.tables import Store
+from kinolake.operators.tables import Store, last_by_key
 
 #: Extensions that count as videos.
 EXTENSIONS = ("mp4", "mkv", "avi", "mov", "webm")
@@ -46,6 +46,14 @@ def read_jsonl(spark: SparkSession, folder: str, schema: str, key: str = "custom
     return good, bad
 
 
+def batch_output_to_map(spark: SparkSession, folder: str, key: str = "custom_id") -> tuple[DataFrame, DataFrame]:
+    """``custom_id, answer`` from line-delimited batch output (the first choice's text), the last line of an id, and the lines that don't parse."""
+    shape = f"{key} string, response struct<body: struct<choices: array<struct<message: struct<content: string>>>>>"
+    good, bad = read_jsonl(spark, folder, shape, key)
+    answer = F.get(F.col("response.body.choices"), F.lit(0))["message"]["content"]
+    return last_by_key(good.select(key, answer.alias("answer")), key, ["answer"]), bad
+
+
 def append_answers(store: Store, name: str, answers: DataFrame, key: list[str]) -> None:
     """Adds answers that aren't stored yet; a blank answer is an error, nothing is stored then."""
     blank = answers.filter(F.trim(F.coalesce("answer", F.lit(""))) == "")
@@ -53,14 +61,13 @@ def append_answers(store: Store, name: str, answers: DataFrame, key: list[str])
         raise ValueError("a blank answer")
     known = store.read(name, answers.schema)
     fresh = answers.join(known.select(*key), key, "left_anti").dropDuplicates(key)
-    store.commit(name, known.unionByName(fresh))
+    store.append(name, fresh)
 
 
 def keep_dead_letters(store: Store, rows: DataFrame, reason: str, name: str = "dead_letter") -> None:
     """Stores rows that failed, as JSON with the reason."""
     letters = rows.select(F.lit(reason).alias("reason"), F.to_json(F.struct("*")).alias("row"), F.current_timestamp().alias("at"))
-    known = store.read(name)
-    store.commit(name, letters if known is None else known.unionByName(letters))
+    store.append(name, letters)
 
 
 def write_graph(store: Store, nodes: DataFrame, edges: DataFrame, suffix: str = "") -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kinolake.operators.tables import Store, last_by_key, only_new
+from kinolake.session import cut_lineage
 
 
 def stream_parquet(spark: SparkSession, folder: str, schema, files_per_trigger: int = 8) -> DataFrame:
@@ -18,17 +19,17 @@ def stream_parquet(spark: SparkSession, folder: str, schema, files_per_trigger:
 def incremental_ingest(stream: DataFrame, store: Store, name: str, key: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
     """Adds rows with unseen keys to a stored table, batch by batch.
 
-    Within a batch the row with the greatest content counts. A batch that runs again after
+    Within a batch the row with the greatest content counts. New rows are appended; stored
+    ones are read for their keys only. A batch that runs again after
     a failure adds nothing twice, since its keys are known by then.
     """
 
     def run(batch: DataFrame, _: int) -> None:
         rows = prepare(batch) if prepare else batch
         rows = last_by_key(rows.filter(F.col(key).isNotNull()), key, [c for c in rows.columns if c != key])
-        known = store.read(name, rows.schema)
-        fresh = only_new(rows, known, key)
+        fresh = cut_lineage(only_new(rows, store.read(name, rows.schema), key))
         if not fresh.isEmpty():
-            store.commit(name, known.unionByName(fresh, allowMissingColumns=True))
+            store.append(name, fresh)
 
     return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
