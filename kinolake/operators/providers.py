@@ -5,6 +5,8 @@ The stand-ins are no models: they make pipelines and tests repeatable without a
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import zlib
 from collections.abc import Callable
@@ -12,7 +14,7 @@ from typing import Protocol
 
 import numpy as np
 
-from kinolake.functions.text import COMPLETE, RECORD_END, TUPLE_END
+from kinolake.functions.text import COMPLETE, FIELD_SEP, RECORD_END, TUPLE_END
 
 
 class Chat(Protocol):
@@ -80,3 +82,74 @@ def with_retries(call: Callable, attempts: int = 3, error: type[Exception] = Exc
         return None
 
     return run
+
+
+def says_yes(answer: str) -> bool:
+    """Does a yes/no answer say yes, apart from case, space and quotes."""
+    return answer.strip().strip('"').strip("'").lower() == "yes"
+
+
+def extract_and_glean(text: str, extract: Callable[[str], str], glean: Callable[[list[dict]], str] | None = None, more: Callable[[list[dict]], str] | None = None, rounds: int = 1) -> str:
+    """The extraction of a text and what up to ``rounds`` further calls add; between two calls the model is asked whether to go on."""
+    answer = extract(text)
+    if glean is None or rounds <= 0:
+        return answer
+    history = [{"role": "user", "content": text}, {"role": "assistant", "content": answer}]
+    for k in range(rounds):
+        found = glean(history)
+        answer += found
+        history += [{"role": "user", "content": "continue"}, {"role": "assistant", "content": found}]
+        if k + 1 == rounds or more is None or not says_yes(more(history)):
+            break
+    return answer
+
+
+def keep_first(name: str, descriptions: list[str], tokens: int = 500) -> str:
+    """Stand-in for a summary: whole descriptions, in order, while they stay under ``tokens``; at least the first."""
+    out, size = descriptions[:1], len(descriptions[0].split()) if descriptions else 0
+    for text in descriptions[1:]:
+        size += len(text.split())
+        if size >= tokens:
+            break
+        out.append(text)
+    return FIELD_SEP.join(out)
+
+
+def no_speech(path: str, start_s: int, end_s: int) -> str:
+    """Stand-in for speech recognition: missing audio has an empty transcript."""
+    return ""
+
+
+def no_caption(path: str, times: list[float], transcript: str) -> str:
+    """Stand-in for a caption."""
+    return "None"
+
+
+class CachedChat:
+    """A chat whose answers are kept by a key over model, messages and options, in memory and in a stored table."""
+
+    def __init__(self, chat: Callable, store=None, model: str = "stand-in", name: str = "answers_cache"):
+        self.chat, self.store, self.model, self.name = chat, store, model, name
+        self.hits, self.fresh = 0, {}
+        known = store.read(name) if store is not None else None
+        self.known = {r.key: r.answer for r in known.select("key", "answer").collect()} if known is not None else {}
+
+    def key(self, messages: list[dict], **options) -> str:
+        return hashlib.sha256(json.dumps({"model": self.model, "messages": messages, "options": options}, sort_keys=True).encode()).hexdigest()
+
+    def __call__(self, messages: list[dict], **options) -> str:
+        key = self.key(messages, **options)
+        if key in self.known:
+            self.hits += 1
+            return self.known[key]
+        answer = self.chat(messages, **options)
+        self.known[key] = self.fresh[key] = answer
+        return answer
+
+    def flush(self) -> int:
+        """Appends the new answers to the stored table; how many there were."""
+        n, rows = len(self.fresh), [(k, self.model, a) for k, a in self.fresh.items()]
+        if n and self.store is not None:
+            self.store.append(self.name, self.store.spark.createDataFrame(rows, "key string, model string, answer string"))
+        self.fresh = {}
+        return n

@@ -18,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kinolake.functions.text import NAME_LEAD, NAME_TAIL
 from kinolake.session import spread
 
 MEMORY, BATCH, MERGE, NEW = 50, 10, 0.85, 0.5
 RESOLVED = "run string, batch int, raw_name string, resolved_name string, how string"
-_LEAD, _TAIL = re.compile(r"^(the|a|an|mr\.|dr\.)\s+"), re.compile(r"\s+(inc\.|llc\.|corp\.?)$")
+_LEAD, _TAIL = re.compile(NAME_LEAD), re.compile(NAME_TAIL)
 
 
 def normalise(name: str) -> str:
@@ -58,20 +59,34 @@ class Memory:
             del self.rows[name]
 
 
+def memory_text(memory: Memory, length: int = 150) -> str:
+    """The memory as an extraction prompt shows it: a line a name, descriptions cut."""
+    if not memory.rows:
+        return "Memory is empty."
+    return "\n".join(f"- {name}: {row['description'][:length]}{'...' if len(row['description']) > length else ''}" for name, row in memory.rows.items())
+
+
 def resolve_run(mentions: pd.DataFrame, embed: Callable, decide: Callable[[str, str, list[str]], str | None] | None = None, memory_size: int = MEMORY, batch_size: int = BATCH) -> pd.DataFrame:
-    """Mentions of one run (``chunk_order, entity_name, description`` in order) to resolved names per batch."""
+    """Mentions of one run (``chunk_order, entity_name, description`` in order) to resolved names per batch.
+
+    A column ``known`` (array of name and description) may hold further candidates for a
+    name, from a stored table: they have no vector here, so they rank after the memory's
+    and can only be decided on.
+    """
     memory, rows = Memory(memory_size), []
     order = {c: k for k, c in enumerate(sorted(mentions["chunk_order"].unique()))}
     batches = mentions["chunk_order"].map(order) // batch_size
     for now, (number, part) in enumerate(mentions.groupby(batches, sort=True), start=1):
         first = part.drop_duplicates("entity_name")
         decided = []
-        for name, text in zip(first["entity_name"], first["description"].fillna("")):
+        stored = first["known"] if "known" in first.columns else [None] * len(first)
+        for name, text, more in zip(first["entity_name"], first["description"].fillna(""), stored):
             known = memory.match(name)
             if known is not None:
                 decided.append((name, text, known, "name"))
                 continue
             ranked = memory.ranked(np.asarray(embed([f"{name}: {text}"])[0])) if memory.rows else []
+            ranked += [(c["name"], 0.0) for c in (more if more is not None else ()) if c["name"] not in memory.rows and c["name"] != name]
             target, how = name, "new"
             if ranked and ranked[0][1] > MERGE:
                 target, how = ranked[0][0], "similar"
@@ -96,10 +111,17 @@ def resolve(mentions: DataFrame, run: str, embed: Callable, decide=None, memory_
         out.insert(0, "run", pdf["run"].iloc[0])
         return out.astype({"batch": "int32"})
 
-    rows = mentions.filter(F.col("entity_name").isNotNull()).select(F.col(run).cast("string").alias("run"), "chunk_order", "seq", "entity_name", "description")
+    more = ["known"] if "known" in mentions.columns else []
+    rows = mentions.filter(F.col("entity_name").isNotNull()).select(F.col(run).cast("string").alias("run"), "chunk_order", "seq", "entity_name", "description", *more)
     return spread(rows, "run").groupBy("run").applyInPandas(one, RESOLVED)
 
 
+def apply_to_mentions(mentions: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Mentions (``run, batch, entity_name, ...``) under resolved names; a name that wasn't resolved stays."""
+    names = resolved.select("run", "batch", F.col("raw_name").alias("entity_name"), F.col("resolved_name").alias("_n"))
+    return mentions.join(names, ["run", "batch", "entity_name"], "left").withColumn("entity_name", F.coalesce("_n", "entity_name")).drop("_n")
+
+
 def apply_to_edges(edges: DataFrame, resolved: DataFrame) -> DataFrame:
     """Edge mentions (``run, batch, src_id, tgt_id, ...``) under resolved names, without self-loops."""
     rest = [c for c in edges.columns if c not in ("src_id", "tgt_id")]

@@ -28,7 +28,8 @@ def embed(rows: DataFrame, text: str, provider: Callable[[list[str]], np.ndarray
                 result[i] = np.asarray(v, np.float32)
         return pd.Series(result, dtype=object)
 
-    return rows.withColumn(out, vectors(F.col(text)))
+    # a provider's call is made once, also where the vector is filtered on
+    return rows.withColumn(out, vectors.asNondeterministic()(F.col(text)))
 
 
 def embed_and_upsert(table: DataFrame, rows: DataFrame, text: str, provider, key: str = "id", meta: tuple[str, ...] = ()) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from kinolake.functions import ids, text
 from kinolake.functions.tokens import token_count
-from kinolake.operators import chunking, evidence, graph, providers, vectors
+from kinolake.operators import chunking, evidence, graph, providers, resolve, segments, tables, vectors
 from kinolake.operators.tables import Store
 from kinolake.session import cut_lineage
+from kinolake.sources.files import keep_dead_letters
 
 FAILED = "Sorry, nothing was found that answers the question."
 MARKER = "-----New Chunk-----\n"
@@ -26,15 +27,22 @@ class Models:
 
     embed: Callable = field(default_factory=providers.hash_embedder)
     extract: Callable[[str], str] = providers.name_extractor
+    glean: Callable[[list[dict]], str] | None = None
+    more: Callable[[list[dict]], str] | None = None
+    summarise: Callable[[str, list[str]], str] = providers.keep_first
+    decide: Callable[[str, str, list[str]], str | None] | None = None
     rewrite_for_entities: Callable[[str], str] = providers.identity_rewrite
     rewrite_for_segments: Callable[[str], str] = providers.identity_rewrite
     keep: Callable[[str], Callable[[str], str]] = providers.keyword_filter
     recaption: Callable | None = None
+    transcribe: Callable[[str, int, int], str] = providers.no_speech
+    caption: Callable[[str, list[float], str], str] = providers.no_caption
+    chunk: Callable[[DataFrame, int], DataFrame] = chunking.packed_chunks
 
 
 @dataclass
 class Params:
-    """Sizes of a retrieval."""
+    """Sizes of ingest and retrieval."""
 
     top_k: int = 20
     related_chunks: int = 8
@@ -44,58 +52,176 @@ class Params:
     evidence_k: int = 8
     max_rounds: int = 3
     chunk_limit: int = 1200
+    gleaning: int = 1
+    summary_from: int = 500
+    candidates: int = 3
+    #: Calls to models that may run at the same time; as many as there are tasks if None.
+    parallel_calls: int | None = None
 
 
 class Engine:
-    """Tables in a folder. ``suffix`` isolates a second graph (``_tm``); segments and their vectors are shared."""
+    """Tables in a folder. ``suffix`` isolates a second graph (``_tm``); segments and their vectors are shared.
 
-    def __init__(self, spark: SparkSession, folder: str, models: Models | None = None, params: Params | None = None, suffix: str = ""):
-        self.spark, self.store, self.models, self.params, self.suffix = spark, Store(spark, folder), models or Models(), params or Params(), suffix
+    ``memory`` makes ingest resolve names with the short-term memory (see ``resolve``).
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, models: Models | None = None, params: Params | None = None, suffix: str = "", memory: bool = False, store: Store | None = None):
+        self.spark, self.store, self.models, self.params, self.suffix, self.memory = spark, store or Store(spark, folder), models or Models(), params or Params(), suffix, memory
 
     def _read(self, name: str) -> DataFrame | None:
         return self.store.read(name + self.suffix)
 
     # ---- ingest
 
-    def ingest(self, segments: DataFrame) -> DataFrame:
+    def ingest_videos(self, videos: DataFrame) -> DataFrame:
+        """Ingests the videos (``video_name, path, duration_s``) that aren't stored yet; returns the new chunks.
+
+        Segments are planned from the duration and get a transcript and a caption from
+        the providers. A segment for which a provider fails becomes a dead letter and
+        stops the ingest; nothing of its batch is stored then.
+        """
+        done = self.store.read("segments")
+        fresh = videos.dropDuplicates(["video_name"])
+        fresh = fresh if done is None else fresh.join(done.select("video_name").distinct(), "video_name", "left_anti")
+        plan = segments.frame_times(segments.plan_segments(fresh)).join(fresh.select("video_name", "path"), "video_name")
+        transcribe, caption = self.models.transcribe, self.models.caption
+
+        @F.pandas_udf("struct<transcript: string, caption: string, error: string>")
+        def describe(paths: pd.Series, starts: pd.Series, ends: pd.Series, times: pd.Series) -> pd.DataFrame:
+            rows = []
+            for path, start, end, at in zip(paths, starts, ends, times):
+                try:
+                    heard = transcribe(path, int(start), int(end))
+                    rows.append((heard, caption(path, [float(t) for t in at], heard), None))
+                except Exception as error:  # noqa: BLE001
+                    rows.append((None, None, f"{type(error).__name__}: {error}"))
+            return pd.DataFrame(rows, columns=["transcript", "caption", "error"])
+
+        told = cut_lineage(self._calls(plan).withColumn("d", describe.asNondeterministic()("path", "start_s", "end_s", "frame_times")).select("video_name", "segment_index", "start_s", "end_s", "frame_times", "d.*"))
+        self._stop_on_errors(told, "a provider failed on a segment")
+        rows = told.select(ids.segment_id("video_name", "segment_index").alias("segment_id"), "video_name", "segment_index", "start_s", "end_s", "frame_times", "transcript", "caption", segments.content_of().alias("content"))
+        return self.ingest(rows)
+
+    def _calls(self, rows: DataFrame) -> DataFrame:
+        """Rows spread so that at most ``parallel_calls`` of them are with a model at a time."""
+        return rows if self.params.parallel_calls is None else rows.repartition(self.params.parallel_calls)
+
+    def _stop_on_errors(self, rows: DataFrame, reason: str) -> None:
+        failed = rows.filter(F.col("error").isNotNull())
+        if not failed.isEmpty():
+            keep_dead_letters(self.store, failed, reason)
+            raise RuntimeError(f"{reason}: {failed.select('error').first()[0]}; see the table dead_letter")
+
+    def ingest(self, rows: DataFrame) -> DataFrame:
         """Stores segments, their chunks, the graph and the vectors; returns the chunks that were new.
 
-        Segments that are stored already are replaced. Only unseen chunks are extracted
-        and embedded, so that edge weights aren't added twice. Stops with an error when
-        new chunks give no entity at all.
+        Only what changed is worked on: segments that are new or whose content differs
+        are embedded, videos with such segments are chunked again, and only unseen chunks
+        are extracted and embedded, so that edge weights aren't added twice. New segments,
+        chunks and their vectors are appended; nodes, edges and the vectors of the entities
+        named in the new chunks are merged into their tables. Stops with an error when new
+        chunks give no entity at all; chunks that fail are kept as dead letters.
         """
         old = self.store.read("segments")
-        rows = segments.distinct()
-        rows = rows if old is None else old.join(rows.select("segment_id"), "segment_id", "left_anti").unionByName(rows, allowMissingColumns=True)
-        self.store.commit("segments", rows)
-        rows = self.store.read("segments")
-        self.store.commit("segment_vectors", vectors.embed(rows.select(F.col("segment_id").alias("id"), "content"), "content", self.models.embed).select("id", "embedding").filter("embedding IS NOT NULL"))
-        made = chunking.dedup_chunks(chunking.packed_chunks(rows, self.params.chunk_limit), ["video_name", "chunk_order_index"]).drop("video_name")
+        rows = rows.distinct()
+        if old is not None:
+            known = old.select("segment_id", F.md5(F.coalesce("content", F.lit(""))).alias("_m"))
+            rows = rows.withColumn("_m", F.md5(F.coalesce("content", F.lit("")))).join(known, ["segment_id", "_m"], "left_anti").drop("_m")
+        rows = cut_lineage(rows)
+        stored = rows if old is None else tables.upsert(old, rows, "segment_id")
         known = self._read("chunks")
+        again = stored if known is None else stored.join(rows.select("video_name").distinct(), "video_name", "left_semi")
+        made = chunking.dedup_chunks(self.models.chunk(again, self.params.chunk_limit), ["video_name", "chunk_order_index"]).drop("video_name")
         fresh = cut_lineage(made if known is None else chunking.new_chunks(made, known))
-        if fresh.isEmpty():
-            return fresh
-        extract = _text_udf(self.models.extract)
-        answers = cut_lineage(fresh.select("chunk_id", extract("content").alias("answer")))
+        if not fresh.isEmpty():
+            self._add_entities(fresh)
+            embedded = vectors.embed(self._calls(fresh.select(F.col("chunk_id").alias("id"), "content")), "content", self.models.embed).select("id", "embedding")
+            self.store.append("chunk_vectors" + self.suffix, embedded)
+            self.store.append("chunks" + self.suffix, fresh)
+        if not rows.isEmpty():  # last: an ingest that stopped is done again from its segments
+            embedded = vectors.embed(self._calls(rows.select(F.col("segment_id").alias("id"), "content")), "content", self.models.embed).select("id", "embedding").filter("embedding IS NOT NULL")
+            self.store.upsert("segment_vectors", embedded, "id")
+            self.store.upsert("segments", rows, "segment_id")
+        return fresh
+
+    def reindex_entities(self) -> int:
+        """Makes graph and entity vectors anew from all stored chunks; how many entities there are."""
+        stored = self._read("chunks")
+        if stored is None:
+            raise ValueError("no chunks are stored")
+        chunks = cut_lineage(stored)
+        for name in ("nodes", "edges", "node_sources", "entity_vectors"):
+            self.store.reset(name + self.suffix)
+        self._add_entities(chunks)
+        return self._read("nodes").count()
+
+    def _extracted(self, fresh: DataFrame) -> DataFrame:
+        """``chunk_id, chunk_order_index, answer`` of the chunks; failures stop the ingest."""
+        extract, glean, more, rounds = self.models.extract, self.models.glean, self.models.more, self.params.gleaning
+
+        @F.pandas_udf("struct<answer: string, error: string>")
+        def run(texts: pd.Series) -> pd.DataFrame:
+            rows = []
+            for text in texts:
+                try:
+                    rows.append((providers.extract_and_glean(text or "", extract, glean, more, rounds), None))
+                except Exception as error:  # noqa: BLE001
+                    rows.append((None, f"{type(error).__name__}: {error}"))
+            return pd.DataFrame(rows, columns=["answer", "error"])
+
+        answers = cut_lineage(self._calls(fresh.select("chunk_id", "chunk_order_index", "content")).withColumn("d", run.asNondeterministic()(text.clean_for_json("content"))).select("chunk_id", "chunk_order_index", "content", "d.*"))
+        self._stop_on_errors(answers, "extraction failed for a chunk")
+        return answers.select("chunk_id", "chunk_order_index", "answer")
+
+    def _add_entities(self, fresh: DataFrame) -> None:
+        answers = self._extracted(fresh)
         mentions, relations = graph.parse_records(answers)
+        mentions, relations = cut_lineage(mentions), cut_lineage(relations)
         if mentions.isEmpty():
             raise RuntimeError("no entity was extracted from the new chunks; nothing was stored")
+        if self.memory:
+            mentions, relations = self._resolved(answers, mentions, relations)
         nodes, edges = self._read("nodes"), self._read("edges")
-        new_edges = cut_lineage(graph.merge_edges(relations, edges))
-        new_nodes = graph.merge_nodes(mentions, nodes)
-        if nodes is not None:  # names that are not mentioned again stay as they are
-            new_nodes = new_nodes.select(*nodes.columns)
-        new_nodes = cut_lineage(new_nodes)
-        new_nodes = new_nodes.unionByName(graph.missing_endpoints(new_edges, new_nodes))
-        self.store.commit("nodes" + self.suffix, new_nodes)
-        self.store.commit("edges" + self.suffix, new_edges)
-        named = self._read("nodes").select(ids.entity_id("entity_name").alias("id"), "entity_name", F.concat("entity_name", "description").alias("content"))
-        self.store.commit("entity_vectors" + self.suffix, vectors.embed(named, "content", self.models.embed).select("id", "entity_name", "embedding"))
-        embedded = vectors.embed(fresh.select(F.col("chunk_id").alias("id"), "content"), "content", self.models.embed).select("id", "embedding")
-        stored = self._read("chunk_vectors")
-        self.store.commit("chunk_vectors" + self.suffix, embedded if stored is None else stored.unionByName(embedded))
-        self.store.commit("chunks" + self.suffix, fresh if known is None else known.unionByName(fresh))
-        return fresh
+        summary = lambda df, name: graph.long_descriptions(df, self.models.summarise, self.params.summary_from, name=name)
+        src, tgt = ids.edge_ends("src_id", "tgt_id")
+        pairs = relations.select(src.alias("src"), tgt.alias("tgt")).distinct()
+        touched = edges.join(pairs, ["src", "tgt"], "left_semi") if edges is not None else None
+        new_edges = cut_lineage(summary(graph.merge_edges(relations, touched), "src"))
+        names = mentions.select("entity_name").distinct()
+        known = nodes.join(names, "entity_name", "left_semi") if nodes is not None else None
+        new_nodes = summary(graph.merge_nodes(mentions, known), "entity_name")
+        every = new_nodes.select("entity_name") if nodes is None else new_nodes.select("entity_name").unionByName(nodes.select("entity_name"))
+        new_nodes = cut_lineage(new_nodes.unionByName(graph.missing_endpoints(new_edges, every)))
+        sources = mentions.select("entity_name", "source_id").unionByName(new_nodes.join(names, "entity_name", "left_anti").select("entity_name", F.explode("source_ids").alias("source_id"))).distinct()
+        self.store.append("node_sources" + self.suffix, sources)
+        self.store.upsert("nodes" + self.suffix, new_nodes, "entity_name")
+        rest = None if edges is None else edges.join(new_edges.select("src", "tgt"), ["src", "tgt"], "left_anti")
+        self.store.commit("edges" + self.suffix, new_edges if rest is None else rest.unionByName(new_edges))
+        named = new_nodes.select(ids.entity_id("entity_name").alias("id"), "entity_name", F.concat("entity_name", F.coalesce("description", F.lit(""))).alias("content"))
+        embedded = vectors.embed(self._calls(named), "content", self.models.embed).select("id", "entity_name", "embedding")
+        self.store.upsert("entity_vectors" + self.suffix, embedded, "id")
+
+    def _resolved(self, answers: DataFrame, mentions: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Mentions and relations under the names that the short-term memory gives them, batches of chunks in order.
+
+        Beside the memory's names those most similar among the stored entities are candidates.
+        """
+        order = tables.global_rank(answers.select("chunk_id", "chunk_order_index"), ["chunk_order_index", "chunk_id"], "chunk_order")
+        place = cut_lineage(order.select(F.col("chunk_id").alias("source_id"), "chunk_order", F.lit("all").alias("run"), F.floor(F.col("chunk_order") / resolve.BATCH).cast("int").alias("batch")))
+        rows = mentions.join(place, "source_id")
+        stored = self._read("entity_vectors")
+        if stored is not None and self._read("nodes") is not None:
+            first = rows.groupBy("entity_name").agg(F.min_by("description", F.struct("chunk_order", "seq")).alias("description"))
+            asked = vectors.embed(first.select("entity_name", F.concat_ws(": ", "entity_name", "description").alias("q")), "q", self.models.embed)
+            hits = vectors.top_k(asked.select(F.col("entity_name").alias("query_id"), "embedding"), stored, self.params.candidates).join(stored.select("id", "entity_name"), "id")
+            hits = hits.join(self._read("nodes").select("entity_name", "description"), "entity_name")
+            known = hits.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("entity_name").alias("name"), "description"))), lambda h: F.struct(h["name"].alias("name"), h["description"].alias("description"))).alias("known"))
+            rows = rows.join(known.withColumnRenamed("query_id", "entity_name"), "entity_name", "left")
+        found = cut_lineage(resolve.resolve(rows, "run", self.models.embed, self.models.decide))
+        columns = ["entity_name", "entity_type", "description", "source_id", "seq"]
+        named = resolve.apply_to_mentions(mentions.join(place.drop("chunk_order"), "source_id"), found).select(*columns)
+        turned = resolve.apply_to_edges(relations.join(place.drop("chunk_order"), "source_id"), found)
+        return cut_lineage(named), cut_lineage(turned.select("src_id", "tgt_id", "weight", "description", "source_id", "seq"))
 
     # ---- retrieval
 
@@ -111,14 +237,14 @@ class Engine:
         hits = self._near("entity_vectors", self.models.rewrite_for_entities(question), k, self.params.threshold)
         named = self._read("entity_vectors")
         if named is None:
-            return self.spark.createDataFrame([], "entity_name string, similarity double, rank int")
-        return hits.join(named.select("id", "entity_name"), "id").select("entity_name", "similarity", "rank")
+            return self.spark.createDataFrame([], "entity_name string, similarity double, rank int, degree bigint")
+        found = hits.join(named.select("id", "entity_name"), "id").select("entity_name", "similarity", "rank")
+        return found.join(graph.node_degree(self._read("edges")), "entity_name", "left").withColumn("degree", F.coalesce("degree", F.lit(0).cast("bigint")))
 
     def _related(self, seeds: DataFrame, k: int) -> DataFrame:
         if self._read("nodes") is None:
             return self.spark.createDataFrame([], "segment_id string")
-        sources = self._read("nodes").select("entity_name", F.explode("source_ids").alias("source_id"))
-        chunks = graph.related_chunks(seeds, sources, self._read("edges"), k)
+        chunks = graph.related_chunks(seeds, self._read("node_sources").distinct(), self._read("edges"), k)
         return graph.chunk_segments(chunks, self._read("chunks"))
 
     def retrieve(self, question: str, mode: str = "context") -> DataFrame:
@@ -208,4 +334,4 @@ def _text_udf(function: Callable[[str], str]):
     def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: function(t or ""))
 
-    return run
+    return run.asNondeterministic()  # a model's call is made once
