@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinolake.plans import content_queries, eval_queries, graph_queries, record_queries
+from kinolake.plans import content_queries, eval_queries, graph_queries, record_queries, store_queries
 
-MODULES = (record_queries, content_queries, graph_queries, eval_queries)
+MODULES = (record_queries, content_queries, graph_queries, eval_queries, store_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -190,6 +190,9 @@ _SEG = "seg AS (SELECT DISTINCT * FROM segments)"
 _CONTENT = "'Caption:' || chr(10) || coalesce(caption, '') || chr(10) || 'Transcript:' || chr(10) || coalesce(transcript, '') || chr(10) || chr(10)"
 _WS = r"'^[\s\x1c-\x1f\x{85}\x{a0}]+|[\s\x1c-\x1f\x{85}\x{a0}]+$'"
 
+# quoted text of a context row: outer white space goes, then single quotes, then double ones
+_QUOTED = r"""'"' || regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '^[\s\x1c-\x1f\x{{85}}\x{{a0}}]+|[\s\x1c-\x1f\x{{85}}\x{{a0}}]+$', '', 'g'), '^''+|''+$', '', 'g'), '^"+|"+$', '', 'g') || '"' """
+
 SQL = {
     "segment_plan": f"""
         WITH {_SEG}, v AS (SELECT video_name, max(end_s) AS d FROM seg GROUP BY 1 HAVING max(end_s) > 0),
@@ -265,6 +268,15 @@ SQL = {
     "entity_names": r"""
         WITH r AS (SELECT p_partkey, p_name, CASE p_size % 4 WHEN 0 THEN 'The ' WHEN 1 THEN ' Dr.  ' ELSE '' END || p_name || CASE p_size % 3 WHEN 0 THEN ' Inc.' WHEN 1 THEN ' corp' ELSE '' END AS raw FROM part)
         SELECT p_partkey, regexp_replace(regexp_replace(lower(trim(raw)), '^(the|a|an|mr\.|dr\.)\s+', ''), '\s+(inc\.|llc\.|corp\.?)$', '') AS name, 'ent-' || md5(upper(p_name)) AS entity_id FROM r""",
+    "context_rows": rf"""
+        WITH {_SEG}, t AS (SELECT segment_id, start_s, end_s, CASE WHEN length(caption) > 150 THEN substr(caption, 1, 150) || '...' ELSE caption END AS caption FROM seg),
+        q AS (SELECT segment_id, end_s, coalesce(nullif(concat_ws(':', start_s // 3600, (start_s % 3600) // 60, start_s % 60), ''), '') AS clock, caption FROM t)
+        SELECT segment_id, concat_ws(',' || chr(9), {_QUOTED.format('segment_id')}, {_QUOTED.format('clock')}, coalesce(CAST(end_s AS VARCHAR), ''), {_QUOTED.format('caption')}) AS csv FROM q""",
+    "drafts": r"""
+        WITH a AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'x Updated Draft: y Updated Draft: ' || text WHEN 1 THEN 'Updated MCQ Analysis' || chr(10) || source ELSE text END AS a FROM documents),
+        t AS (SELECT doc_id, CASE WHEN contains(a, 'Updated Draft') THEN list_last(string_split(a, 'Updated Draft')) WHEN contains(a, 'Updated MCQ Analysis') THEN list_last(string_split(a, 'Updated MCQ Analysis')) END AS t FROM a),
+        s AS (SELECT doc_id, regexp_replace(t, '^[: \n]+|[: \n]+$', '', 'g') AS s FROM t)
+        SELECT doc_id, md5(CASE WHEN length(s) > 50 THEN s END) AS draft_md5 FROM s""",
     "verdicts": """
         WITH r AS (SELECT doc_id, max(quality) AS q FROM labels GROUP BY 1)
         SELECT doc_id, CASE WHEN q > 3 THEN 'A' ELSE 'B' END AS answer, CASE WHEN q > 3 THEN 'e' ELSE 'r' END AS rationale, CASE WHEN q > 3 THEN CAST(q AS DOUBLE) ELSE 1.0 END AS confidence FROM r""",

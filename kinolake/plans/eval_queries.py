@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from kinolake.functions import ids, judging, vectors as vf
 from kinolake.functions.tokens import token_count
 from kinolake.operators import evaluation, evidence, tables, vectors
+from kinolake.plans import record_queries
 from kinolake.plans.base import table
 from kinolake.sources import rejects
 from kinolake.streaming import ingest
@@ -110,10 +111,8 @@ def coverage_audit(spark, folder):
 
 
 def coverage_missing(spark, folder):
-    votes = table(spark, folder, "votes").select("custom_id").distinct()
-    listed = votes.select("custom_id", ids.request_parts("custom_id").alias("p"))
-    turned = listed.select(F.concat_ws("++", F.concat_ws("-", "p.collection", "p.description"), F.concat(F.lit("query"), "p.query"), "p.second", "p.first", F.when(F.col("p.orientation") == "ori", "rev").otherwise("ori")).alias("custom_id"))
-    return evaluation.missing_ids(turned, votes)
+    """Requests that should have been judged and weren't."""
+    return evaluation.missing_ids(_expected(spark, folder), table(spark, folder, "votes"))
 
 
 def custom_ids(spark, folder):
@@ -145,8 +144,8 @@ def mean_difference(spark, folder):
 
 
 def answer_pairs(spark, folder):
-    """Answers of two sources to the same collection, missing ones counted."""
-    docs = table(spark, folder, "documents").filter("collection_id IS NOT NULL AND source IN ('answer_md', 'query_log', 'entity_notes')")
+    """Answers of every source and those of one to the same collection, missing ones counted."""
+    docs = table(spark, folder, "documents").filter("collection_id IS NOT NULL AND source IS NOT NULL")
     answers = docs.groupBy("collection_id", F.col("source").alias("method")).agg(F.min("doc_id").alias("answer"))
     asked = table(spark, folder, "questions").select("collection_id", F.lit(0).alias("query"))
     out = evaluation.pair_answers(asked, answers.withColumn("query", F.lit(0)), "answer_md", keep_missing=True)
@@ -155,7 +154,7 @@ def answer_pairs(spark, folder):
 
 def judged_long(spark, folder):
     """Valid judge output, a row a criterion."""
-    loaded = rejects.load_records(table(spark, folder, "raw_results")).filter("reason IS NULL").select("custom_id", "line_id", F.from_json("content", judging.WINNER_TYPE).alias("judged"))
+    loaded = rejects.load_records(table(spark, folder, "raw_results")).filter("reason IS NULL").distinct().select("custom_id", "line_id", F.from_json("content", judging.WINNER_TYPE).alias("judged"))
     valid = loaded.filter(judging.valid_winners(F.col("judged"))).select("line_id", F.explode("judged").alias("metric", "v"))
     return valid.select("line_id", "metric", F.col("v.Winner").alias("winner"), F.md5("v.Explanation").alias("explanation_md5"))
 
@@ -225,6 +224,10 @@ _EXPECTED = """x AS (SELECT collection_id || '-' || description || '++query' ||
       FROM (SELECT DISTINCT collection_id, description, unnest(questions) AS q FROM questions), (SELECT method FROM methods WHERE is_baseline) b, (SELECT method FROM methods WHERE NOT is_baseline) m, (VALUES ('ori'), ('rev')) v(o))"""
 
 SQL = {
+    "judged_long": f"""
+        WITH {record_queries._LOADED}, g AS (SELECT DISTINCT line_id, c FROM r WHERE reason IS NULL),
+        m AS (SELECT line_id, c, unnest(['Comprehensiveness', 'Empowerment', 'Trustworthiness', 'Depth', 'Density', 'Overall Winner']) AS metric FROM g)
+        SELECT line_id, metric, json_extract_string(c, '$."' || metric || '".Winner') AS winner, md5(json_extract_string(c, '$."' || metric || '".Explanation')) AS explanation_md5 FROM m""",
     "topk_cosine": _TOPK.format("WHERE list_cosine_similarity(q.e, v.e) >= 0.2") + " SELECT * FROM r WHERE rank <= 8",
     "topk_segments": _TOPK.format("") + " SELECT * FROM r WHERE rank <= 8",
     "topk_chunks": _TOPK.format("") + r" SELECT query_id, id, rank, source, CAST(coalesce(len(regexp_extract_all(text, '[^ \t\n\r]+')), 0) AS INTEGER) AS tokens FROM r JOIN documents ON doc_id = id WHERE rank <= 20",
@@ -244,9 +247,7 @@ SQL = {
         FROM t GROUP BY GROUPING SETS ((domain, metric, a, b), (metric, a, b))""",
     "order_pairs": f"WITH {_EXPECTED} SELECT custom_id, orientation, answer_1, answer_2 FROM x",
     "coverage_audit": f"WITH {_EXPECTED}, e AS (SELECT DISTINCT custom_id FROM x) SELECT count(*) AS n_expected, count(CASE WHEN custom_id IN (SELECT custom_id FROM votes) THEN 1 END) AS n_present, count(CASE WHEN custom_id NOT IN (SELECT custom_id FROM votes) THEN 1 END) AS n_missing FROM e",
-    "coverage_missing": """
-        WITH t AS (SELECT DISTINCT split_part(custom_id, '++', 1) || '++' || split_part(custom_id, '++', 2) || '++' || split_part(custom_id, '++', 4) || '++' || split_part(custom_id, '++', 3) || '++' || CASE split_part(custom_id, '++', 5) WHEN 'ori' THEN 'rev' ELSE 'ori' END AS custom_id FROM votes)
-        SELECT custom_id FROM t WHERE custom_id NOT IN (SELECT custom_id FROM votes)""",
+    "coverage_missing": f"WITH {_EXPECTED} SELECT DISTINCT custom_id FROM x WHERE custom_id NOT IN (SELECT custom_id FROM votes WHERE custom_id IS NOT NULL)",
     "custom_ids": """
         SELECT DISTINCT custom_id, split_part(custom_id, '-', 1) AS collection, substr(split_part(custom_id, '++', 1), strpos(custom_id, '-') + 1) AS description, CAST(substr(split_part(custom_id, '++', 2), 6) AS INTEGER) AS query,
         split_part(custom_id, '++', 3) AS first, split_part(custom_id, '++', 4) AS second, split_part(custom_id, '++', 5) AS orientation FROM votes""",
@@ -261,7 +262,7 @@ SQL = {
         p AS (SELECT lang, coalesce(max(CASE WHEN source = 'lecture_asr' THEN mean END), 0) AS a, coalesce(max(CASE WHEN source = 'documentary_asr' THEN mean END), 0) AS b FROM m GROUP BY 1)
         SELECT lang, round(a, 6) AS mean_a, round(b, 6) AS mean_b, round(b - a, 6) AS difference FROM p""",
     "answer_pairs": """
-        WITH a AS (SELECT collection_id, source AS method, min(doc_id) AS answer FROM documents WHERE collection_id IS NOT NULL AND source IN ('answer_md', 'query_log', 'entity_notes') GROUP BY 1, 2),
+        WITH a AS (SELECT collection_id, source AS method, min(doc_id) AS answer FROM documents WHERE collection_id IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2),
         g AS (SELECT collection_id, method FROM questions, (SELECT DISTINCT method FROM a WHERE method <> 'answer_md')),
         j AS (SELECT g.method, a.answer, b.answer AS base FROM g LEFT JOIN a ON a.collection_id = g.collection_id AND a.method = g.method LEFT JOIN a b ON b.collection_id = g.collection_id AND b.method = 'answer_md')
         SELECT method, count(*) AS n, CAST(sum(CASE WHEN answer IS NULL OR base IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS n_skipped FROM j GROUP BY 1""",

@@ -168,6 +168,10 @@ SQL = {
     "edge_lookup": f"""
         WITH {_REL}, asked AS (SELECT 'P' || p_partkey AS a, 'S' || (p_partkey % 100 + 1) AS b FROM part)
         SELECT a, b, EXISTS (SELECT 1 FROM edges WHERE src = least(asked.a, asked.b) AND tgt = greatest(asked.a, asked.b)) AS found FROM asked""",
+    "largest_component": f"""
+        WITH RECURSIVE {_REL}, links AS (SELECT DISTINCT node, other FROM ways), seen AS (SELECT DISTINCT a AS start, a AS node FROM rel UNION SELECT seen.start, links.other FROM seen JOIN links ON links.node = seen.node),
+        best AS (SELECT start FROM seen GROUP BY 1 ORDER BY count(*) DESC, min(node) LIMIT 1)
+        SELECT DISTINCT upper(node) AS entity_name FROM seen WHERE start = (SELECT start FROM best)""",
     "components": """
         SELECT 'C' || o_custkey AS entity_name, 'C' || o_custkey AS component FROM orders GROUP BY ALL
         UNION ALL SELECT 'O' || o_orderkey, 'C' || o_custkey FROM orders""",
