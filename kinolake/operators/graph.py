@@ -74,10 +74,13 @@ def merge_edges(mentions: DataFrame, existing: DataFrame | None = None) -> DataF
     src, tgt = edge_ends("src_id", "tgt_id")
     order = F.coalesce(F.col("ord"), F.lit(1)) if "ord" in mentions.columns else F.lit(1)
     usable = mentions.filter(F.col("src_id").isNotNull() & F.col("tgt_id").isNotNull())
-    rows = usable.select(src.alias("src"), tgt.alias("tgt"), F.col("weight").cast("double").alias("weight"), "description", F.array("source_id").alias("source_ids"), order.cast("int").alias("ord"))
+    rows = usable.select(src.alias("src"), tgt.alias("tgt"), F.col("weight").cast("double").alias("weight"), "description", "source_id", order.cast("int").alias("ord"))
+    sources = F.collect_set("source_id")
     if existing is not None:
-        rows = rows.unionByName(existing.select("src", "tgt", "weight", "description", "source_ids", F.coalesce("ord", F.lit(1)).alias("ord")))
-    sums = rows.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.min("ord").alias("ord"), _texts("description").alias("description"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("source_ids")))).alias("source_ids"))
+        old = existing.select("src", "tgt", "weight", "description", "source_ids", F.coalesce("ord", F.lit(1)).alias("ord"))
+        rows = rows.select("src", "tgt", "weight", "description", F.array("source_id").alias("source_ids"), "ord").unionByName(old)
+        sources = F.array_distinct(F.flatten(F.collect_set("source_ids")))
+    sums = rows.groupBy("src", "tgt").agg(F.sum("weight").alias("weight"), F.min("ord").alias("ord"), _texts("description").alias("description"), F.array_sort(sources).alias("source_ids"))
     return sums.select("src", "tgt", "weight", "description", "source_ids", "ord")
 
 
@@ -342,14 +345,14 @@ def node_sources(mentions: DataFrame, existing: DataFrame | None = None) -> Data
 def related_chunks(seeds: DataFrame, sources: DataFrame, edges: DataFrame, k: int = 8) -> DataFrame:
     """``chunk_id, seed_rank, relation_count``: the seeds' chunks that share most one-hop relations.
 
-    ``seeds`` has entity_name and rank (few rows, one question); ``sources`` is
-    ``node_sources``. For each chunk of a seed the edges are counted whose other end also
+    ``seeds`` has entity_name and rank (few rows, one question); ``sources`` has
+    entity_name and source_id, in which rows may repeat, as edges may. For each chunk of a seed the edges are counted whose other end also
     has that chunk; a chunk belongs to the first seed that has it. Order: count
     descending, seed rank, chunk id.
     """
     chunks = seeds.join(sources, "entity_name").select("entity_name", "rank", F.col("source_id").alias("chunk_id"))
     first = chunks.groupBy("chunk_id").agg(F.min(F.struct("rank", "entity_name")).alias("_f")).select("chunk_id", F.col("_f.rank").alias("seed_rank"), F.col("_f.entity_name").alias("entity_name"))
-    shared = node_edges(seeds, edges).join(sources.select(F.col("entity_name").alias("other"), F.col("source_id").alias("chunk_id")), "other")
+    shared = node_edges(seeds, edges).join(sources.select(F.col("entity_name").alias("other"), F.col("source_id").alias("chunk_id")), "other").select("entity_name", "chunk_id", "other").distinct()
     counts = first.join(shared, ["entity_name", "chunk_id"], "left").groupBy("chunk_id", "seed_rank").agg(F.count("other").alias("relation_count"))
     return counts.orderBy(F.desc("relation_count"), "seed_rank", "chunk_id").limit(k)
 

@@ -244,7 +244,7 @@ class Engine:
     def _related(self, seeds: DataFrame, k: int) -> DataFrame:
         if self._read("nodes") is None:
             return self.spark.createDataFrame([], "segment_id string")
-        chunks = graph.related_chunks(seeds, self._read("node_sources").distinct(), self._read("edges"), k)
+        chunks = graph.related_chunks(seeds, self._read("node_sources"), self._read("edges"), k)
         return graph.chunk_segments(chunks, self._read("chunks"))
 
     def retrieve(self, question: str, mode: str = "context") -> DataFrame:

@@ -117,9 +117,10 @@ def sub_communities(spark, folder):
 def related_segments(spark, folder):
     """Five seed suppliers; orders stand for chunks."""
     rel = relations(spark, folder)
-    sources = graph.node_sources(rel.select(F.col("src_id").alias("entity_name"), "source_id").union(rel.select("tgt_id", "source_id")))
+    sources = rel.select(F.col("src_id").alias("entity_name"), "source_id").union(rel.select("tgt_id", "source_id"))
     seeds = table(spark, folder, "supplier").filter("s_suppkey BETWEEN 1 AND 5").select(F.concat(F.lit("S"), "s_suppkey").alias("entity_name"), F.col("s_suppkey").cast("int").alias("rank"))
-    return graph.related_chunks(seeds, sources, edges(spark, folder), 8)
+    links = rel.select(F.col("src_id").alias("src"), F.col("tgt_id").alias("tgt"))  # only the pairs matter, so nothing is merged
+    return graph.related_chunks(seeds, sources, links, 8)
 
 
 def entity_mentions(spark, folder):
