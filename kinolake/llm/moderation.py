@@ -242,17 +242,21 @@ class Model:
             yield p, passage
 
 
-def identity_terms(texts: list[str], langs: list[str], least: int = 5, languages: int = 3) -> set[str]:
-    """Capitalised words inside sentences that occur in several languages, at least twice in each: names of groups, people, places.
+def names_in(text: str) -> set[str]:
+    """Capitalised words inside the sentences of a text, in plain form."""
+    return {p for w in set(_NAME.findall(text)) for p in plain(w).split()}
+
+
+def identity_terms(names: list[set[str]], langs: list[str], least: int = 5, languages: int = 3) -> set[str]:
+    """Of the names in each text those that occur in several languages, at least twice in each: names of groups, people, places.
 
     A noun that one language writes with a capital doesn't become one by a few documents
     with a wrong language.
     """
     seen: dict[str, Counter[str]] = defaultdict(Counter)
-    for text, lang in zip(texts, langs):
-        for w in set(_NAME.findall(text)):
-            for p in plain(w).split():
-                seen[p][lang] += 1
+    for found, lang in zip(names, langs):
+        for p in found:
+            seen[p][lang] += 1
     return {w for w, by in seen.items() if by.total() >= least and sum(n > 1 for n in by.values()) >= languages}
 
 
@@ -270,11 +274,16 @@ def flag_from(margins: np.ndarray, labels: np.ndarray, near: float = 0.005) -> f
     return float(np.clip(1 / (1 + np.exp(-best)), 0.5, 0.95))
 
 
-def train(
-    texts: list[str], langs: list[str], labels: np.ndarray, identity: set[str] | None = None, steps: int = 45,
+def train(texts: list[str], langs: list[str], labels: np.ndarray, identity: set[str] | None = None, **options) -> Model:
+    """Fits the model on labelled texts (labels 0 or 1); see ``train_on``."""
+    return train_on([tokens(t) for t in texts], [names_in(t) for t in texts], langs, labels, identity, **options)
+
+
+def train_on(
+    found: list[list[str]], names_of: list[set[str]], langs: list[str], labels: np.ndarray, identity: set[str] | None = None, steps: int = 45,
     l2: float = 2e-4, swap: float = 2.0, least: int = 2, quantile: float = 0.96, seed: int = 3,
 ) -> Model:
-    """Fits the model on labelled texts (labels 0 or 1).
+    """Fits the model on the words and names of labelled texts (labels 0 or 1).
 
     Two models, each trained on one half, judge the other half first; documents whose
     label they contradict clearly are left out of the final fit, and the score to flag
@@ -282,14 +291,13 @@ def train(
     the weight of the penalty (0: none).
     """
     rng = np.random.default_rng(seed)
-    found = [tokens(t) for t in texts]
     df = Counter(w for f in found for w in set(f))
     names = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0])) if n >= least and w.isalpha() and _STAR not in w]
     vocab = {w: i + 1 for i, w in enumerate(names)}
     y = labels.astype(float)
     if not vocab or not len(y) or y.min() == y.max():
         return Model(vocab, np.zeros(len(vocab) + 1), np.zeros(_SIZE), 5.0 if len(y) and y.min() == 1 else -5.0)
-    terms = identity_terms(texts, langs) | GROUPS if identity is None else identity
+    terms = identity_terms(names_of, langs) | GROUPS if identity is None else identity
     speller = Speller(vocab)
     bags = Bags([speller.ids(f) for f in found])
     swap_ids = np.array(sorted(vocab[w] for w in terms if w in vocab), np.int64)
@@ -436,14 +444,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labels: int, max_cha
 
 
 def fit_model(sample: DataFrame, identity: set[str] | None = None) -> bytes:
-    """Trains in one task on a bounded sample (see ``labelled_sample``) and returns the model, about a megabyte."""
+    """Trains in one task on a bounded sample (see ``labelled_sample``) and returns the model, about a megabyte.
+
+    Texts are turned into words where they are read; only the fit itself is one task.
+    """
+
+    def prepare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            names = [" ".join(sorted(names_in(t))) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang": pdf["lang"], "label": pdf["label"], "words": [" ".join(tokens(t)) for t in pdf["text"]], "names": names})
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates("doc_id").sort_values("doc_id")
-        model = train(pdf["text"].tolist(), pdf["lang"].tolist(), pdf["label"].to_numpy(int), identity)
+        pdf = pdf.sort_values(["doc_id", "words"]).drop_duplicates("doc_id")
+        model = train_on([w.split() for w in pdf["words"]], [set(n.split()) for n in pdf["names"]], pdf["lang"].tolist(), pdf["label"].to_numpy(int), identity)
         return pd.DataFrame({"model": [model.dump()]})
 
-    rows = sample.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: fit(pdf), "model binary").collect()
+    words = sample.mapInPandas(prepare, "doc_id bigint, lang string, label int, words string, names string")
+    rows = words.groupBy(F.lit(1).alias("_all")).applyInPandas(lambda pdf: fit(pdf), "model binary").collect()
     return bytes(rows[0].model) if rows else train([], [], np.zeros(0, int)).dump()
 
 

@@ -5,7 +5,7 @@ import pytest
 
 from kinolake.llm import moderation
 from kinolake.llm.moderation import GROUPS as WORDS_FOR_GROUPS
-from kinolake.llm.moderation import Bags, Model, Speller, fit_model, flag_from, identity_terms, labelled_sample, rates, score_documents, tokens, train
+from kinolake.llm.moderation import Bags, Model, Speller, fit_model, flag_from, identity_terms, names_in, labelled_sample, rates, score_documents, tokens, train
 
 GROUPS = ["Ordolin", "Velmarian", "Tashkuni", "Bremmari"]
 PLACES = ["the tram", "a lantern", "the orchard", "a harbour", "the piano", "the reef"]
@@ -100,12 +100,12 @@ def test_one_class_only():
 def test_identity_terms():
     texts = [f"then the {g} came, and Dorf was seen" if lang != "de" else f"also kam {g} ins Dorf, und Haus" for g in GROUPS for lang in ("en", "fr", "de") for _ in range(3)]
     langs = [lang for _ in GROUPS for lang in ("en", "fr", "de") for _ in range(3)]
-    assert {"ordolin", "tashkuni"} <= identity_terms(texts, langs) and "haus" not in identity_terms(texts, langs)
+    assert {"ordolin", "tashkuni"} <= identity_terms([names_in(t) for t in texts], langs) and "haus" not in identity_terms([names_in(t) for t in texts], langs)
 
 
 def test_a_noun_of_one_language_is_no_identity_term():
     texts, langs = ["dann kam die Antenne in Sicht"] * 12, ["de"] * 10 + ["en", "fr"]  # two languages are wrong
-    assert identity_terms(texts, langs) == set()
+    assert identity_terms([names_in(t) for t in texts], langs) == set()
 
 
 def test_penalty_lowers_scores_of_neutral_mentions():
