@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kinolake.functions.ids import request_id, request_parts
 from kinolake.functions.judging import WINNER_METRICS
 from kinolake.functions.text import json_object
+from kinolake.operators.tables import for_each
 
 PRICE_PER_MILLION = 0.075
 
@@ -29,8 +30,7 @@ def pair_answers(questions: DataFrame, answers: DataFrame, baseline: str, keep_m
     others = answers.filter(F.col("method") != baseline).select(*key, "method", "answer")
     if not keep_missing:
         return questions.join(base, key).join(others, key)
-    methods = others.select("method").distinct()
-    grid = questions.join(F.broadcast(methods.withColumn("_j", F.lit(1))), F.lit(1) == F.col("_j")).drop("_j")
+    grid = for_each(questions, others.select("method"))
     return grid.join(base, key, "left").join(others, [*key, "method"], "left")
 
 

@@ -190,3 +190,15 @@ def global_rank(rows: DataFrame, order: list, out: str = "rank") -> DataFrame:
     before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
     starts = counts.select("_p", F.coalesce(before, F.lit(0)).alias("_before"))
     return kept.join(F.broadcast(starts), part == F.col("_p")).withColumn(out, F.col("_before") + inside).drop("_m", "_p", "_before")
+
+
+def for_each(rows: DataFrame, values: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row with every distinct row of a short list; more than ``most`` of these are an error, not a truncation."""
+    listed = values.distinct().limit(most + 1).collect()
+    if len(listed) > most:
+        raise ValueError(f"more than {most} values")
+    shape = values.schema.simpleString()
+    if not listed:
+        return rows.limit(0).select("*", *[F.lit(None).cast(f.dataType).alias(f.name) for f in values.schema])
+    items = F.array(*[F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in values.schema]) for r in sorted(listed, key=repr)]).cast(f"array<{shape}>")
+    return rows.withColumn("_v", F.explode(items)).select(*rows.columns, "_v.*")

@@ -125,16 +125,6 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | Non
     return found.withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def top_k_sql(queries: DataFrame, vectors: DataFrame, k: int, threshold: float | None = None) -> DataFrame:
-    """The same in expressions alone: the definition that ``top_k`` is tested against. For small inputs."""
-    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("_q"))), how="cross")
-    scored = pairs.select("query_id", "id", cosine(F.col("embedding"), F.col("_q")).alias("similarity")).filter(F.col("similarity").isNotNull())
-    if threshold is not None:
-        scored = scored.filter(F.col("similarity") >= threshold)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
-
-
 class ApproximateIndex:
     """Random projections of unit vectors into buckets, several tables of them, saved with the projected vectors.
 

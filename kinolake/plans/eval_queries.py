@@ -98,7 +98,7 @@ def order_pairs(spark, folder):
     questions = evaluation.explode_questions(table(spark, folder, "questions"))
     baseline = table(spark, folder, "methods").filter("is_baseline").select(F.col("method").alias("base"))
     others = table(spark, folder, "methods").filter("not is_baseline").select("method")
-    pairs = questions.join(F.broadcast(baseline), F.lit(True)).join(F.broadcast(others), F.lit(True))
+    pairs = tables.for_each(tables.for_each(questions, baseline), others)
     return evaluation.both_orders(pairs, "base", "method").select("custom_id", "orientation", "answer_1", "answer_2")
 
 

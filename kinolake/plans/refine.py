@@ -9,7 +9,10 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+#: Tool calls in all and a turn, evidence rows listed, messages a critique sees.
 MAX_CALLS, CALLS_A_TURN, LISTED, SEEN = 25, 3, 50, 10
+#: What announces a new draft, and the key that tells a model how many rows a tool added.
+DRAFT_MARKERS, ADDED = ("Updated Draft", "Updated MCQ Analysis"), "evidence_added"
 #: Sampling temperature of each role.
 TEMPERATURE = {"generator": 0.5, "defender": 0.4, "critique": 0.6, "judge": 0.1}
 #: The tools an agent may call, by name, with what they need.
@@ -63,7 +66,7 @@ class Turn:
 
 
 Model = Callable[[str, list[dict], float], Turn]
-_DRAFT = re.compile(r"(?s).*(?:Updated Draft|Updated MCQ Analysis)[: \n]*(.*)")
+_DRAFT = re.compile(rf"(?s).*(?:{'|'.join(DRAFT_MARKERS)})[: \n]*(.*)")
 
 
 def rows_of(frame: DataFrame) -> list[dict]:
@@ -78,21 +81,39 @@ def updated(answer: str, least: int = 50) -> str | None:
     return draft if len(draft) > least else None
 
 
+def _user(**parts: str) -> dict:
+    return {"role": "user", "content": "\n".join(f"{name.capitalize()}:{' ' if name != 'evidence' else chr(10)}{value}" for name, value in parts.items())}
+
+
+class Calls:
+    """What is left of the tool calls, in this turn and at all."""
+
+    def __init__(self, state: State, settings: Settings):
+        self.state, self.settings, self.turn = state, settings, 0
+
+    @property
+    def allowed(self) -> bool:
+        room = len(self.state.evidence) < self.settings.cap
+        return self.settings.use_tools and room and self.turn < CALLS_A_TURN and self.state.tool_calls < MAX_CALLS
+
+    def make(self, tools: dict[str, Callable[[str], list[dict]]], name: str, arguments: dict) -> dict:
+        """One call as the model is told of it; an unknown tool adds nothing and counts."""
+        self.turn += 1
+        self.state.tool_calls += 1
+        found = tools[name](str(arguments.get("query", self.state.question))) if name in tools else []
+        return {"role": "tool", "content": json.dumps({ADDED: self.state.add(found, self.settings.cap)})}
+
+
 def refine_once(model: Model, tools: dict[str, Callable[[str], list[dict]]], state: State, draft: str, critique: str, settings: Settings) -> str:
-    """One turn of the defender: up to three tool calls within the limits, then its last text."""
-    messages = [{"role": "user", "content": f"Question: {state.question}\nDraft: {draft}\nCritique: {critique}\nEvidence:\n{state.listing()}"}]
-    last, made = "", 0
-    while True:
-        turn = model("defender", messages, TEMPERATURE["defender"])
-        last = turn.text or last
-        allowed = settings.use_tools and made < CALLS_A_TURN and state.tool_calls < MAX_CALLS and len(state.evidence) < settings.cap
-        if not turn.calls or not allowed:
-            return last
-        messages.append({"role": "assistant", "content": turn.text})
-        for name, arguments in turn.calls:
-            added = state.add(tools[name](str(arguments.get("query", state.question))), settings.cap) if name in tools else 0
-            state.tool_calls, made = state.tool_calls + 1, made + 1
-            messages.append({"role": "tool", "content": json.dumps({"evidence_added": added})})
+    """One turn of the defender: tool calls while they are allowed, then its last text."""
+    talk, calls, said = [_user(question=state.question, draft=draft, critique=critique, evidence=state.listing())], Calls(state, settings), ""
+    turn = model("defender", talk, TEMPERATURE["defender"])
+    while turn.calls and calls.allowed:
+        said = turn.text or said
+        talk.append({"role": "assistant", "content": turn.text})
+        talk += [calls.make(tools, name, arguments) for name, arguments in turn.calls]
+        turn = model("defender", talk, TEMPERATURE["defender"])
+    return turn.text or said
 
 
 def verdict_of(text: str) -> dict | None:
@@ -118,24 +139,57 @@ def judge(model: Model, state: State, settings: Settings) -> dict:
     return {"answer": "", "rationale": "the judge gave no usable JSON", "confidence": 0.0}
 
 
+class Loop:
+    """The refinement of an answer as named steps over a state; a step says which comes next."""
+
+    def __init__(self, model: Model, state: State, tools: dict[str, Callable[[str], list[dict]]], settings: Settings):
+        self.model, self.state, self.tools, self.settings = model, state, tools, settings
+        self.draft = self.critique = ""
+        self.verdict: dict = {}
+
+    def _say(self, kind: str, text: str) -> None:
+        self.state.transcript.append({"role": "assistant", "content": f"{kind}: {text}"})
+
+    def _ask(self, role: str, messages: list[dict]) -> str:
+        return self.model(role, messages, TEMPERATURE[role]).text
+
+    def start(self) -> str:
+        self.draft = self._ask("generator", [_user(question=self.state.question, evidence=self.state.listing())])
+        self._say("Draft", self.draft)
+        return "criticise"
+
+    def criticise(self) -> str:
+        if self.state.rounds >= self.settings.max_rounds:
+            return "decide"
+        self.state.rounds += 1
+        seen = [_user(question=self.state.question, draft=self.draft), *self.state.transcript[-SEEN:]]
+        if self.settings.critique_sees_evidence:
+            seen.append(_user(evidence=self.state.listing()))
+        self.critique = self._ask("critique", seen)
+        self._say("Critique", self.critique)
+        return "defend"
+
+    def defend(self) -> str:
+        answer = refine_once(self.model, self.tools, self.state, self.draft, self.critique, self.settings)
+        self.draft = updated(answer) or self.draft
+        self._say("Defence", answer)
+        return "criticise"
+
+    def decide(self) -> None:
+        self.verdict = judge(self.model, self.state, self.settings)
+
+    def run(self) -> dict:
+        step: str | None = "start"
+        while step:
+            step = getattr(self, step)()
+        return self.verdict
+
+
 def run(model: Model, question: str, evidence: list[dict], tools: dict[str, Callable[[str], list[dict]]], settings: Settings | None = None) -> tuple[dict, State]:
-    """Draft, then rounds of critique and refinement, then the verdict. Without rounds, draft and verdict alone."""
-    settings = settings or Settings()
-    state = State(question, [])
+    """The verdict and the state after draft, rounds of critique and defence, and judgement. Without rounds, draft and verdict alone."""
+    settings, state = settings or Settings(), State(question, [])
     state.add(evidence, settings.cap)
-    draft = model("generator", [{"role": "user", "content": f"Question: {question}\nEvidence:\n{state.listing()}"}], TEMPERATURE["generator"]).text
-    state.transcript.append({"role": "assistant", "content": f"Draft: {draft}"})
-    for _ in range(settings.max_rounds):
-        state.rounds += 1
-        seen = [{"role": "user", "content": f"Question: {question}\nDraft: {draft}"}, *state.transcript[-SEEN:]]
-        if settings.critique_sees_evidence:
-            seen.append({"role": "user", "content": "Evidence:\n" + state.listing()})
-        critique = model("critique", seen, TEMPERATURE["critique"]).text
-        state.transcript.append({"role": "assistant", "content": f"Critique: {critique}"})
-        answer = refine_once(model, tools, state, draft, critique, settings)
-        draft = updated(answer) or draft
-        state.transcript.append({"role": "assistant", "content": f"Defence: {answer}"})
-    return judge(model, state, settings), state
+    return Loop(model, state, tools, settings).run(), state
 
 
 def cited_ids(answer: str) -> list[str]:

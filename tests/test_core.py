@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from kinolake.functions import ids, judging, text, tokens, vectors as vf
@@ -156,6 +157,16 @@ def test_blocks_and_ties_of_top_k():
         assert len(set(found.tolist())) == 6
 
 
+def top_k_by_definition(queries, vectors, k, threshold=None):
+    """All pairs in expressions alone."""
+    pairs = vectors.join(F.broadcast(queries.select("query_id", F.col("embedding").alias("_q"))), how="cross")
+    scored = pairs.select("query_id", "id", vf.cosine(F.col("embedding"), F.col("_q")).alias("similarity")).filter(F.col("similarity").isNotNull())
+    if threshold is not None:
+        scored = scored.filter(F.col("similarity") >= threshold)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return scored.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
 def test_top_k_equals_definition(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.integers(-2, 3, 6)]) for i in range(200)] + [(900, None), (901, [0.0] * 6), (902, [1.0]), (903, [float("nan")] * 6)]
@@ -164,7 +175,7 @@ def test_top_k_equals_definition(spark):
     for threshold in (None, 0.2):
         got = {(r.query_id, r["rank"]): r.id for r in vectors.top_k(asked, df, 7, threshold).collect()}
         rounded = df.filter("id <> 903")
-        want = {(r.query_id, r["rank"]): (r.id, r.similarity) for r in vectors.top_k_sql(asked, rounded, 7, threshold).collect()}
+        want = {(r.query_id, r["rank"]): (r.id, r.similarity) for r in top_k_by_definition(asked, rounded, 7, threshold).collect()}
         sims = {(r.query_id, r["rank"]): r.similarity for r in vectors.top_k(asked, df, 7, threshold).collect()}
         assert set(got) == set(want) and all(abs(sims[k] - want[k][1]) < 1e-9 for k in got)
     assert vectors.top_k(asked, df.limit(0), 7).count() == 0 and vectors.top_k(asked.limit(0), df, 7).count() == 0
