@@ -101,8 +101,8 @@ def _arrays(r) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.asarray(r.before, np.int64), np.asarray(r.fill, np.int64), np.asarray(r.bins, np.int64)
 
 
-def _entries(summaries: DataFrame, limit: int, fan: int) -> DataFrame:
-    """``_g, _block, _fill, _bins``: the state at each block's start."""
+def _entries(summaries: DataFrame, limit: int, fan: int, blocks: int) -> DataFrame:
+    """``_g, _block, _fill, _bins``: the state at each block's start; no group has more than about ``blocks`` of them."""
 
     def states(pdf: pd.DataFrame, fill: int, bins: int) -> pd.DataFrame:
         rows = []
@@ -112,16 +112,16 @@ def _entries(summaries: DataFrame, limit: int, fan: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["_g", "_block", "_fill", "_bins"])
 
     names = ["_g", "_block", "before", "fill", "bins"]
-    most = summaries.groupBy("_g").agg((F.max("_block") - F.min("_block")).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most < fan:
+    if blocks <= fan:
         return summaries.groupBy("_g").applyInPandas(lambda pdf: states(pdf[names], 0, 0), _ENTRY)
 
     def join(pdf: pd.DataFrame) -> pd.DataFrame:
         before, fill, bins = chain([_arrays(r) for r in pdf.sort_values("_block").itertuples(index=False)], limit)
         return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_block": [int(pdf["_block"].iloc[0]) // fan], "before": [before], "fill": [fill], "bins": [bins]})
 
+    summaries = cut_lineage(summaries)  # read going up and going down
     up = cut_lineage(summaries.groupBy("_g", F.floor(F.col("_block") / fan)).applyInPandas(lambda pdf: join(pdf[names]), _SUMMARY))
-    above = _entries(up, limit, fan).withColumnRenamed("_block", "_up")
+    above = _entries(up, limit, fan, blocks // fan + 2).withColumnRenamed("_block", "_up")
     under = summaries.withColumn("_up", F.floor(F.col("_block") / fan)).join(above, ["_g", "_up"])
     return under.groupBy("_g", "_up").applyInPandas(lambda pdf: states(pdf[names], int(pdf["_fill"].iloc[0]), int(pdf["_bins"].iloc[0])), _ENTRY)
 
@@ -142,6 +142,8 @@ def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str,
     taken = [out, "_g", "_block", "_at", "_size"]
     if any(c in items.columns for c in taken):
         raise ValueError("the items have a column named like one that is added")
+    if fan < 3:
+        raise ValueError("fan must be at least 3")
     sized = items.withColumn("_size", F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)))
     keyed = sized.withColumn("_g", F.to_json(F.struct(*group)))  # the key is never null, also for null groups
     numbered = global_rank(keyed, [F.col("_g"), *[F.col(c).asc_nulls_first() for c in order]], "_at")
@@ -153,8 +155,8 @@ def greedy_bins(items: DataFrame, group: list[str], order: list[str], size: str,
         before, fill, bins = summarise(sizes, limit)
         return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], "_block": [pdf["_block"].iloc[0]], "before": [before], "fill": [fill], "bins": [bins]})
 
-    summaries = cut_lineage(narrow.groupBy("_g", "_block").applyInPandas(summary, _SUMMARY))
-    opened = narrow.join(_entries(summaries, limit, fan), ["_g", "_block"])
+    summaries = narrow.groupBy("_g", "_block").applyInPandas(summary, _SUMMARY)
+    opened = narrow.join(_entries(summaries, limit, fan, numbered.count() // block + 2), ["_g", "_block"])
 
     def number(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_at")
