@@ -410,12 +410,14 @@ def most_similar(
         by_id = classes.members.groupBy("id").agg(F.collect_list(F.struct("_h", "entry")).alias("classes"))
         by_id = F.broadcast(by_id) if classes.n_members <= max_broadcast else by_id
     placed = place(vectors, index, parts, by_id, dim, most, ratio, graph, vector_id, embedding)
-    # as many tasks as keep what each reads at about 64 MB
-    tasks = int(most * classes.n * (3 * dim + 64) >> 26)
-    if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")):
+    # as many tasks as keep what each reads at about 8 MB, whatever the session's number of shuffle partitions
+    tasks = int(most * classes.n * (3 * dim + 64) >> 23)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if tasks > least:
         placed = placed.repartition(tasks, "list", "part")
     found = placed.groupBy("list", "part").applyInArrow(lambda table: compare_list(table, dim, k + 1, min_similarity, 10 * list_size, ratio, most), NEAR)
-    return _expand(found, classes, k, min_similarity, max_broadcast)
+    # without a threshold every vector has its neighbours to merge; above one few have
+    return _expand(found, classes, k, min_similarity, max_broadcast, tasks if tasks > least and min_similarity <= -1 else 0)
 
 
 def _index(spark, narrow: DataFrame, n: int, dim: int, list_size: int, max_lists: int, most: int, ratio: float, max_part: int):
@@ -439,7 +441,7 @@ def _best(near, k: int):
     return F.slice(F.filter(keyed, lambda x, i: (i == 0) | (F.get(keyed, i - 1)["other"] != x["other"])), 1, k)
 
 
-def _expand(found: DataFrame, classes: _Classes, k: int, least: float, max_broadcast: int) -> DataFrame:
+def _expand(found: DataFrame, classes: _Classes, k: int, least: float, max_broadcast: int, tasks: int) -> DataFrame:
     """Neighbours over all lists of an entry; entries become ids.
 
     A neighbour stands for the first ids of its class, and all members of a class share
@@ -447,11 +449,12 @@ def _expand(found: DataFrame, classes: _Classes, k: int, least: float, max_broad
     classes with several ids are few; many are joined by a shuffle in salted parts.
     """
     final = lambda df: df.select("id", F.explode(F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)).alias("n")).select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity")).filter(F.col("similarity") >= least)
+    by_id = lambda df: (df.repartition(tasks, "id") if tasks else df).groupBy("id")
     if not classes.n_several:
-        return final(found.groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near")).select("id", _best("near", k + 1).alias("near")))
+        return final(by_id(found).agg(F.flatten(F.collect_list("near")).alias("near")).select("id", _best("near", k + 1).alias("near")))
     few = classes.n_several <= max_broadcast
     own = classes.first.select(F.col("entry").alias("id")).distinct().select("id", F.array(F.struct(F.col("id").alias("other"), F.lit(1.0).alias("similarity"))).alias("near"))
-    lists = found.unionByName(own).groupBy("id").agg(F.flatten(F.collect_list("near")).alias("near")).select("id", F.explode(_best("near", k + 2)).alias("n"))
+    lists = by_id(found.unionByName(own)).agg(F.flatten(F.collect_list("near")).alias("near")).select("id", F.explode(_best("near", k + 2)).alias("n"))
     names = classes.first.groupBy(F.col("entry").alias("other")).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
     named = lists.select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity")).join(F.broadcast(names) if few else names, "other", "left")
     named = named.select("id", F.explode(F.coalesce("_ids", F.array("other"))).alias("other"), "similarity")
