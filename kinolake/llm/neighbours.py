@@ -35,10 +35,9 @@ _CODED = pa.schema([("id", pa.string()), ("code", pa.binary())])
 _HASHED = pa.schema([("id", pa.string()), ("_h", pa.binary()), ("code", pa.binary())])
 _PLACED = pa.schema([("list", pa.int32()), ("part", pa.int32()), ("id", pa.string()), ("code", pa.binary())])
 PLACED = "list int, part int, id string, code binary"
-_NEAR_ITEM = pa.struct([("other", pa.string()), ("similarity", pa.float64())])
-_NEAR = pa.schema([("id", pa.string()), ("near", pa.list_(_NEAR_ITEM))])
+_NEAR = pa.schema([("id", pa.string()), ("others", pa.list_(pa.string())), ("similarities", pa.list_(pa.float64()))])
 _CLASSES = "array<struct<_h: binary, entry: string>>"
-NEAR = "id string, near array<struct<other: string, similarity: double>>"
+NEAR = "id string, others array<string>, similarities array<double>"  # two arrays are smaller in a shuffle than one of pairs
 PAIRS = "id string, other string, similarity double"
 _PAIRS = pa.schema([("id", pa.string()), ("other", pa.string()), ("similarity", pa.float64())])
 
@@ -325,7 +324,7 @@ def _blocks(ids: np.ndarray, x: np.ndarray, k: int, least: float) -> list[tuple[
 
 
 def compare_list(table: pa.Table, dim: int, k: int, least: float, most_rows: int = 8_000, ratio: float = 1.3, copies: int = 3) -> pa.Table:
-    """``id, near``: the ``k`` most similar entries of every entry within a list, each id once."""
+    """``id, others, similarities``: the ``k`` most similar entries of every entry within a list, each id once."""
     rows = sorted(set(zip(table.column("id").to_pylist(), table.column("code").to_pylist())))
     ids, x = np.array([r[0] for r in rows], object), decode([r[1] for r in rows], dim)
     found = _nearest(ids, x, k, least, most_rows, ratio, copies)
@@ -340,8 +339,8 @@ def compare_list(table: pa.Table, dim: int, k: int, least: float, most_rows: int
     place = np.arange(len(row)) - np.repeat(starts, np.diff(np.append(starts, len(row))))
     row, other, s = row[place < k], other[place < k], s[place < k]
     starts = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    near = pa.StructArray.from_arrays([pa.array(ids[other], pa.string()), pa.array(s)], fields=list(_NEAR_ITEM))
-    return pa.table([pa.array(ids[row[starts]], pa.string()), pa.ListArray.from_arrays(pa.array(np.append(starts, len(row)).astype(np.int32)), near)], schema=_NEAR)
+    ends = pa.array(np.append(starts, len(row)).astype(np.int32))
+    return pa.table([pa.array(ids[row[starts]], pa.string()), pa.ListArray.from_arrays(ends, pa.array(ids[other], pa.string())), pa.ListArray.from_arrays(ends, pa.array(s))], schema=_NEAR)
 
 
 class _Classes:
@@ -449,12 +448,13 @@ def _expand(found: DataFrame, classes: _Classes, k: int, least: float, max_broad
     classes with several ids are few; many are joined by a shuffle in salted parts.
     """
     final = lambda df: df.select("id", F.explode(F.slice(F.filter("near", lambda x: x["other"] != F.col("id")), 1, k)).alias("n")).select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity")).filter(F.col("similarity") >= least)
-    by_id = lambda df: (df.repartition(tasks, "id") if tasks else df).groupBy("id")
+    pairs = F.arrays_zip(F.flatten(F.collect_list("others")).alias("other"), F.flatten(F.collect_list("similarities")).alias("similarity"))
+    by_id = lambda df: (df.repartition(tasks, "id") if tasks else df).groupBy("id").agg(pairs.alias("near"))
     if not classes.n_several:
-        return final(by_id(found).agg(F.flatten(F.collect_list("near")).alias("near")).select("id", _best("near", k + 1).alias("near")))
+        return final(by_id(found).select("id", _best("near", k + 1).alias("near")))
     few = classes.n_several <= max_broadcast
-    own = classes.first.select(F.col("entry").alias("id")).distinct().select("id", F.array(F.struct(F.col("id").alias("other"), F.lit(1.0).alias("similarity"))).alias("near"))
-    lists = by_id(found.unionByName(own)).agg(F.flatten(F.collect_list("near")).alias("near")).select("id", F.explode(_best("near", k + 2)).alias("n"))
+    own = classes.first.select(F.col("entry").alias("id")).distinct().select("id", F.array("id").alias("others"), F.array(F.lit(1.0)).alias("similarities"))
+    lists = by_id(found.unionByName(own)).select("id", F.explode(_best("near", k + 2)).alias("n"))
     names = classes.first.groupBy(F.col("entry").alias("other")).agg(F.array_sort(F.collect_list("id")).alias("_ids"))
     named = lists.select("id", F.col("n.other").alias("other"), F.col("n.similarity").alias("similarity")).join(F.broadcast(names) if few else names, "other", "left")
     named = named.select("id", F.explode(F.coalesce("_ids", F.array("other"))).alias("other"), "similarity")
