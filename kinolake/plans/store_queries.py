@@ -81,12 +81,13 @@ def dead_letters(spark, folder):
 
 
 def answers_appended(spark, folder):
-    """Answers of two sources; of the second only those to collections without one."""
+    """Answers of one source, then of all others, of which only those to collections without one are kept."""
     store = _store(spark)
     docs = table(spark, folder, "documents").filter("collection_id IS NOT NULL AND trim(coalesce(text, '')) <> ''")
-    of = lambda source: docs.filter(F.col("source") == source).groupBy("collection_id").agg(F.max(F.md5("text")).alias("answer"))
-    files.append_answers(store, "answers", of("answer_md"), ["collection_id"])
-    files.append_answers(store, "answers", of("entity_notes"), ["collection_id"])
+    best = lambda df: df.groupBy("collection_id").agg(F.max(F.md5("text")).alias("answer"))
+    first = F.coalesce(F.col("source") == "answer_md", F.lit(False))
+    files.append_answers(store, "answers", best(docs.filter(first)), ["collection_id"])
+    files.append_answers(store, "answers", best(docs.filter(~first)), ["collection_id"])
     return store.read("answers")
 
 
@@ -339,8 +340,8 @@ SQL = {
     "jsonl_round_trip": "SELECT doc_id, source, lang FROM documents WHERE doc_id IS NOT NULL",
     "dead_letters": "SELECT 'no label' AS reason, doc_id FROM labels WHERE toxic IS NULL UNION ALL SELECT 'not a label', doc_id FROM labels WHERE toxic NOT IN (0, 1)",
     "answers_appended": """
-        WITH a AS (SELECT collection_id, source, max(md5(text)) AS answer FROM documents WHERE collection_id IS NOT NULL AND trim(coalesce(text, '')) <> '' AND source IN ('answer_md', 'entity_notes') GROUP BY 1, 2)
-        SELECT collection_id, answer FROM a QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY source) = 1""",
+        WITH a AS (SELECT collection_id, CASE WHEN source = 'answer_md' THEN 0 ELSE 1 END AS k, max(md5(text)) AS answer FROM documents WHERE collection_id IS NOT NULL AND trim(coalesce(text, '')) <> '' GROUP BY 1, 2)
+        SELECT collection_id, answer FROM a QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY k) = 1""",
     "streamed_documents": "SELECT doc_id, max(source) AS source FROM documents WHERE doc_id IS NOT NULL GROUP BY 1",
     "key_list": "SELECT doc_id FROM documents",
     "point_lookup": "SELECT doc_id, source, lang FROM documents WHERE doc_id = 7",
