@@ -8,8 +8,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import unicodedata
 import zlib
 from collections.abc import Callable
+from functools import partial
 from typing import Protocol
 
 import numpy as np
@@ -17,6 +19,9 @@ import numpy as np
 from kinolake.functions.text import COMPLETE, FIELD_SEP, RECORD_END, TUPLE_END
 
 
+_CONTROL = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f\ud800-\udfff]")
+
+
 class Chat(Protocol):
     def __call__(self, messages: list[dict[str, str]], temperature: float = 0.0) -> str: ...
 
@@ -153,3 +158,26 @@ class CachedChat:
             self.store.append(self.name, self.store.spark.createDataFrame(rows, "key string, model string, answer string"))
         self.fresh = {}
         return n
+
+
+class ModelConfig:
+    """One chat client under the names of a best and a cheap model, with bounded tries and an optional stored cache, and an embedder."""
+
+    def __init__(self, chat: Callable, embed: Callable, best: str = "best", cheap: str = "cheap", tries: int = 3, store=None):
+        self.embed = embed
+        bound = lambda model: CachedChat(with_retries(partial(chat, model=model), tries), store, model)
+        self.best, self.cheap = bound(best), bound(cheap)
+
+    def flush(self) -> int:
+        return self.best.flush() + self.cheap.flush()
+
+
+def clean_value(value):
+    """A value of any depth with every string free of control characters other than tab and line ends, of lone surrogates, and composed."""
+    if isinstance(value, str):
+        return unicodedata.normalize("NFC", _CONTROL.sub("", value))
+    if isinstance(value, dict):
+        return {k: clean_value(v) for k, v in value.items()}
+    if isinstance(value, (list, tuple)):
+        return type(value)(clean_value(v) for v in value)
+    return value

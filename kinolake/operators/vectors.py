@@ -38,6 +38,37 @@ def embed_and_upsert(table: DataFrame, rows: DataFrame, text: str, provider, key
     return upsert(table, fresh, key)
 
 
+class VectorTable:
+    """A stored table of vectors with the fields that go with them: rows are embedded and put in, questions find the nearest.
+
+    ``embed`` takes texts; where vectors come from elsewhere (frames, sound) they are put in
+    as they are.
+    """
+
+    def __init__(self, store, name: str, embed: Callable[[list[str]], np.ndarray], key: str = "id", meta: tuple[str, ...] = (), threshold: float | None = None):
+        self.store, self.name, self.embed, self.key, self.meta, self.threshold = store, name, embed, key, meta, threshold
+
+    def put(self, rows: DataFrame, text: str) -> None:
+        """Rows by key with their text embedded; null texts have no vector and are left out."""
+        fresh = embed(rows.select(self.key, *self.meta, text).dropDuplicates([self.key]), text, self.embed)
+        self.put_vectors(fresh)
+
+    def put_vectors(self, rows: DataFrame) -> None:
+        self.store.upsert(self.name, rows.select(self.key, *self.meta, "embedding").filter("embedding IS NOT NULL"), self.key)
+
+    def nearest(self, questions: list[str], k: int, threshold: float | None = None) -> DataFrame:
+        """``query_id, <key>, <meta>, similarity, rank`` for each question, numbered in order; no rows where nothing is stored."""
+        spark = self.store.spark
+        stored = self.store.read(self.name)
+        asked = [(i, [float(x) for x in v]) for i, v in enumerate(self.embed(questions))] if questions else []
+        queries = spark.createDataFrame(asked, "query_id int, embedding array<double>")
+        if stored is None:
+            return spark.createDataFrame([], "query_id int, id string, similarity double, rank int")
+        least = self.threshold if threshold is None else threshold
+        hits = top_k(queries, stored, k, least, vector_id=self.key).withColumnRenamed("id", self.key)
+        return hits.join(stored.select(self.key, *self.meta), self.key).select("query_id", self.key, *self.meta, "similarity", "rank")
+
+
 def _best_rows(s: np.ndarray, names: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The ``k`` greatest of each row, equal ones by smaller name; ``names`` is one row for all or a row each."""
     n = min(k, s.shape[1])

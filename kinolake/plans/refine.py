@@ -9,6 +9,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from kinolake.operators.providers import clean_value
+
 #: Tool calls in all and a turn, evidence rows listed, messages a critique sees.
 MAX_CALLS, CALLS_A_TURN, LISTED, SEEN = 25, 3, 50, 10
 #: What announces a new draft, and the key that tells a model how many rows a tool added.
@@ -143,7 +145,8 @@ class Loop:
     """The refinement of an answer as named steps over a state; a step says which comes next."""
 
     def __init__(self, model: Model, state: State, tools: dict[str, Callable[[str], list[dict]]], settings: Settings):
-        self.model, self.state, self.tools, self.settings = model, state, tools, settings
+        self.model: Model = lambda role, messages, temperature: model(role, clean_value(messages), temperature)
+        self.state, self.tools, self.settings = state, tools, settings
         self.draft = self.critique = ""
         self.verdict: dict = {}
 

@@ -3,7 +3,7 @@ import os
 import pandas as pd
 import pytest
 
-from kinolake.operators import graph, providers, resolve
+from kinolake.operators import graph, providers, resolve, vectors
 from kinolake.plans import runner
 from kinolake.plans.engine import FAILED, Engine, Models
 from kinolake.plans.refine import Settings, State, Turn, cited_ids, refine_once, rows_of, run, updated, verdict_of
@@ -197,6 +197,43 @@ def test_debate_and_plain_answers(engine):
     assert "lantern" in runner.plain(out, lambda prompt: prompt)("7", "baseline", "Who repairs the lantern with Dromik?")
 
 
+def test_table_of_vectors(spark, tmp_path):
+    store = Engine(spark, str(tmp_path)).store
+    entities = vectors.VectorTable(store, "entities", providers.hash_embedder(), meta=("name",), threshold=0.2)
+    assert entities.nearest(["x"], 3).count() == 0
+    rows = spark.createDataFrame([("a", "A", "red lantern"), ("b", "B", "blue harbour"), ("c", "C", None), ("a", "A", "red lantern")], "id string, name string, text string")
+    entities.put(rows, "text")
+    entities.put(spark.createDataFrame([("b", "B2", "green valley")], "id string, name string, text string"), "text")
+    entities.put_vectors(spark.createDataFrame([("v", "V", [1.0] * 64)], "id string, name string, embedding array<float>"))
+    assert store.read("entities").count() == 3
+    got = {(r.query_id, r["rank"]): (r.id, r.name) for r in entities.nearest(["a red lantern", "green valley"], 1).collect()}
+    assert got == {(0, 1): ("a", "A"), (1, 1): ("b", "B2")}
+    assert entities.nearest([], 1).count() == 0
+
+
+def test_models_are_bound_retried_and_cached(spark, tmp_path):
+    tried = []
+
+    def chat(messages, model="", **options):
+        tried.append(model)
+        if len(tried) == 1:
+            raise TimeoutError
+        return f"{model}: {messages[-1]['content']}"
+
+    store = Engine(spark, str(tmp_path)).store
+    config = providers.ModelConfig(chat, providers.hash_embedder(), "large", "small", store=store)
+    ask = [{"role": "user", "content": "q"}]
+    assert config.best(ask) == config.best(ask) == "large: q" and config.cheap(ask) == "small: q" and tried == ["large", "large", "small"]
+    assert config.flush() == 2 and store.read("answers_cache").count() == 2
+
+
+def test_messages_are_cleaned():
+    assert providers.clean_value([{"a": "x\x01y\n", "b": ("e\u0301", 5, None)}]) == [{"a": "xy\n", "b": ("\u00e9", 5, None)}]
+    seen = []
+    run(lambda role, messages, t: seen.append(messages) or Turn("t"), "q\x02", [{"id": "1", "type": "text", "score": 0.5, "snippet": "s\x03"}], {}, Settings(max_rounds=0))
+    assert "\x02" not in repr(seen) and "x03" not in repr(seen)
+
+
 def test_cached_answers(spark, tmp_path):
     store, asked = Engine(spark, str(tmp_path)).store, []
     chat = lambda messages, **o: asked.append(messages) or f"a{len(asked)}"
